@@ -5,10 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, language, mixing, ngram_join
+from . import bpe, chat, dedup, forest, language, lattice, mixing, ngram_join, pii, sharding
 from .common import fold, table
 
 
+def op1_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.nearest(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
+def op2_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every repaired conversation."""
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Law bytes: after the rebalancing edit of the slot map the 16 shards are near-equal in bytes."""
+    rows, _ = sharding.shard(table(spark, sf_dir, "documents"), 16)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from rows whose crc32(doc_id) mod 5 is not 0 and predicts every row from its text alone."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -18,6 +33,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
 
 
+def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), digests=True)
 
@@ -37,6 +56,10 @@ SELECT doc_id, keep_id, group_size, rn = 1 AS kept, sha256(t) AS text_sha256 FRO
 """
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per copy: doc_id, source, rate, copies, copy_no."""
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -78,5 +101,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {q.__name__: q for q in (op4_language_id, op6_speculative_bpe, op7_exact_dedup, op9_poisson_mix, op10_ngram_join, pipeline)}
+QUERIES = {
+    q.__name__: q
+    for q in (op1_prefix_forest, op2_role_repair, op3_virtual_slots, op4_language_id, op5_lattice_lm, op6_speculative_bpe, op7_exact_dedup, op8_pii, op9_poisson_mix, op10_ngram_join, pipeline)
+}
 ORACLES = {"op7_exact_dedup": OP7_SQL, "op9_poisson_mix": OP9_SQL}
