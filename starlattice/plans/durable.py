@@ -1,0 +1,24 @@
+"""Intermediate tables that survive a lost executor."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
+
+
+def durable(df: DataFrame, tag: str) -> DataFrame:
+    """Write to the folder of spark.checkpoint.dir as Parquet and read back, which cuts the lineage.
+
+    Where that is unset: below the warehouse, or for a local master in the temporary folder.
+    """
+    spark = df.sparkSession
+    home = spark.conf.get("spark.checkpoint.dir", None)
+    if not home:
+        local = spark.sparkContext.master.startswith("local")
+        home = "file://" + os.path.join(tempfile.gettempdir(), "starlattice-checkpoints") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_starlattice"
+    path = f"{home.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
