@@ -164,7 +164,8 @@ def joined(spans: Column) -> Column:
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_added."""
     rows = with_spans(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
-    counts = [F.size(F.filter("_base", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    of_kind = lambda k: lambda x: x["k"] == k
+    counts = [F.size(F.filter("_base", of_kind(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return rows.select(
         "doc_id", *counts, F.sha2(joined(F.col("_base")).cast("binary"), 256).alias("base_sha256"),
         joined(F.array_sort(F.concat("_base", "_added"))).alias("spans"), F.size("_added").cast("long").alias("n_added"),
