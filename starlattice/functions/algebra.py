@@ -1,16 +1,16 @@
-"""One way to write a formula, three ways to run it: numpy arrays, Spark columns, SQL text.
+"""One way to write a formula, two ways to run it: numpy arrays and layered SQL expressions.
 
-A formula takes a namespace ``m`` (NP, COL or SQL) for functions and uses Python's operators for the rest. Arguments out
-of a function's domain are clamped by the namespace, so no engine raises; formulas mark what is invalid as missing.
+A formula takes a namespace ``m`` for functions and uses Python's operators for the rest. ``NP`` computes at once; a
+:class:`Sql` namespace records text, and names what grows long as columns of lower layers, so that shared parts are
+computed once and no expression tree explodes (see :mod:`layers`). Arguments out of a function's domain are clamped, so
+no engine raises; formulas mark what is invalid as missing.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-from .layers import num
+from .layers import Layer, num
 
 
 class _Numpy:
@@ -30,94 +30,140 @@ class _Numpy:
             return np.where(b == 0, np.nan, a / np.where(b == 0, 1.0, b))
 
 
-class _Column:
-    pi = float(np.pi)
-    sin, cos, tan, atan, exp, floor, absolute = (staticmethod(f) for f in (F.sin, F.cos, F.tan, F.atan, F.exp, lambda x: F.floor(x).cast("double"), F.abs))
-    asin = staticmethod(lambda x: F.asin(F.least(F.greatest(x, F.lit(-1.0)), F.lit(1.0))))
-    acos = staticmethod(lambda x: F.acos(F.least(F.greatest(x, F.lit(-1.0)), F.lit(1.0))))
-    sqrt = staticmethod(lambda x: F.sqrt(F.greatest(x, F.lit(0.0))))
-    log = staticmethod(lambda x: F.ln(F.greatest(x, F.lit(1e-300))))
-    power = staticmethod(lambda x, p: F.pow(F.greatest(x, F.lit(0.0)), F.lit(float(p))))
-    atan2 = staticmethod(F.atan2)
-
-    @property
-    def missing(self) -> Column:
-        return F.lit(None).cast("double")
-
-    @staticmethod
-    def _col(x):
-        return x if isinstance(x, Column) else F.lit(float(x))
-
-    def where(self, c, a, b) -> Column:
-        return F.when(c, self._col(a)).otherwise(self._col(b))
-
-    def larger(self, a, b) -> Column:
-        return F.greatest(self._col(a), self._col(b))
-
-    def smaller(self, a, b) -> Column:
-        return F.least(self._col(a), self._col(b))
+NP = _Numpy()
 
-    def div(self, a, b) -> Column:
-        return self._col(a) / F.nullif(self._col(b), F.lit(0.0))
+#: Expressions longer than this become columns of their own.
+LONGEST = 160
 
 
 class Text:
-    """A SQL expression as text, with Python's operators."""
+    """A SQL expression: its text, the layer it can stand in, and the namespace that names its parts."""
 
-    def __init__(self, sql: str):
-        self.sql = sql
+    __slots__ = ("level", "m", "sql")
+    __hash__ = None
 
-    @staticmethod
-    def of(x) -> str:
-        return x.sql if isinstance(x, Text) else num(x)
+    def __init__(self, m: Sql, sql: str, level: int = 0):
+        self.m, self.sql, self.level = m, sql, level
 
-    def _pair(self, op, other, swap=False):
-        a, b = self.sql, Text.of(other)
-        return Text(f"({b} {op} {a})" if swap else f"({a} {op} {b})")
+    def _pair(self, op: str, other, swap: bool = False) -> Text:
+        a, b = self.m.of(self), self.m.of(other)
+        if swap:
+            a, b = b, a
+        return self.m.made(f"({a[0]} {op} {b[0]})", max(a[1], b[1]))
 
     def __neg__(self):
-        return Text(f"(-{self.sql})")
+        return self.m.made(f"(-{self.sql})", self.level)
 
     def __invert__(self):
-        return Text(f"(NOT {self.sql})")
+        return self.m.made(f"(NOT {self.sql})", self.level)
+
+
+def _operator(op: str, swap: bool):
+    return lambda self, other: self._pair(op, other, swap)
 
 
 for _name, _op in (("add", "+"), ("sub", "-"), ("mul", "*"), ("truediv", "/"), ("and", "AND"), ("or", "OR")):
-    setattr(Text, f"__{_name}__", lambda self, o, op=_op: self._pair(op, o))
-    setattr(Text, f"__r{_name}__", lambda self, o, op=_op: self._pair(op, o, True))
+    setattr(Text, f"__{_name}__", _operator(_op, False))
+    setattr(Text, f"__r{_name}__", _operator(_op, True))
 for _name, _op in (("lt", "<"), ("le", "<="), ("gt", ">"), ("ge", ">="), ("eq", "="), ("ne", "<>")):
-    setattr(Text, f"__{_name}__", lambda self, o, op=_op: self._pair(op, o))
+    setattr(Text, f"__{_name}__", _operator(_op, False))
+
 
+class Sql:
+    """Records a formula; ``layers()`` are the columns that its parts were given."""
 
-class _Sql:
     pi = float(np.pi)
-    missing = Text("CAST(NULL AS DOUBLE)")
-    _call = staticmethod(lambda name, *a: Text(f"{name}({', '.join(Text.of(x) for x in a)})"))
 
-    def __getattr__(self, name: str):
-        names = {"absolute": "abs", "larger": "greatest", "smaller": "least"}
-        return lambda *a: self._call(names.get(name, name), *a)
+    def __init__(self, prefix: str = "t"):
+        self.prefix, self.named, self.rows = prefix, {}, []
+
+    def column(self, name: str) -> Text:
+        return Text(self, name)
+
+    def of(self, x) -> tuple[str, int]:
+        return (x.sql, x.level) if isinstance(x, Text) else (num(x), 0)
+
+    def made(self, sql: str, level: int) -> Text:
+        if len(sql) <= LONGEST:
+            return Text(self, sql, level)
+        if sql not in self.named:
+            name = f"{self.prefix}{len(self.named)}"
+            self.named[sql] = (name, level + 1)
+            self.rows.append((level, name, sql))
+        name, above = self.named[sql]
+        return Text(self, name, above)
+
+    def layers(self) -> list[Layer]:
+        out: dict[int, Layer] = {}
+        for level, name, sql in self.rows:
+            out.setdefault(level, {})[name] = sql
+        return [out[k] for k in sorted(out)]
+
+    def _call(self, form: str, *args) -> Text:
+        parts = [self.of(a) for a in args]
+        return self.made(form.format(*[p[0] for p in parts]), max(p[1] for p in parts))
+
+    @property
+    def missing(self) -> Text:
+        return Text(self, "CAST(NULL AS DOUBLE)")
+
+    def sin(self, x):
+        return self._call("sin({})", x)
+
+    def cos(self, x):
+        return self._call("cos({})", x)
+
+    def tan(self, x):
+        return self._call("tan({})", x)
+
+    def atan(self, x):
+        return self._call("atan({})", x)
+
+    def exp(self, x):
+        return self._call("exp({})", x)
+
+    def floor(self, x):
+        return self._call("CAST(floor({}) AS DOUBLE)", x)
+
+    def absolute(self, x):
+        return self._call("abs({})", x)
+
+    def larger(self, a, b):
+        return self._call("greatest({}, {})", a, b)
+
+    def smaller(self, a, b):
+        return self._call("least({}, {})", a, b)
+
+    def atan2(self, a, b):
+        return self._call("atan2({}, {})", a, b)
 
     def asin(self, x):
-        return Text(f"asin(least(greatest({Text.of(x)}, -1e0), 1e0))")
+        return self._call("asin(least(greatest({}, -1e0), 1e0))", x)
 
     def acos(self, x):
-        return Text(f"acos(least(greatest({Text.of(x)}, -1e0), 1e0))")
+        return self._call("acos(least(greatest({}, -1e0), 1e0))", x)
 
     def sqrt(self, x):
-        return Text(f"sqrt(greatest({Text.of(x)}, 0e0))")
+        return self._call("sqrt(greatest({}, 0e0))", x)
 
     def log(self, x):
-        return Text(f"ln(greatest({Text.of(x)}, 1e-300))")
+        return self._call("ln(greatest({}, 1e-300))", x)
 
     def power(self, x, p):
-        return Text(f"pow(greatest({Text.of(x)}, 0e0), {num(p)})")
+        return self._call("pow(greatest({}, 0e0), {})", x, p)
 
     def where(self, c, a, b):
-        return Text(f"CASE WHEN {Text.of(c)} THEN {Text.of(a)} ELSE {Text.of(b)} END")
+        if not isinstance(c, Text):
+            return a if c else b
+        return self._call("CASE WHEN {} THEN {} ELSE {} END", c, a, b)
 
     def div(self, a, b):
-        return Text(f"({Text.of(a)} / nullif({Text.of(b)}, 0e0))")
+        return self._call("({} / nullif({}, 0e0))", a, b)
 
 
-NP, COL, SQL = _Numpy(), _Column(), _Sql()
+def layered(formula, names: list[str], outputs: list[str], prefix: str) -> list[Layer]:
+    """The layers that compute ``outputs`` from columns ``names`` by ``formula(m, *columns)``."""
+    m = Sql(prefix)
+    results = formula(m, *[m.column(n) for n in names])
+    level = max(m.of(r)[1] for r in results)
+    return [*m.layers(), {o: m.of(r)[0] for o, r in zip(outputs, results)}] if level >= 0 else []
