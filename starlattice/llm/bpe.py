@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 #: Words kept with their ids in one Python worker; beyond it the memory starts anew.
-WORD_MEMORY = 300_000
+WORD_MEMORY = 600_000
 #: Words of more letters are merged with a heap.
 LONG_WORD = 64
 NEVER, ID_BITS = 1 << 62, (1 << 24) - 1
@@ -202,9 +202,9 @@ class Codec:
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[bytes, int, str]]:
         """Per text: ids as little-endian unsigned 32-bit integers, their number, and the decoded text."""
         at = 0
-        while at < len(texts):  # as many texts at once as have WORD_MEMORY / 2 strings, one text at least
+        while at < len(texts):  # as many texts at once as have WORD_MEMORY / 4 strings, one text at least
             group, n = [], 0
-            while at < len(texts) and (not group or n < WORD_MEMORY // 2):
+            while at < len(texts) and (not group or n < WORD_MEMORY // 4):
                 group.append(self._strings(texts[at]))
                 n += len(group[-1])
                 at += 1
@@ -236,9 +236,21 @@ def _spec(path: str | None) -> str:
         return file.read()
 
 
+#: The codec of a Python worker, which its tasks share with all that it remembers.
+_codecs: dict[str, Codec] = {}
+
+
+def _codec(spec: str) -> Codec:
+    key = hashlib.sha256(spec.encode()).hexdigest()
+    if key not in _codecs:
+        _codecs.clear()
+        _codecs[key] = Codec(spec)
+    return _codecs[key]
+
+
 def _mapper(spec, digests: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(spec.value)
+        codec = _codec(spec.value)
         for batch in batches:
             out = list(codec.encode_batch(batch["_text"].tolist()))
             if digests:
