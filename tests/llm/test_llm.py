@@ -264,7 +264,7 @@ def test_pii(spark, empty):
         want = base_spans(t)
         line = ",".join(f"{n}:{s}:{e}" for s, _, e, n in want)
         assert got[i].base_sha256 == hashlib.sha256(line.encode()).hexdigest(), (t[:200], line[:200], got[i].spans[:200])
-        assert set(line.split(",")) <= set(got[i].spans.split(","))
+        assert set(line.split(",")) - {""} <= set(got[i].spans.split(","))
         assert [got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone] == [sum(w[3] == k for w in want) for k in ("email", "ip", "card", "phone")]
     assert got[len(texts) - 1].spans == "email:6:30"
     assert pii.find_personal_data(empty).count() == 0
