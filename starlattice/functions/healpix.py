@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import math
 
-from .layers import Layer, div, num, whole
+from pyspark.sql import DataFrame
+
+from .layers import Layer, apply, div, fenced, num, whole
 
 HALF_PI, PI = num(math.pi / 2), num(math.pi)
 
@@ -162,10 +164,10 @@ def xyf2ang_layers(nside: int, theta: str, phi: str, p: str = "hp_") -> list[Lay
         {
             f"{p}h": f"CASE WHEN {p}cap THEN {p}s * {p}s / 3e0 ELSE 1e0 - abs({num(2 / 3)} * ({p}sum - {p}pf)) END",
             f"{p}up": f"CASE WHEN {p}cap THEN {p}f < 4 ELSE {p}sum >= {p}pf END",
-            f"{phi}": f"CASE WHEN {p}cap THEN {HALF_PI} * ({p}pc + {p}oy / {p}s) ELSE {num(math.pi / 4)} * ({p}px - {p}py + CASE WHEN {p}pf = 1 THEN 0 ELSE 1 END + 2 * {p}pc) END",
+            f"{p}east": f"CASE WHEN {p}cap THEN {HALF_PI} * ({p}pc + {p}oy / {p}s) ELSE {num(math.pi / 4)} * ({p}px - {p}py + CASE WHEN {p}pf = 1 THEN 0 ELSE 1 END + 2 * {p}pc) END",
         },
         {f"{p}rho": f"sqrt({p}h * (2e0 - {p}h))"},
-        {f"{theta}": f"atan2({p}rho, CASE WHEN {p}up THEN 1e0 - {p}h ELSE {p}h - 1e0 END)", f"{phi}": f"CASE WHEN {phi} < 0 THEN {phi} + {num(2 * math.pi)} ELSE {phi} END"},
+        {f"{theta}": f"atan2({p}rho, CASE WHEN {p}up THEN 1e0 - {p}h ELSE {p}h - 1e0 END)", f"{phi}": f"CASE WHEN {p}east < 0 THEN {p}east + {num(2 * math.pi)} ELSE {p}east END"},
     ]
 
 
@@ -189,40 +191,47 @@ def nest2ring_layers(pix: str, nside: int, out: str) -> list[Layer]:
 STEPS = ((1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (-1, -1), (1, -1), (-1, 1))
 
 
-def neighbour_layers(pix: str, nside: int, out: str, nested: bool = False) -> list[Layer]:
-    """{out}0 to {out}7: the neighbours' numbers, -1 where a corner has none.
+def with_steps(df: DataFrame) -> DataFrame:
+    """Each row eight times, with k, dx and dy."""
+    steps = ", ".join(f"named_struct('k', {k}, 'dx', {dx}, 'dy', {dy})" for k, (dx, dy) in enumerate(STEPS))
+    return df.selectExpr("*", f"explode(array({steps})) AS hp_step").selectExpr(*[f"`{c}`" for c in df.columns], "hp_step.k AS k", "hp_step.dx AS dx", "hp_step.dy AS dy")
+
+
+def neighbour_layers(nside: int, out: str, nested: bool = False, p: str = "nb_") -> list[Layer]:
+    """The neighbour of cell hp_f, hp_x, hp_y at step dx, dy; -1 where a corner has none.
 
     A step that leaves the face continues on the face beyond that edge. Around a pole edges of one kind meet, so the
     cell's axes swap: beyond a northern face's upper edges x and y trade places and the step ends at the far border.
     """
-    layers = list((nest2xyf_layers if nested else ring2xyf_layers)(pix, nside))
-    last = nside - 1
-    for k, (dx, dy) in enumerate(STEPS):
-        p, q = f"nb{k}_", f"nb{k}"
-        layers.append({f"{p}gx": f"hp_x + ({dx})", f"{p}gy": f"hp_y + ({dy})", f"{p}row": div("hp_f", 4), f"{p}col": "hp_f % 4"})
-        ox = f"CASE WHEN {p}gx < 0 THEN -1 WHEN {p}gx > {last} THEN 1 ELSE 0 END"
-        oy = f"CASE WHEN {p}gy < 0 THEN -1 WHEN {p}gy > {last} THEN 1 ELSE 0 END"
-        layers.append({f"{p}ox": ox, f"{p}oy": oy})
-        c = f"{p}col"
-        north = f"CASE WHEN {p}ox = 1 AND {p}oy = 0 THEN ({c} + 1) % 4 WHEN {p}ox = 0 AND {p}oy = 1 THEN ({c} + 3) % 4 WHEN {p}ox = 1 AND {p}oy = 1 THEN ({c} + 2) % 4 WHEN {p}ox = -1 AND {p}oy = 0 THEN 4 + {c} WHEN {p}ox = 0 AND {p}oy = -1 THEN 4 + ({c} + 1) % 4 WHEN {p}ox = -1 AND {p}oy = -1 THEN 8 + {c} ELSE -1 END"
-        middle = f"CASE WHEN {p}ox = 1 AND {p}oy = 0 THEN {c} WHEN {p}ox = 0 AND {p}oy = 1 THEN ({c} + 3) % 4 WHEN {p}ox = -1 AND {p}oy = 0 THEN 8 + ({c} + 3) % 4 WHEN {p}ox = 0 AND {p}oy = -1 THEN 8 + {c} WHEN {p}ox = 1 AND {p}oy = -1 THEN 4 + ({c} + 1) % 4 WHEN {p}ox = -1 AND {p}oy = 1 THEN 4 + ({c} + 3) % 4 ELSE -1 END"
-        south = f"CASE WHEN {p}ox = 1 AND {p}oy = 0 THEN 4 + ({c} + 1) % 4 WHEN {p}ox = 0 AND {p}oy = 1 THEN 4 + {c} WHEN {p}ox = -1 AND {p}oy = 0 THEN 8 + ({c} + 3) % 4 WHEN {p}ox = 0 AND {p}oy = -1 THEN 8 + ({c} + 1) % 4 WHEN {p}ox = -1 AND {p}oy = -1 THEN 8 + ({c} + 2) % 4 WHEN {p}ox = 1 AND {p}oy = 1 THEN {c} ELSE -1 END"
-        wrap = lambda g: f"({g} + {nside}) % {nside}"
-        wx, wy = wrap(f"{p}gx"), wrap(f"{p}gy")
-        layers.append({
-            f"{p}f": f"CASE WHEN {p}ox = 0 AND {p}oy = 0 THEN hp_f WHEN {p}row = 0 THEN {north} WHEN {p}row = 1 THEN {middle} ELSE {south} END",
-            f"{p}swap": f"({p}row = 0 AND ({p}ox = 1 OR {p}oy = 1) AND {p}ox >= 0 AND {p}oy >= 0) OR ({p}row = 2 AND ({p}ox = -1 OR {p}oy = -1) AND {p}ox <= 0 AND {p}oy <= 0)",
-            f"{p}wx": wx, f"{p}wy": wy,
-        })
-        # across a pole the border is the same one on both faces
-        edge_x = f"CASE WHEN {p}row = 0 THEN {last} ELSE 0 END"
-        layers.append({
-            f"{p}x": f"CASE WHEN NOT {p}swap THEN {p}wx WHEN {p}ox <> 0 AND {p}oy <> 0 THEN {edge_x} WHEN {p}ox <> 0 THEN {p}wy ELSE {edge_x} END",
-            f"{p}y": f"CASE WHEN NOT {p}swap THEN {p}wy WHEN {p}ox <> 0 AND {p}oy <> 0 THEN {edge_x} WHEN {p}ox <> 0 THEN {edge_x} ELSE {p}wx END",
-        })
-        layers += (xyf2nest_layers if nested else xyf2ring_layers)(nside, f"{q}_raw", p, p)
-        layers.append({f"{out}{k}": f"CASE WHEN {p}f < 0 THEN CAST(-1 AS BIGINT) ELSE {q}_raw END"})
-    return layers
+    last, c = nside - 1, f"{p}fcol"
+    side = lambda g: f"CASE WHEN {g} < 0 THEN -1 WHEN {g} > {last} THEN 1 ELSE 0 END"
+    at = lambda ox, oy: f"{p}ox = {ox} AND {p}oy = {oy}"
+    case = lambda *ways: "CASE " + " ".join(f"WHEN {at(ox, oy)} THEN {to}" for ox, oy, to in ways) + " ELSE -1 END"
+    north = case((1, 0, f"({c} + 1) % 4"), (0, 1, f"({c} + 3) % 4"), (1, 1, f"({c} + 2) % 4"), (-1, 0, f"4 + {c}"), (0, -1, f"4 + ({c} + 1) % 4"), (-1, -1, f"8 + {c}"))
+    middle = case((1, 0, c), (0, 1, f"({c} + 3) % 4"), (-1, 0, f"8 + ({c} + 3) % 4"), (0, -1, f"8 + {c}"), (1, -1, f"4 + ({c} + 1) % 4"), (-1, 1, f"4 + ({c} + 3) % 4"))
+    south = case((1, 0, f"4 + ({c} + 1) % 4"), (0, 1, f"4 + {c}"), (-1, 0, f"8 + ({c} + 3) % 4"), (0, -1, f"8 + ({c} + 1) % 4"), (-1, -1, f"8 + ({c} + 2) % 4"), (1, 1, c))
+    edge = f"CASE WHEN {p}frow = 0 THEN {last} ELSE 0 END"  # across a pole the border is the same one on both faces
+    return [
+        {f"{p}gx": "hp_x + dx", f"{p}gy": "hp_y + dy", f"{p}frow": div("hp_f", 4), c: "hp_f % 4"},
+        {f"{p}ox": side(f"{p}gx"), f"{p}oy": side(f"{p}gy")},
+        {
+            f"{p}f": f"CASE WHEN {at(0, 0)} THEN hp_f WHEN {p}frow = 0 THEN {north} WHEN {p}frow = 1 THEN {middle} ELSE {south} END",
+            f"{p}swap": f"({p}frow = 0 AND {p}ox + {p}oy > 0 AND {p}ox >= 0 AND {p}oy >= 0) OR ({p}frow = 2 AND {p}ox + {p}oy < 0 AND {p}ox <= 0 AND {p}oy <= 0)",
+            f"{p}wx": f"({p}gx + {nside}) % {nside}", f"{p}wy": f"({p}gy + {nside}) % {nside}",
+        },
+        {
+            f"{p}x": f"CASE WHEN NOT {p}swap THEN {p}wx WHEN {p}ox <> 0 AND {p}oy = 0 THEN {p}wy ELSE {edge} END",
+            f"{p}y": f"CASE WHEN NOT {p}swap THEN {p}wy WHEN {p}ox <> 0 THEN {edge} ELSE {p}wx END",
+        },
+        *(xyf2nest_layers if nested else xyf2ring_layers)(nside, f"{p}raw", p, p),
+        {out: f"CASE WHEN {p}f < 0 THEN CAST(-1 AS BIGINT) ELSE {p}raw END"},
+    ]
+
+
+def neighbours(df: DataFrame, pix: str, nside: int, out: str, nested: bool = False) -> DataFrame:
+    """The rows of ``df`` for each of the eight steps (k) with the neighbour's number, -1 where there is none."""
+    cells = apply(df, (nest2xyf_layers if nested else ring2xyf_layers)(pix, nside)).select(*df.columns, "hp_f", "hp_x", "hp_y")
+    return fenced(apply(with_steps(cells), neighbour_layers(nside, out, nested)).select(*df.columns, "k", out))
 
 
 def degrade(pix: str, levels: int) -> str:

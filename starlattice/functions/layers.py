@@ -8,6 +8,7 @@ same list renders as nested SELECTs for any other SQL engine. Expressions keep t
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 Layer = dict[str, str]
 
@@ -34,13 +35,22 @@ def div(a: str, b: str | int) -> str:
 
 
 def apply(df: DataFrame, layers: list[Layer]) -> DataFrame:
-    """Add the columns of each layer; a name that exists is replaced."""
+    """Add the columns of each layer; a name that exists is replaced. See :func:`fenced` before filtering or joining on them."""
     for layer in layers:
         kept = [f"`{c}`" for c in df.columns if c not in layer]
         df = df.selectExpr(*kept, *[f"{e} AS `{n}`" for n, e in layer.items()])
     return df
 
 
+def fenced(df: DataFrame) -> DataFrame:
+    """The same rows through a generator, through which no expression moves.
+
+    The optimizer pushes a filter (or a join's null check) on a layered column below the layers by writing each name
+    out, over and over, until the expression no longer fits in memory. Select what is needed, fence, then filter.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+
+
 def render(layers: list[Layer], base: str, columns: list[str]) -> str:
     """The same as SQL text: nested SELECTs over ``base`` (a query or a table) with the final columns."""
     sql = base if base.lstrip().upper().startswith("SELECT") else f"SELECT * FROM {base}"

@@ -23,7 +23,7 @@ def asinh(x: str, beta: float, offset: float = 0.0) -> str:
     if beta == 0:
         return x
     xp = f"(({x} - {f32(offset)}) * {f32(1 / (1 - offset))})"
-    return f"CASE WHEN {xp} <= 0 THEN {f32(0)} ELSE least({f32(1)}, {f32(_asinh(f'({f32(beta)} * {xp})'))} / {f32(math.asinh(beta))}) END"
+    return f"CASE WHEN {xp} <= 0 THEN {f32(0)} ELSE least({f32(1)}, {f32(f32(_asinh(f'({f32(beta)} * {xp})')) + ' / ' + f32(math.asinh(beta)))}) END"
 
 
 def asinh_rgb(r: str, g: str, b: str, beta: float, offset: float = 0.0) -> dict[str, str]:
@@ -31,14 +31,16 @@ def asinh_rgb(r: str, g: str, b: str, beta: float, offset: float = 0.0) -> dict[
     raised = {c: f"greatest({f32(0)}, ({x} - {f32(offset)}) * {f32(1 / (1 - offset))})" for c, x in zip("rgb", (r, g, b))}
     third = f32(1 / 3)
     lum = f"({third} * {raised['r']} + {third} * {raised['g']} + {third} * {raised['b']})"
-    factor = f"({f32(_asinh(f'({f32(beta)} * lum)'))} / (lum * {f32(math.asinh(beta))}))"
+    factor = f32(f"{f32(_asinh(f'({f32(beta)} * lum)'))} / (lum * {f32(math.asinh(beta))})")
     return {"lum": lum, **{c: f"CASE WHEN lum <= 0 THEN {f32(0)} ELSE least({f32(1)}, greatest({f32(0)}, {raised[c]} * {factor})) END" for c in "rgb"}}
 
 
 def mtf(x: str, shadows: str, midtones: str, highlights: str) -> str:
     """The midtone transfer function; parameters are expressions of 32-bit numbers."""
-    xp = f"(({x} - {shadows}) * ({f32(1)} / ({highlights} - {shadows})))"
-    return f"CASE WHEN {x} <= {shadows} THEN {f32(0)} WHEN {x} >= {highlights} THEN {f32(1)} ELSE ({midtones} - {f32(1)}) * {xp} / (({f32(2)} * {midtones} - {f32(1)}) * {xp} - {midtones}) END"
+    # quotients are cast back, as dialects differ in the type of a quotient of 32-bit numbers
+    xp = f"(({x} - {shadows}) * {f32(f'{f32(1)} / ({highlights} - {shadows})')})"
+    bent = f32(f"({midtones} - {f32(1)}) * {xp} / (({f32(2)} * {midtones} - {f32(1)}) * {xp} - {midtones})")
+    return f"CASE WHEN {x} <= {shadows} THEN {f32(0)} WHEN {x} >= {highlights} THEN {f32(1)} ELSE {bent} END"
 
 
 def mtf_value(x: float, m: float) -> float:

@@ -19,6 +19,7 @@ from .algebra import NP, layered
 from .distortion import Sip, Tnx, Tpv
 from .layers import Layer
 from .layers import apply as apply_layers
+from .layers import fenced
 from .projections import HALF, PROJECTIONS, Projection, select
 
 LON_NAMES, LAT_NAMES = ("RA", "GLON", "ELON", "SLON", "HLON", "TLON"), ("DEC", "GLAT", "ELAT", "SLAT", "HLAT", "TLAT")
@@ -185,7 +186,7 @@ class Transform:
         if closed:
             columns = [*df.columns, out_a, out_b]
             done = apply_layers(df.withColumns({"wcs_a": F.col(a).cast("double"), "wcs_b": F.col(b).cast("double")}), self.layers(direction, "wcs_a", "wcs_b", out_a, out_b))
-            return done.select(*dict.fromkeys(columns))
+            return fenced(done.select(*dict.fromkeys(columns)))
         transform = self
 
         def run(p: pd.Series, q: pd.Series) -> pd.DataFrame:
