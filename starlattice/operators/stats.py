@@ -17,7 +17,9 @@ MAD_NORM = 1.4826
 
 
 def _clean(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    v = F.col(value).cast("double")
+    """Keys and v; 32-bit values stay so, as their bins are found in 32-bit arithmetic."""
+    narrow = dict(df.dtypes)[value] == "float"
+    v = F.col(value) if narrow else F.col(value).cast("double")
     return df.select(*group, v.alias("v")).filter(v.isNotNull() & ~F.isnan(v))
 
 
@@ -55,6 +57,8 @@ def percentiles(df: DataFrame, group: list[str], value: str, ps: list[float], na
     rows = _clean(df, group, value)
     spans = _spans(rows, group)
     scale = (F.col("bins") - 1) / (F.col("hi") - F.col("lo"))
+    if dict(rows.dtypes)["v"] == "float":
+        scale = scale.cast("float")
     flat = spans.filter("hi = lo")
     binned = _with(rows, spans.filter("hi > lo"), group).withColumn("bin", F.least(F.floor(scale * (F.col("v") - F.col("lo"))), F.col("bins") - 1))
     keys = [*group, "n", "lo", "hi", "bins"]
