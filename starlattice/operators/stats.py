@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.durable import durable
+from ..durable import durable
 
 MAX_BINS = 65_536
 MAD_NORM = 1.4826

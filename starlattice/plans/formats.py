@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..durable import posix_folder
 from ..functions.cards import card_layers, join_continued, pivot_keys
 from ..sources import codecs, quantize, reader, writer
 from .tables import layered, query, table
@@ -127,15 +127,11 @@ for _name in ("RICE_1", "GZIP_1", "GZIP_2", "PLIO_1", "HCOMPRESS_1", "NOCOMPRESS
     query(f"codec_roundtrip_{_name.lower()}")(_roundtrip(_name))
 
 
-def _home() -> str:
-    return tempfile.mkdtemp(prefix="starlattice-files-")
-
-
 @query("fits_roundtrip_table", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
 def fits_table(spark, sf_dir):
-    """A table written as files of the container and read back (on a cluster: to a folder that all share)."""
+    """A table written as files of the container, in the folder that all share, and read back."""
     reader.register(spark)
-    home = _home()
+    home = posix_folder(spark, "files")
     writer.write_table(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal").coalesce(2), home, "SUPPLIER")
     return spark.read.format("starfits").option("mode", "table").option("extname", "SUPPLIER").load(f"{home}/*.fits")
 
@@ -144,7 +140,7 @@ def fits_table(spark, sf_dir):
 def fits_image(spark, sf_dir):
     """An image and its compressed twin, read as pixels and as tiles."""
     reader.register(spark)
-    path = os.path.join(_home(), "image.fits")
+    path = os.path.join(posix_folder(spark, "files"), "image.fits")
     values = (np.add.outer(np.arange(48) * 3, np.arange(64)) % 500).astype(np.int64)
     writer.write_file(path, [writer.image_unit(values, 16, True), writer.compressed_unit(values, 16, "RICE_1")])
     pixels = spark.read.format("starfits").option("mode", "image").option("hdu", "0").load(path)
@@ -156,6 +152,6 @@ def fits_image(spark, sf_dir):
 @query("fits_hdu_catalogue")
 def fits_hdus(spark, sf_dir):
     reader.register(spark)
-    path = os.path.join(_home(), "units.fits")
+    path = os.path.join(posix_folder(spark, "files"), "units.fits")
     writer.write_file(path, [writer.empty_primary(), writer.image_unit(np.arange(12.0).reshape(3, 4), -32, False), writer.image_unit(np.arange(8), 16, False)])
     return spark.read.format("starfits").option("mode", "hdu").load(path).select("hdu_index", "kind", "bitpix", "shape", "data_start", "data_end")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import stretch as st
-from ..operators import image, stats
+from ..operators import image, presets, stats
 from .tables import query, table
 
 
@@ -172,3 +172,23 @@ def noise_mad3(spark, sf_dir):
     rows = table(spark, sf_dir, "events")
     return image.third_difference_median(rows, "user_id", ["ts", "event_id"], "value").select("user_id", F.round(F.col("third").cast("double"), 2).alias("third"))
 
+
+
+# -- presets ---------------------------------------------------------------------------------------------------------
+def _rgb_wide(spark, sf_dir):
+    return table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "CAST(p_retailprice / 25e2 AS FLOAT) AS r", "CAST(p_size / 51e0 AS FLOAT) AS g", "CAST(CAST(p_partkey % 256 AS DOUBLE) / 255e0 AS FLOAT) AS b")
+
+
+def _preset(name):
+    def run(spark, sf_dir):
+        out = presets.apply(_rgb_wide(spark, sf_dir), name)
+        return out.select("id", *[F.round(F.col(c).cast("double"), 5).alias(c) for c in "rgb"])
+
+    return run
+
+
+_WIDE_SQL = "(SELECT p_partkey AS id, CAST(p_retailprice / 25e2 AS FLOAT) AS r, CAST(p_size / 51e0 AS FLOAT) AS g, CAST(CAST(p_partkey % 256 AS DOUBLE) / 255e0 AS FLOAT) AS b FROM part)"
+for _name in ("kstars1", "auto_linked", "asinh_medium"):
+    query(f"stretch_preset_{_name}")(_preset(_name))
+for _name, _form in (("linear", lambda c: st.linear(c, 0.05)), ("ght_strong", lambda c: st.Ght(5.0, 2.0, 0.0, 0.3, 1.0).expression(c))):
+    query(f"stretch_preset_{_name}", f"SELECT id, {', '.join(f'round(CAST({_form(c)} AS DOUBLE), 5) AS {c}' for c in 'rgb')} FROM {_WIDE_SQL} AS w")(_preset(_name))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..durable import shared_path
+
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream with an event time."""
@@ -31,11 +32,19 @@ def sessions(events: DataFrame, gap: str, delay: str = "1 hour") -> DataFrame:
 
 
 def run_to_end(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataFrame], mode: str = "complete") -> DataFrame:
-    """Run a streaming query over what is there now and return its result table."""
-    name = f"stream_{uuid.uuid4().hex}"
-    running = build(event_stream(spark, sf_dir)).writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Run a streaming query over what is there now; its result is a table in the shared folder.
+
+    Each batch of complete mode replaces the result, so a batch that is run again after a failure leaves the same table.
+    """
+    path = shared_path(spark, "stream")
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/result")
+
+    query = build(event_stream(spark, sf_dir))
+    running = query.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     try:
         running.awaitTermination()
     finally:
         running.stop()
-    return spark.table(name)
+    return spark.read.schema(query.schema).parquet(f"{path}/result")
