@@ -26,6 +26,8 @@ from .common import durable, fold, small_batches
 
 BLOCK_BYTES = 8 << 20
 PRIOR = 10_000.0
+#: Words that one step of the recursion takes together (in groups of one length).
+TOGETHER = 60_000
 _BASE, _SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 _SLOTS = 20
 
@@ -186,7 +188,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.cumsum([0, *[len(c[0]) for c in counts]])
         flat = lambda k: np.concatenate([c[k] for c in counts]).astype(np.int32) if counts else np.zeros(0, np.int32)
         return pa.RecordBatch.from_pydict({
-            "block": [f"{part}-{number}"], "words": pa.array([list(words)], pa.list_(pa.binary())), "trained": pa.array([trained], pa.list_(pa.int64())),
+            "block": pa.array([part << 32 | number], pa.int64()), "words": pa.array([list(words)], pa.list_(pa.binary())), "trained": pa.array([trained], pa.list_(pa.int64())),
             "doc_id": pa.array([docs], pa.list_(pa.int64())), "held": pa.array([held], pa.list_(pa.bool_())), "ends": pa.array([ends], pa.list_(pa.int64())),
             "index": [flat(0).tobytes()], "count": [flat(1).tobytes()],
         })
@@ -206,12 +208,25 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(docs, held, counts, words)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together, so that the groups of one length are long."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= TOGETHER:
+            yield pa.Table.from_batches(held)
+            held, rows = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _expect(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(*shared.value)
         total = np.zeros(len(pieces.names))
-        for batch in batches:
-            total += pieces.expected(batch.column("word").to_pylist(), batch.column("c").to_numpy().astype(np.float64))
+        for part in _gathered(batches):
+            total += pieces.expected(part.column("word").to_pylist(), part.column("c").to_numpy().astype(np.float64))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"piece": pa.array(used, pa.int32()), "uses": total[used]})
 
@@ -221,8 +236,9 @@ def _expect(shared):
 def _word_scores(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(*shared.value)
-        for batch in batches:
-            yield pa.RecordBatch.from_pydict({"word": batch.column("word"), "c": batch.column("c"), "lp": pieces.log10(batch.column("word").to_pylist())})
+        for part in _gathered(batches):
+            scores = pa.chunked_array([pieces.log10(part.column("word").to_pylist())], pa.float64())
+            yield from part.append_column("lp", scores).to_batches(max_chunksize=10_000)
 
     return run
 
@@ -268,7 +284,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     small_batches(spark, 1000)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold(F.col(id_col), folds) == held_fold).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    shape = "block string, words array<binary>, trained array<long>, doc_id array<long>, held array<boolean>, ends array<long>, index binary, count binary"
+    shape = "block long, words array<binary>, trained array<long>, doc_id array<long>, held array<boolean>, ends array<long>, index binary, count binary"
     blocks = durable(rows.mapInArrow(_blocks, shape), "blocks")
     pairs = blocks.select("block", F.posexplode(F.arrays_zip("words", "trained")).alias("idx", "w")).select("block", "idx", F.col("w.words").alias("word"), F.col("w.trained").alias("n"))
     words = durable(pairs.groupBy("word").agg(F.sum("n").alias("c")), "words")
