@@ -14,11 +14,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lower, small_batches
+from .common import ascii_lower, durable, hand_back, owns_worker, small_batches
 
 
 def _newer(a: int | None, b: int | None) -> bool:
@@ -37,6 +37,7 @@ def _with_counts(batch: pa.RecordBatch, index: list[int], counts: list[int]) ->
 
 def _local(field: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns_worker("dedup")
         for batch in batches:
             ids, best = batch.column("_id").to_pylist(), {}
             for i, content in enumerate(_contents(batch, field)):
@@ -122,21 +123,23 @@ def assignments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Exactly one row of each group is kept, also if rows repeat an id. If every id of a group is null, keep_id is null.
+    The figures of groups that hold a large share of all rows reach those rows by a bounded broadcast.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    groups = winners(narrow, "doc_id", "text", salts).select(
+    won = winners(narrow, "doc_id", "text", salts).select(
         F.col("_digest"), F.col("_id").alias("keep_id"), F.col("_n").alias("group_size"), F.octet_length(F.coalesce(F.col("_row.text"), F.lit(""))).alias("_len")
     )
-    rows = docs.select(
+    rows = durable(docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.unhex(F.sha2(ascii_lower(text).cast("binary"), 256)).alias("_digest"),
         F.octet_length(text).alias("_len"),
-    )
-    # A row that repeats another's id and text gets a number of its own, as one row only may stay.
-    rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "_digest", "_len").orderBy(F.lit(1))))
-    return rows.join(groups, ["_digest", "_len"]).select(
-        "doc_id", "keep_id", "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 1)).alias("kept"),
-        F.lower(F.hex("_digest")).alias("text_sha256"),
+        F.monotonically_increasing_id().alias("_at"),
+    ), "digests")
+    # Of rows that repeat the winner's id and text one only may stay: the one that stands last.
+    stays = rows.groupBy("_digest", "_len").agg(F.max_by("_at", F.struct(F.coalesce("doc_id", F.lit(-(2**63))), "_at")).alias("_stays"), F.count(F.lit(1)).alias("_rows"))
+    groups = durable(won.join(stays, ["_digest", "_len"]), "groups")
+    total = rows.count()
+    return hand_back(rows, groups, ["_digest", "_len"], "_rows", total).select(
+        "doc_id", "keep_id", "group_size", (F.col("_at") == F.col("_stays")).alias("kept"), F.lower(F.hex("_digest")).alias("text_sha256"),
     )
