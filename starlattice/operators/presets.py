@@ -54,11 +54,11 @@ def apply(df: DataFrame, name: str) -> DataFrame:
     if p.kind == "asinh":
         parts = stretch.asinh_rgb(*rgb, *p.values)
         return df.selectExpr("*", f"{parts['lum']} AS lum").selectExpr(*keep, *[f"{parts[c]} AS {c}" for c in rgb])
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("value")) for c in rgb])))
     if p.kind == "linked":
-        long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("value")) for c in rgb])))
         joined = df.crossJoin(F.broadcast(stats.autostretch_linked_params(long, "channel", "value", *p.values)))  # one row
         return joined.selectExpr(*keep, *[f"{stretch.mtf(c, 'shadows', 'midtones', 'highlights')} AS {c}" for c in rgb])
-    for c in rgb:
-        own = stats.autostretch_params(df.select(c), [], c, *p.values).select(*[F.col(k).alias(f"{c}_{k}") for k in ("shadows", "midtones", "highlights")])
-        df = df.crossJoin(F.broadcast(own))  # one row
-    return df.selectExpr(*keep, *[f"{stretch.mtf(c, f'{c}_shadows', f'{c}_midtones', f'{c}_highlights')} AS {c}" for c in rgb])
+    # All channels in one pass; a channel without a value has no figures, and its values are null anyway.
+    own = stats.autostretch_params(long, ["channel"], "value", *p.values)
+    wide = own.agg(*[F.max(F.when(F.col("channel") == c, F.col(k))).alias(f"{c}_{k}") for c in rgb for k in ("shadows", "midtones", "highlights")])
+    return df.crossJoin(F.broadcast(wide)).selectExpr(*keep, *[f"{stretch.mtf(c, f'{c}_shadows', f'{c}_midtones', f'{c}_highlights')} AS {c}" for c in rgb])  # one row

@@ -2,17 +2,25 @@
 
 Percentiles select from a histogram of min(65536, n) bins between the group's extremes and interpolate in its running
 count, so a group of any size costs two aggregations and a window over at most 65536 rows. NaN and null are skipped.
+A group's figures (one row a group) are stored between passes: each pass scans the values once, meets the figures by a
+broadcast whose size is checked, and never shuffles the values by group.
 ``group`` lists key columns (an empty list: the whole table); results have one row per group.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..durable import durable
 
 MAX_BINS = 65_536
+#: Groups whose figures may be broadcast (some 100 bytes each); more are joined by shuffle.
+BROADCAST_GROUPS = 200_000
+#: Rows of one group that may be sorted together.
+SORTED = 100_000
 MAD_NORM = 1.4826
 
 
@@ -35,15 +43,20 @@ def mean_stdev_f32(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """Two passes in 32-bit arithmetic with 64-bit sums; NaN carries through, one value has no deviation."""
     v = F.col(value).cast("float")
     rows = df.select(*group, v.alias("v"))
-    means = rows.groupBy(*group).agg((F.sum(F.col("v").cast("double")) / F.count("v")).cast("float").alias("mean"), F.count("v").alias("n"))
-    joined = rows.join(means, group) if group else rows.crossJoin(F.broadcast(means))  # one row of means
+    means = durable(rows.groupBy(*group).agg((F.sum(F.col("v").cast("double")) / F.count("v")).cast("float").alias("mean"), F.count("v").alias("n")), "means")
+    joined = _with(rows, means, group)
     d = (F.col("v") - F.col("mean")).cast("float")
     return joined.groupBy(*group, "mean", "n").agg(F.sum((d * d).cast("double")).alias("ss")).select(*group, "mean", F.when(F.col("n") > 1, F.sqrt(F.col("ss") / (F.col("n") - 1)).cast("float")).otherwise(F.lit(float("nan")).cast("float")).alias("stdev"))
 
 
 def _with(rows: DataFrame, small: DataFrame, group: list[str]) -> DataFrame:
-    """Rows with their group's figures: by key, or the only row there is."""
-    return rows.join(small, group) if group else rows.crossJoin(F.broadcast(small))
+    """Rows with the figures of their group (null is a group as well); ``small`` is stored and has one row a group."""
+    if not group:
+        return rows.crossJoin(F.broadcast(small))  # one row
+    few = small.count() <= BROADCAST_GROUPS
+    keys = small.select(*[F.col(g).alias(f"_{g}") for g in group], *[c for c in small.columns if c not in group])
+    same = reduce(lambda a, b: a & b, [rows[g].eqNullSafe(keys[f"_{g}"]) for g in group])
+    return rows.join(F.broadcast(keys) if few else keys, same).drop(*[f"_{g}" for g in group])
 
 
 def _spans(rows: DataFrame, group: list[str]) -> DataFrame:
@@ -55,7 +68,7 @@ def percentiles(df: DataFrame, group: list[str], value: str, ps: list[float], na
     """One column for each p; a group without a number gives no row (the caller may coalesce to 0)."""
     names = names or [f"p{round(p * 100)}" for p in ps]
     rows = _clean(df, group, value)
-    spans = _spans(rows, group)
+    spans = durable(_spans(rows, group), "spans")
     scale = (F.col("bins") - 1) / (F.col("hi") - F.col("lo"))
     if dict(rows.dtypes)["v"] == "float":
         scale = scale.cast("float")
@@ -84,47 +97,72 @@ def median(df: DataFrame, group: list[str], value: str) -> DataFrame:
 
 def median_mad(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """median and mad, the median of the distances from it."""
-    middle = median(df, group, value)
+    middle = durable(median(df, group, value), "median")
     away = _with(_clean(df, group, value), middle, group).withColumn("away", F.abs(F.col("v") - F.col("median")))
-    mad = percentiles(away, group, "away", [0.5], ["mad"])
-    return _with(middle, mad, group)
+    return _with(percentiles(away, group, "away", [0.5], ["mad"]), middle, group).select(*group, "median", "mad")
 
 
 def kth(df: DataFrame, group: list[str], value: str, k: int) -> DataFrame:
-    """The exact k-th smallest (from 0) of each group that has so many."""
+    """The exact k-th smallest (from 0) of each group that has so many.
+
+    A group of more than SORTED values is narrowed to the histogram bin that holds the k-th, again and again, until few
+    values are left or all are equal; only those are sorted.
+    """
+    rows = _clean(df, group, value)
+    here = durable(rows.groupBy(*group).agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).filter(F.col("n") > k).withColumn("at", F.lit(k).cast("long")), "kth")
+    for _ in range(64):
+        wide = here.filter((F.col("n") > SORTED) & (F.col("lo") < F.col("hi")))
+        if not wide.limit(1).count():
+            break
+        step = (F.col("hi").cast("double") - F.col("lo")) / MAX_BINS
+        bin_of = F.least(F.floor((F.col("v") - F.col("lo")) / step), F.lit(MAX_BINS - 1))
+        inside = _with(rows, durable(wide, "kth"), group).filter(F.col("v").between(F.col("lo"), F.col("hi")))
+        counts = inside.groupBy(*group, "n", "at", bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        run = counts.withColumn("cum", F.sum("c").over(Window.partitionBy(*group, "n", "at").orderBy("bin"))).filter((F.col("cum") > F.col("at")) & (F.col("cum") - F.col("c") <= F.col("at")))
+        narrow = run.select(*group, F.col("c").alias("n"), "lo", "hi", (F.col("at") - (F.col("cum") - F.col("c"))).alias("at"))
+        here = durable(here.filter((F.col("n") <= SORTED) | (F.col("lo") >= F.col("hi"))).unionByName(narrow), "kth")
+    flat = here.filter(F.col("lo") >= F.col("hi")).select(*group, F.col("lo").alias("kth"))
+    left = _with(rows, durable(here.filter(F.col("lo") < F.col("hi")), "kth"), group).filter(F.col("v").between(F.col("lo"), F.col("hi")))
     w = Window.partitionBy(*group).orderBy("v")
-    return _clean(df, group, value).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 1).filter(F.col("r") == k + 1).select(*group, F.col("v").alias("kth"))
+    picked = left.withColumn("r", F.row_number().over(w)).filter(F.col("r") == F.col("at") + 1).select(*group, F.col("v").alias("kth"))
+    return picked.unionByName(flat)
 
 
 def sigma_clip(df: DataFrame, group: list[str], value: str, low: float, high: float, max_iter: int = 5, center: str = "mean") -> DataFrame:
     """mean, stdev, median and ngood of what stays within low and high deviations of the centre.
 
     A round looks at groups as wholes; bounds are inclusive and a group whose deviation is 0 keeps all. The rounds end
-    when none rejects anything. Lineage is cut each round.
+    when none rejects anything. Between rounds only each group's bounds are kept; the values are scanned again.
     """
-    work = _clean(df, group, value)
+    rows, bounds, before = _clean(df, group, value), None, None
+    reach = lambda side: F.lit(float("inf") * side).alias("lo" if side < 0 else "hi")
+
+    def work() -> DataFrame:
+        return rows if bounds is None else _with(rows, bounds, group).filter(F.col("v").between(F.col("lo"), F.col("hi"))).select(*group, "v")
+
     for _ in range(max_iter or 100):
+        mids = work().groupBy(*group).agg(F.count("v").alias("n"), F.avg("v").alias("c"))
         if center == "median":
-            mids = median(work, group, "v").withColumnRenamed("median", "c")
-        else:
-            mids = work.groupBy(*group).agg(F.avg("v").alias("c"))
-        away = _with(work, mids, group)
-        spread = away.groupBy(*group, "c").agg(F.sqrt(F.avg((F.col("v") - F.col("c")) ** 2)).alias("s"))
-        marked = _with(work, spread, group)
-        keep = (F.col("s") == 0) | F.col("v").between(F.col("c") - F.lit(low) * F.col("s"), F.col("c") + F.lit(high) * F.col("s"))
-        marked = durable(marked.select(*group, "v", keep.alias("keep")), "clip")
-        work = marked.filter("keep").drop("keep")
-        if not marked.filter("not keep").limit(1).count():
+            middle = durable(median(work(), group, "v").withColumnRenamed("median", "c"), "median")
+            mids = _with(mids.drop("c"), middle, group)
+        mids = durable(mids, "centre")
+        if before is not None and not mids.select(*group, "n").exceptAll(before).limit(1).count():
             break
-    total = work.groupBy(*group).agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("stdev"), F.count("v").alias("ngood"))
-    return _with(total, median(work, group, "v"), group)
+        before = mids.select(*group, "n")
+        spread = _with(work(), mids.select(*group, "c"), group).groupBy(*group, "c").agg(F.sqrt(F.avg((F.col("v") - F.col("c")) ** 2)).alias("s"))
+        edge = lambda side, k: F.when(F.col("s") == 0, F.lit(side * float("inf"))).otherwise(F.col("c") + F.lit(side * k) * F.col("s"))
+        found = spread.select(*group, edge(-1, low).alias("new_lo"), edge(1, high).alias("new_hi"))
+        found = found.select("*", reach(-1), reach(1)) if bounds is None else _with(found, bounds, group)
+        bounds = durable(found.select(*group, F.greatest("lo", "new_lo").alias("lo"), F.least("hi", "new_hi").alias("hi")), "bounds")
+    total = durable(work().groupBy(*group).agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("stdev"), F.count("v").alias("ngood")), "clipped")
+    return _with(median(work(), group, "v"), total, group).select(*group, "mean", "stdev", "ngood", "median")
 
 
 def histogram(df: DataFrame, group: list[str], value: str, nbins: int = 256) -> DataFrame:
     """bin, lower, upper, count and cdf for every bin, empty ones too; the last bin is closed, equal values fill bin 0."""
     nbins = nbins if nbins > 0 else 256
     rows = _clean(df, group, value)
-    spans = rows.groupBy(*group).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("total"))
+    spans = durable(rows.groupBy(*group).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("total")), "spans")
     width = F.col("hi") - F.col("lo")
     at = F.when(width == 0, F.lit(0)).otherwise(F.least(F.floor(F.lit(float(nbins)) / F.nullif(width, F.lit(0.0)) * (F.col("v") - F.col("lo"))), F.lit(nbins - 1))).cast("int")
     counts = _with(rows, spans, group).groupBy(*group, at.alias("bin")).agg(F.count(F.lit(1)).alias("c"))
@@ -147,7 +185,7 @@ def filter_nonzero(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """Rows whose value is neither 0 nor NaN; a group that has none such stays whole."""
     v = F.col(value).cast("double")
     good = v.isNotNull() & ~F.isnan(v) & (v != 0)
-    any_good = df.groupBy(*group).agg(F.max(good).alias("_some"))
+    any_good = durable(df.groupBy(*group).agg(F.max(good).alias("_some")), "some")
     return _with(df, any_good, group).filter(good | ~F.col("_some")).drop("_some")
 
 

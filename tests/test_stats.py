@@ -17,7 +17,7 @@ def test_percentiles(spark):
         pytest.skip("no goldens here")
     golden = json.load(open(GOLD))
     f = np.float32
-    cases = {"gradient_200": f(0.01) + (f(0.3) - f(0.01)) * (np.arange(200, dtype=f) / f(199)), "gradient_1000": np.arange(1000, dtype=f) / f(999), "all_same": np.full(100, f(0.42)), "single": np.array([3.14], f)}
+    cases = {"gradient_200": f(0.01) + (f(0.3) - f(0.01)) * np.arange(200, dtype=f) / f(199), "gradient_1000": np.arange(1000, dtype=f) / f(999), "all_same": np.full(100, f(0.42)), "single": np.array([3.14], f)}
     for name, values in cases.items():
         g = golden[name]
         df = spark.createDataFrame([(float(v),) for v in values], "v float")
