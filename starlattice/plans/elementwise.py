@@ -12,7 +12,8 @@ from ..functions.frames import frame_matrix, precession, rotation_layers, transp
 from ..functions.layers import f32, num, render, whole
 from ..functions.projections import PROJECTIONS
 from ..functions.wcs import Transform, parse
-from .tables import layered, query, register, rounded, sky, table
+from . import published
+from .tables import ORACLES, layered, query, register, rounded, sky, table
 
 # -- frames ----------------------------------------------------------------------------------------------------------
 FRAMES = {
@@ -117,3 +118,6 @@ layered("stretch_quantize8", "part", PIXEL, [{"level": st.quantize8("CAST(r AS D
 _raw = {"id": "CAST(l_orderkey * 8 + l_linenumber AS BIGINT)", "raw": "CAST((l_orderkey * 31 + l_linenumber) % 256 AS BIGINT)"}
 layered("masked_scale", "lineitem", _raw, [{"value": "CASE WHEN raw = 255 THEN NULL ELSE CAST(raw AS DOUBLE) * 5e-1 + 1e2 END"}], {"id": "id", "value": "value", "valid": "value IS NOT NULL"})
 layered("quantize_nodither", "events", {"id": "event_id", "v": "value"}, [{"q": f"CASE WHEN v >= 0 THEN {whole('v / 25e-2 + 5e-1')} ELSE -{whole('-v / 25e-2 + 5e-1')} END"}, {"back": "CAST(q AS DOUBLE) * 25e-2"}], {"id": "id", "q": "q", "back": "back"})
+
+# Oracles written apart from the layers take the place of the rendered ones.
+ORACLES.update(published.oracles())
