@@ -3,14 +3,18 @@
 A text's shingles are its runs of ``n`` words (white space separates; A-Z lower-cased); a shorter text is one shingle.
 
 1. Texts with the same shingle set form a class; a class has one representative from here on.
-2. The forest: each of ``trees`` tries sorts signatures of MinHash values. A match starts at full depth and is shortened
-   level by level until a pair at the threshold shares a prefix in some tree with the target probability
-   (:func:`depth_for`). Shortening only widens a match, so the subtries at the final depth hold all earlier ones.
-3. Within a subtrie, streamed in sorted order, a representative joins every leader that its signature is near to
+2. The forest: ``trees`` tries hold signatures of ``DEEPEST`` MinHash values each, as byte strings whose sorted order is
+   the trie. Matching begins at full depth. Every near pair that a pass meets is counted by its similarity s; as it
+   meets with probability s ** depth in one tree, the counts give the number of near pairs of each s that the data
+   hold, seen or not, and so the recall of any depth. While that is below ``recall``, prefixes are shortened to the
+   depth that reaches it (:func:`shortened`), at most to where a pair at the threshold itself would be found so often
+   (:func:`depth_for`). A pass looks only at subtries in which shortening brought something together.
+3. Within a subtrie, streamed in trie order, a representative joins every leader that its signature is near to
    (``LOOSE``) and becomes a leader itself unless it is very near to one (``TIGHT``). Distances obey the triangle
    inequality, so two texts over the threshold end up in one group; only spanning edges are emitted, never pairs.
-4. Inside each group all pairs are verified exactly in blocks of ``BLOCK`` representatives ordered by set size. A block
-   pair counts each text's links by a matrix product over shared shingles and emits counts and spanning edges.
+   A subtrie of more than ``CROWD`` rows is dealt into cells of two of its slices each, so no task gets all of it.
+4. Inside each group all pairs are verified exactly in blocks of at most ``BLOCK`` representatives ordered by set size.
+   A block pair counts each text's links by a matrix product over shared shingles and emits counts and spanning edges.
 """
 
 from __future__ import annotations
@@ -22,20 +26,42 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, row_key, small_batches
+from .common import discard, durable, hand_back, owns_worker, row_key, small_batches, worker_memory
 from .components import connected_components
 
-LOOSE, TIGHT, BLOCK = 0.6, 0.9, 384
-_WORDS_KEPT = 400_000
+LOOSE, TIGHT, BLOCK, CROWD, DEEPEST = 0.55, 0.95, 384, 256, 6
+#: Members of groups (some 100 bytes each) whose list may be broadcast to fetch their texts; more are joined by shuffle.
+BROADCAST_MEMBERS = 400_000
+_WORDS_KEPT = 200_000
 
 
-def depth_for(trees: int, threshold: float, recall: float, deepest: int = 8) -> int:
+def found_at(depth: int, trees: int, s: float) -> float:
+    """The probability that a pair of similarity s shares a prefix of that depth in some tree."""
+    return 1 - (1 - s**depth) ** trees
+
+
+def shortened(met: dict[float, float], depth: int, trees: int, threshold: float, recall: float) -> int:
+    """The depth that reaches ``recall`` on the data, as measured by a pass at ``depth``.
+
+    met: similarity -> how often a pair of that similarity met in a tree. Each pair meets ``trees * s ** depth`` times
+    on average, which turns meetings into numbers of pairs. One more pair at the threshold is always reckoned with, so
+    that a pass that saw nothing proves nothing.
+    """
+    pairs = {s: n / (trees * s**depth) for s, n in met.items()}
+    pairs[threshold] = pairs.get(threshold, 0.0) + 1.0
+    for d in range(depth, 1, -1):
+        if sum(n * found_at(d, trees, s) for s, n in pairs.items()) >= recall * sum(pairs.values()):
+            return d
+    return 1
+
+
+def depth_for(trees: int, threshold: float, recall: float, deepest: int = DEEPEST) -> int:
     """Shorten the matched prefix until a pair at the threshold is seen with probability ``recall`` at least."""
     depth = deepest
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+    while depth > 1 and found_at(depth, trees, threshold) < recall:
         depth -= 1
     return depth
 
@@ -48,7 +74,7 @@ class _WordHash(dict):
         return value
 
 
-_words = _WordHash()
+_words = worker_memory("ngram_join", _WordHash())
 
 
 def shingles(text: bytes, n: int = 5) -> np.ndarray:
@@ -67,37 +93,31 @@ def shingles(text: bytes, n: int = 5) -> np.ndarray:
 
 def permutations(count: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
-    return rng.integers(1, 1 << 63, count, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, count, np.uint64)
+    return rng.integers(0, 1 << 31, count, np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, count, np.uint32)
 
 
 def signature(sets: np.ndarray, mult: np.ndarray, plus: np.ndarray) -> np.ndarray:
-    """MinHash values (32 bits) under each permutation."""
-    best = np.full(len(mult), np.uint64(0xFFFFFFFFFFFFFFFF))
-    for at in range(0, len(sets), 2048):
-        part = sets[at : at + 2048]
-        np.minimum(best, (part[None, :] * mult[:, None] + plus[:, None]).min(axis=1), out=best)
-    return (best >> np.uint64(32)).astype(np.uint32)
+    """The upper 16 bits of the MinHash values under each permutation, high byte first."""
+    best, short = np.full(len(mult), np.uint32(0xFFFFFFFF)), (sets >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(short), 1024):
+        np.minimum(best, (short[None, at : at + 1024] * mult[:, None] + plus[:, None]).min(axis=1), out=best)
+    return (best >> np.uint32(16)).astype(">u2")
 
 
-def _sign(n: int, trees: int, depth: int):
-    schema = pa.schema([("uid", pa.int64()), ("size", pa.int64()), ("key", pa.binary()), ("sig", pa.binary()), ("prefixes", pa.list_(pa.int64()))])
+def _sign(n: int, trees: int):
+    schema = pa.schema([("uid", pa.int64()), ("size", pa.int64()), ("key", pa.binary()), ("sig", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mult, plus = permutations(trees * depth)
+        owns_worker("ngram_join")
+        mult, plus = permutations(trees * DEEPEST)
         for batch in batches:
-            sizes, keys, sigs, prefixes = [], [], [], []
+            sizes, keys, sigs = [], [], []
             for text in batch.column("text").to_pylist():
                 own = shingles(text or b"", n)
                 sizes.append(len(own))
-                if not len(own):
-                    keys.append(b""), sigs.append(b""), prefixes.append([])
-                    continue
-                values = signature(own, mult, plus)
-                keys.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-                sigs.append((values & 0xFF).astype(np.uint8).tobytes())
-                rows = values.reshape(trees, depth)
-                prefixes.append([xxhash.xxh3_64_intdigest(r.tobytes(), t) - (1 << 63) for t, r in enumerate(rows)])
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], schema=schema)
+                keys.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else b"")
+                sigs.append(signature(own, mult, plus).tobytes() if len(own) else b"")
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], schema=schema)
 
     return run
 
@@ -113,53 +133,106 @@ class _Forest:
             self.up[x] = x = self.up[self.up[x]]
         return x
 
-    def join(self, a, b) -> bool:
+    def join(self, a, b) -> None:
         a, b = self.root(a), self.root(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
-
-
-def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by subtrie; emits spanning edges between near representatives of one subtrie."""
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
-    subtrie, count, width = None, 0, 0
-    sigs = np.zeros((0, 1), np.uint8)
-    names: list[bytes] = []
-    forest = _Forest()
-    for batch in batches:
-        left, right = [], []
-        tries = batch.column("prefix").to_pylist()
-        trees = batch.column("tree").to_pylist()
-        keys = batch.column("key").to_pylist()
-        own = batch.column("sig").to_pylist()
-        for where, key, sig in zip(zip(trees, tries), keys, own):
-            if where != subtrie:
-                subtrie, count, names, forest, width = where, 0, [], _Forest(), len(sig)
-                sigs = np.zeros((4, width), np.uint8)
-            mine = np.frombuffer(sig, np.uint8)
-            leads = True
-            if count:
-                same = (sigs[:count] == mine).sum(axis=1)
-                for i in np.flatnonzero(same >= LOOSE * width).tolist():
-                    if forest.join(names[i], key):
-                        left.append(names[i]), right.append(key)
-                leads = same.max() < TIGHT * width
-            if leads:
-                if count == len(sigs):
-                    sigs = np.concatenate([sigs, np.zeros_like(sigs)])
-                sigs[count] = mine
-                names.append(key)
-                count += 1
-        if left:
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], schema=schema)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+
+    def stars(self) -> list[tuple]:
+        """(smallest member, member) of all groups: what stands together in many tries gives the same edges in each."""
+        return [(top, x) for x in self.up if (top := self.root(x)) != x]
+
+
+def _leaders(threshold: float):
+    """Rows sorted by cell, slice and trie order; emits spanning edges between near representatives, and how often pairs met."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("same", pa.int32()), ("met", pa.int64())])
+
+    def edges(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        n = len(pairs)
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, count, width = None, 0, 0
+        sigs = np.zeros((0, 1), np.uint16)
+        names: list[bytes] = []
+        forest = _Forest()
+        met = np.zeros(0, np.int64)
+        for batch in batches:
+            done = []
+            cells = zip(*(batch.column(c).to_pylist() for c in ("trie", "i", "j")))
+            for where, part, key, sig in zip(cells, *(batch.column(c).to_pylist() for c in ("part", "key", "sig"))):
+                mine = np.frombuffer(sig, np.uint16)
+                if where != cell:
+                    done += forest.stars()
+                    cell, count, names, forest, width = where, 0, [], _Forest(), len(mine)
+                    sigs = np.zeros((4, width), np.uint16)
+                    if not len(met):
+                        met = np.zeros(width + 1, np.int64)
+                _, i, j = where
+                within = part == i  # rows of the first slice lead; a cell of two slices compares only across them
+                leads = within
+                if count:
+                    same = (sigs[:count] == mine).sum(axis=1)
+                    if i == j or not within:
+                        for at in np.flatnonzero(same >= LOOSE * width).tolist():
+                            forest.join(names[at], key)
+                        met += np.bincount(same[same >= threshold * width], minlength=width + 1)
+                    leads = within and same.max() < TIGHT * width
+                if leads:
+                    if count == len(sigs):
+                        sigs = np.concatenate([sigs, np.zeros_like(sigs)])
+                    sigs[count] = mine
+                    names.append(key)
+                    count += 1
+            if done:
+                yield edges(done)
+        if last := forest.stars():
+            yield edges(last)
+        seen = np.flatnonzero(met)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(seen), pa.binary()), pa.nulls(len(seen), pa.binary()), pa.array(seen, pa.int32()), pa.array(met[seen], pa.int64())], schema=schema)
+
+    return run
+
+
+def _climbed(reps: DataFrame, trees: int, depth: int, before: int | None, threshold: float) -> DataFrame:
+    """One pass: what meets at prefixes of ``depth`` and did not meet already at depth ``before``."""
+    parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    string = lambda levels: F.substring(F.col("sig"), F.col("tree") * F.lit(2 * DEEPEST) + 1, F.lit(2 * levels))
+    tries = reps.select("key", "sig", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).select("key", "tree", F.xxhash64("tree", string(depth)).alias("trie"), F.xxhash64(string(before or depth)).alias("was"))
+    crowd = tries.groupBy("trie").agg(F.count(F.lit(1)).alias("c"), F.min("was").alias("lo"), F.max("was").alias("hi")).filter("c > 1" if before is None else "lo <> hi")
+    crowd = crowd.select("trie", F.ceil(F.col("c") / CROWD).cast("int").alias("slices"))
+    live = tries.join(crowd, "trie").join(reps.select("key", "sig"), "key")
+    # Slices of neighbouring strings would be of uneven size; a hash of the key deals them evenly.
+    live = live.withColumn("part", F.pmod(F.xxhash64("key"), F.col("slices")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    cells = live.select("trie", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", string(DEEPEST).alias("string"), "key", "sig")
+    order = ["trie", "i", "j", "part", "string", "key"]
+    dealt = cells.repartition(parts, "trie", "i", "j").sortWithinPartitions(*order).drop("string")
+    return durable(dealt.mapInArrow(_leaders(threshold), "a binary, b binary, same int, met long"), "near")
+
+
+def near_edges(reps: DataFrame, trees: int, threshold: float, recall: float) -> DataFrame:
+    """Spanning edges (a, b) of near representatives: prefixes are shortened until the measured recall is reached."""
+    floor, width = depth_for(trees, threshold, recall), trees * DEEPEST
+    depth, before, passes = DEEPEST, None, []
+    while True:
+        stored = _climbed(reps, trees, depth, before, threshold)
+        passes.append(stored.filter("a is not null").select("a", "b"))
+        met = {r["same"] / width: r["met"] for r in stored.filter("same is not null").groupBy("same").agg(F.sum("met").alias("met")).collect()}  # a row for each similarity
+        goal = max(floor, shortened(met, depth, trees, threshold, recall))
+        if goal >= depth:
+            break
+        depth, before = goal, depth
+    out = passes[0]
+    for p in passes[1:]:
+        out = out.union(p)
+    return out
 
 
 def _sets(n: int):
     """Recompute the shingle sets of group members from their texts; rows of another text with the same id go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns_worker("ngram_join")
         for batch in batches:
             keep, sets = [], []
             for i, (text, key) in enumerate(zip(batch.column("text").to_pylist(), batch.column("key").to_pylist())):
@@ -215,8 +288,9 @@ def _verify(threshold: float):
                     yield k, c, None
         forest = _Forest()
         for a, b in zip(*np.nonzero(linked)):
-            if forest.join(left[a], right[b]):
-                yield left[a], None, right[b]
+            forest.join(left[a], right[b])
+        for top, k in forest.stars():
+            yield top, None, k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, rows, out = None, {}, []
@@ -256,40 +330,39 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     small_batches(spark, 1000)
-    depth = depth_for(trees, threshold, recall)
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("uid"), text.cast("binary").alias("text"))
-    signed = durable(base.select("uid", "text").mapInArrow(_sign(n, trees, depth), "uid long, size long, key binary, sig binary, prefixes array<long>"), "signed")
+    signed = durable(base.select("uid", "text").mapInArrow(_sign(n, trees), "uid long, size long, key binary, sig binary"), "signed")
     real = signed.filter("size > 0")
-    classes = real.groupBy("key").agg(F.min("uid").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size"))
-    # one signature of each class: rows with the representative's id
-    reps = durable(real.join(classes.select("key", F.col("rep").alias("uid"), "copies"), ["key", "uid"]).dropDuplicates(["key"]), "reps")
-    tries = reps.select("key", F.posexplode("prefixes").alias("tree", "prefix"))
-    crowded = tries.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("tree", "prefix")
+    # Rows of a class have one shingle set, so one signature.
+    reps = durable(real.groupBy("key").agg(F.min("uid").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size"), F.max("sig").alias("sig")), "reps")
+    classes = reps.select("key", "rep", "copies", "size")
+    groups = connected_components(near_edges(reps, trees, threshold, recall))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    live = tries.join(crowded, ["tree", "prefix"], "left_semi").join(reps.select("key", "sig"), "key")
-    near = live.repartition(parts, "tree", "prefix").sortWithinPartitions("tree", "prefix", "key").select("tree", "prefix", "key", "sig").mapInArrow(_leaders, "a binary, b binary")
-    groups = connected_components(near)
-    members = reps.join(groups.withColumnRenamed("node", "key").withColumnRenamed("label", "grp"), "key").select("key", "uid", "copies", "size", "grp")
-    order = Window.partitionBy("grp").orderBy("size", "key")
-    ranked = members.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
+    members = durable(classes.join(groups.withColumnRenamed("node", "key").withColumnRenamed("label", "grp"), "key"), "members")
+    # Sorted over all partitions, each BLOCK rows that follow one another form a block, as far as they are of one group.
+    ranked = durable(members.repartitionByRange(parts, "grp", "size", "key").sortWithinPartitions("grp", "size", "key").withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK)), "ranked")
+    discard(members)
     ranges = ranked.groupBy("grp", "block").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
     # Block pairs whose sizes allow the threshold; a group of one block has one pair.
     x, y = ranges.alias("x"), ranges.alias("y")
     allowed = x.join(y, F.expr(f"x.grp = y.grp and x.block <= y.block and x.hi >= {threshold} * y.lo - 1e-6")).select(F.col("x.grp").alias("grp"), F.col("x.block").alias("i"), F.col("y.block").alias("j"))
     sides = allowed.select("grp", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    texts = base.select("uid", "text").join(ranked, "uid").select("key", "copies", "grp", "block", "text")
-    sets = texts.mapInArrow(_sets(n), "key binary, copies long, grp binary, block int, text binary")
+    few = ranked.count() <= BROADCAST_MEMBERS
+    wanted = ranked.select(F.col("rep").alias("uid"), "key", "copies", "grp", "block")
+    texts = base.select("uid", "text").join(F.broadcast(wanted) if few else wanted, "uid").select("key", "copies", "grp", "block", "text")
+    sets = texts.mapInArrow(_sets(n), "key binary, copies long, grp binary, block long, text binary")
     dealt = sets.join(sides, ["grp", "block"]).repartition(parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j", "key")
     found = durable(dealt.select("grp", "i", "j", "block", "key", "copies", "text").mapInArrow(_verify(threshold), "key binary, links long, other binary"), "links")
     links = found.filter("links is not null").groupBy("key").agg(F.sum("links").alias("links"))
     final = connected_components(found.filter("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")))
-    named = final.join(reps.select(F.col("key").alias("node"), "uid"), "node")
-    heads = named.groupBy("label").agg(F.min("uid").alias("head"))
-    linked = named.join(heads, "label").select(F.col("node").alias("key"), "head").join(links, "key", "left")
-    info = classes.join(linked, "key", "left")
+    named = durable(final.join(classes.select(F.col("key").alias("node"), "rep"), "node"), "named")
+    heads = named.groupBy("label").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("nodes"))
+    linked = hand_back(named, durable(heads, "heads"), ["label"], "nodes", named.count()).select(F.col("node").alias("key"), "head").join(links, "key", "left")
+    info = durable(classes.drop("size").join(linked, "key", "left"), "info")
     rows = signed.select("uid", "size", "key")
-    out = rows.filter("size > 0").join(info.drop("size"), "key").select("uid", F.coalesce("head", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("rep").alias("copy_id"), "size")
+    known = hand_back(rows.filter("size > 0"), info, ["key"], "copies", rows.count())
+    out = known.select("uid", F.coalesce("head", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("rep").alias("copy_id"), "size")
     none = rows.filter("size = 0").select("uid", F.col("uid").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("uid").alias("copy_id"), "size")
     everyone = out.union(none)
     return everyone.select(F.when(F.col("uid") >= 0, F.col("uid")).alias("doc_id"), "class_id", "n_links", "copy_id", F.col("size").alias("n_shingles"), F.col("uid").alias("row_key"))
@@ -297,6 +370,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows whose document heads its class, with the columns of ``docs``."""
-    gone = ngram_join(docs, id_col, text_col, **how).filter("row_key <> class_id").select(F.col("row_key").alias("_gone")).distinct()
+    gone = durable(ngram_join(docs, id_col, text_col, **how).filter("row_key <> class_id").select(F.col("row_key").alias("_gone")).distinct(), "gone")
+    few = gone.count() <= BROADCAST_MEMBERS
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), row_key(F.col(id_col), F.col(text_col)).alias("_key"))
-    return rows.join(gone, rows["_key"] == gone["_gone"], "left_anti").select("_row.*")
+    return rows.join(F.broadcast(gone) if few else gone, rows["_key"] == gone["_gone"], "left_anti").select("_row.*")
