@@ -2,13 +2,18 @@
 
 A text is the sequence of its words (white space separates, A-Z lower-cased) and one end. A word is every way to cut a
 blank and its bytes into vocabulary pieces; single bytes are pieces too, so each text has a positive probability. The
-file's existing scores weigh the pieces at first; one expectation step over all training words then turns them into
-probabilities, with the existing weights as a prior of ``PRIOR`` pieces. A word's probability is the sum over its
-cuts, by forward recursion in log space over words of one length at a time. A text's is the product over words and end.
+file's existing scores weigh the pieces, and stay as they are. As pieces that begin with a blank open the next word, the
+probabilities of all words add up to one. The lattice has one more way through a word that the training texts hold: its
+count there, less a discount, over all counts. What the discounts leave goes to the pieces:
+
+    P(word) = (N + 1/2) / (N + E + 1) * (max(c - d, 0) + (d V + 1/2) * P_pieces(word)) / (N + 1/2),  P(end) = (E + 1/2) / (N + E + 1)
+
+with N words of training texts, V of them distinct, E ends, and d = n1 / (n1 + 2 n2) from the numbers of words seen once
+and twice. P_pieces is the sum over all cuts, by forward recursion in log space over words of one length at a time.
 
 Spark: texts become blocks of about ``BLOCK_BYTES`` with a vocabulary of their own, so a word travels once a block and
-not once a text; word counts and word probabilities are tables that are joined by word and never collected. Only piece
-counts (at most one a piece) and a few totals reach the driver.
+not once a text; word counts and word probabilities are tables that are joined by word and never collected. Only a few
+totals reach the driver.
 """
 
 from __future__ import annotations
@@ -22,10 +27,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fold, small_batches
+from .common import durable, fold, hand_back, owns_worker, small_batches
 
 BLOCK_BYTES = 8 << 20
-PRIOR = 10_000.0
 #: Words that one step of the recursion takes together (in groups of one length).
 TOGETHER = 60_000
 _BASE, _SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
@@ -35,9 +39,8 @@ _SLOTS = 20
 class Pieces:
     """Piece byte strings and log probabilities, with a hash table that numpy can look up in bulk."""
 
-    def __init__(self, names: list[bytes], weights: np.ndarray, end: float):
-        """end: the weight of a text's end, which shares the distribution with the pieces."""
-        self.names, self.logp = names, np.log(weights / (weights.sum() + end))
+    def __init__(self, names: list[bytes], weights: np.ndarray):
+        self.names, self.logp = names, np.log(weights / weights.sum())
         self.longest = max(map(len, names))
         self.keys, self.slot = np.zeros(1 << _SLOTS, np.uint64), np.full(1 << _SLOTS, -1, np.int32)
         for i, name in enumerate(names):
@@ -89,26 +92,13 @@ class Pieces:
             alpha[j] = top + np.log(np.exp(terms - top).sum(axis=0))
         return alpha
 
-    def backward(self, n: int, m: int, edges: dict) -> np.ndarray:
-        beta = np.full((n + 1, m), -np.inf)
-        beta[n] = 0
-        starts: dict[int, list[int]] = {}
-        for i, j in edges:
-            starts.setdefault(i, []).append(j)
-        padded = np.append(self.logp, -np.inf)
-        for i in range(n - 1, -1, -1):
-            terms = np.stack([beta[j] + padded[edges[i, j]] for j in starts[i]])
-            top = terms.max(axis=0)
-            beta[i] = top + np.log(np.exp(terms - top).sum(axis=0))
-        return beta
-
     @staticmethod
     def by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Positions of the words of one length and their bytes, each word after a blank; in parts of bounded size."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         for size in np.unique(sizes).tolist():
             own = np.flatnonzero(sizes == size)
-            most = max(1, min(8192, (1 << 21) // (size + 1)))
+            most = max(1, min(8192, (1 << 18) // (size + 1)))
             for at in range(0, len(own), most):
                 part = own[at : at + most]
                 joined = b"".join(b" " + words[i] for i in part.tolist())
@@ -135,29 +125,12 @@ class Pieces:
             alpha.append(top + math.log(sum(math.exp(t - top) for t in terms)))
         return float(alpha[-1])
 
-    def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
-        """Expected number of uses of each piece when each word comes as often as counted."""
-        out = np.zeros(len(self.names))
-        for part, data in self.by_length(words):
-            for at in range(0, data.shape[1], 4096):  # a very long word in stretches: only its weights are fitted
-                self._expect(data[:, at : at + 4096], counts[part], out)
-        return out
-
-    def _expect(self, data: np.ndarray, counts: np.ndarray, out: np.ndarray) -> None:
-        m, n = data.shape
-        edges = self.edges(data)
-        alpha, beta = self.forward(n, m, edges), self.backward(n, m, edges)
-        for (i, j), found in edges.items():
-            hit = np.flatnonzero(found >= 0)
-            uses = np.exp(alpha[i, hit] + self.logp[found[hit]] + beta[j, hit] - alpha[n, hit]) * counts[hit]
-            out += np.bincount(found[hit], uses, len(out))
-
 
 def vocabulary(path: str | None = None) -> tuple[list[bytes], np.ndarray]:
-    """Pieces that can occur in a word after a blank, and their existing weights.
+    """Pieces that can occur in a word after a blank, and the weights that the file's scores give them.
 
-    Scores that are log probabilities weigh as such; scores that are merge ranks (whole numbers) weigh as a Zipf
-    distribution over ranks. Bytes of last resort get a tenth of the smallest weight.
+    Scores that are log probabilities weigh as such; scores that are negative ranks (whole numbers) weigh as Zipf's law
+    over the ranks. Bytes of last resort get a tenth of the smallest weight.
     """
     import public_tokenizers
     import sentencepiece
@@ -178,6 +151,7 @@ def vocabulary(path: str | None = None) -> tuple[list[bytes], np.ndarray]:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    owns_worker("lattice")
     part, number = TaskContext.get().partitionId(), 0
 
     def flush(docs: list, held: list, counts: list[tuple[np.ndarray, np.ndarray]], words: dict[bytes, int]):
@@ -221,26 +195,55 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _expect(shared):
+def _word_scores(shared, discount: float, rest: float, total: float, word_share: float):
+    """Log10 probability of each word."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns_worker("lattice")
         pieces = Pieces(*shared.value)
-        total = np.zeros(len(pieces.names))
         for part in _gathered(batches):
-            total += pieces.expected(part.column("word").to_pylist(), part.column("c").to_numpy().astype(np.float64))
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"piece": pa.array(used, pa.int32()), "uses": total[used]})
+            spelled = 10 ** pieces.log10(part.column("word").to_pylist())
+            seen = np.maximum(part.column("c").to_numpy().astype(np.float64) - discount, 0)
+            with np.errstate(divide="ignore"):
+                lp = np.log10(word_share * (seen + rest * spelled) / total)
+            low = np.flatnonzero(~np.isfinite(lp))  # so long a word that its probability is below the smallest double
+            if len(low):
+                words = part.column("word").take(pa.array(low)).to_pylist()
+                lp[low] = pieces.log10(words) + math.log10(word_share * rest / total)
+            yield from part.append_column("lp", pa.chunked_array([lp], pa.float64())).to_batches(max_chunksize=10_000)
 
     return run
 
 
-def _word_scores(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(*shared.value)
-        for part in _gathered(batches):
-            scores = pa.chunked_array([pieces.log10(part.column("word").to_pylist())], pa.float64())
-            yield from part.append_column("lp", scores).to_batches(max_chunksize=10_000)
+_FOUND = np.dtype([("idx", "<i4"), ("c", "<i8"), ("lp", "<f8")])
 
-    return run
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a task found for the words of each block, as bytes of _FOUND records."""
+    held: dict[int, list[np.ndarray]] = {}
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"block": pa.array(list(held), pa.int64()), "found": pa.array([np.concatenate(v).tobytes() for v in held.values()], pa.binary())})
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.empty(batch.num_rows, _FOUND)
+        block = batch.column("block").to_numpy()
+        for name in _FOUND.names:
+            rows[name] = batch.column(name).to_numpy()
+        order = np.argsort(block, kind="stable")
+        block, rows = block[order], rows[order]
+        cuts = np.flatnonzero(block[1:] != block[:-1]) + 1
+        for b, own in zip(block[np.concatenate([[0], cuts])].tolist(), np.split(rows, cuts)):
+            held.setdefault(b, []).append(own)
+        size += rows.nbytes
+        if size > BLOCK_BYTES:
+            yield flush()
+            held, size = {}, 0
+    if held:
+        yield flush()
 
 
 def _documents(total: int, distinct: int, ends: int, end_lp: float):
@@ -250,14 +253,12 @@ def _documents(total: int, distinct: int, ends: int, end_lp: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                own = batch.column("found")[row].values if batch.column("found")[row].is_valid else None
+                own = np.frombuffer(b"".join(batch.column("found")[row].as_py() or []), _FOUND)
                 ids, bounds = batch.column("doc_id")[row].as_py(), np.array(batch.column("ends")[row].as_py())
                 index, count = (np.frombuffer(batch.column(c)[row].as_py(), np.int32) for c in ("index", "count"))
                 size = int(index.max()) + 1 if len(index) else 0
                 c, lp = np.zeros(size), np.zeros(size)
-                if own is not None and len(own):
-                    at = own.field("idx").to_numpy()
-                    c[at], lp[at] = own.field("c").to_numpy(), own.field("lp").to_numpy()
+                c[own["idx"]], lp[own["idx"]] = own["c"], own["lp"]
 
                 def sums(values: np.ndarray) -> np.ndarray:
                     running = np.concatenate([[0.0], np.cumsum(values)])
@@ -279,7 +280,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null texts count as empty and score as the end alone. A null id falls into the fold of the empty string. Repeated
     rows each count. Without training rows the base gives each token probability 1 (0.5 over 0.5) and the lattice
-    its prior weights; an empty table gives an empty one. Other columns are not read.
+    its pieces alone; an empty table gives an empty one. Other columns are not read. Words of any length are whole.
     """
     spark = docs.sparkSession
     small_batches(spark, 1000)
@@ -287,20 +288,20 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shape = "block long, words array<binary>, trained array<long>, doc_id array<long>, held array<boolean>, ends array<long>, index binary, count binary"
     blocks = durable(rows.mapInArrow(_blocks, shape), "blocks")
     pairs = blocks.select("block", F.posexplode(F.arrays_zip("words", "trained")).alias("idx", "w")).select("block", "idx", F.col("w.words").alias("word"), F.col("w.trained").alias("n"))
-    words = durable(pairs.groupBy("word").agg(F.sum("n").alias("c")), "words")
+    words = durable(pairs.groupBy("word").agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("blocks")), "words")
     ends = blocks.select(F.size(F.filter("held", lambda h: ~h)).alias("n")).agg(F.sum("n")).first()[0] or 0
-    known = words.filter("c > 0").agg(F.sum("c"), F.count(F.lit(1))).first()
-    total, distinct = (known[0] or 0) + ends, known[1] + (ends > 0)
-
-    names, prior = vocabulary(path)
-    shared = spark.sparkContext.broadcast((names, prior, 0.0))
-    uses = np.zeros(len(names))
-    for row in words.filter("c > 0").mapInArrow(_expect(shared), "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect():  # one row a piece at most
-        uses[row["piece"]] = row["uses"]
-    weights = uses + PRIOR * prior / prior.sum()
-    fitted = spark.sparkContext.broadcast((names, weights, ends + 0.5))
-    end_lp = math.log10((ends + 0.5) / (weights.sum() + ends + 0.5))
-    scored = words.mapInArrow(_word_scores(fitted), "word binary, c long, lp double")
-    found = pairs.select("block", "idx", "word").join(scored, "word").groupBy("block").agg(F.collect_list(F.struct("idx", "c", "lp")).alias("found"))
+    times = lambda k: F.count(F.when(F.col("c") == k, 1))
+    known = words.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1)), times(1), times(2), F.sum("blocks")).first()
+    in_words, kinds, once, twice, places = (v or 0 for v in known)
+    total, distinct = in_words + ends, kinds + (ends > 0)
+
+    discount = once / (once + 2 * twice) if once and twice else 0.5
+    shared = spark.sparkContext.broadcast(vocabulary(path))
+    end_lp = math.log10((ends + 0.5) / (total + 1))
+    how = _word_scores(shared, discount, discount * kinds + 0.5, in_words + 0.5, (in_words + 0.5) / (total + 1))
+    scored = durable(words.mapInArrow(how, "word binary, c long, blocks long, lp double"), "scored")
+    # A word that most blocks hold has many rows here: those words meet their scores by a bounded broadcast.
+    placed = hand_back(pairs.select("block", "idx", "word"), scored, ["word"], "blocks", places).select("block", "idx", "c", "lp")
+    found = placed.mapInArrow(_packed, "block long, found binary").groupBy("block").agg(F.collect_list("found").alias("found"))
     joined = blocks.select("block", "doc_id", "held", "ends", "index", "count").join(found, "block", "left").drop("block")
     return joined.mapInArrow(_documents(total, distinct, ends, end_lp), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
