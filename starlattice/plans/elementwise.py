@@ -105,18 +105,14 @@ _single = {
     "stretch_linear": st.linear("r", 0.2), "stretch_asinh": st.asinh("r", 10.0, 0.05), "stretch_mtf": st.mtf("r", f32(0.1), f32(0.25), f32(0.9)),
     "stretch_ght_log": st.Ght(2.0, -1.0, 0.1, 0.3, 0.9).expression("r"), "stretch_ght_neg": st.Ght(2.0, -0.5, 0.1, 0.3, 0.9).expression("r"),
     "stretch_ght_exp": st.Ght(2.0, 0.0, 0.1, 0.3, 0.9).expression("r"), "stretch_ght_pow": st.Ght(2.0, 1.5, 0.1, 0.3, 0.9).expression("r"),
-    "readfloat32_norm": f"(CAST(p_short AS FLOAT) - {f32(-32768)}) * {f32(1 / 65535)}",
 }
 for _name, _expr in _single.items():
-    _base = PIXEL if "p_short" not in _expr else {"id": "CAST(p_partkey AS BIGINT)", "p_short": "CAST((p_partkey * 7919) % 65536 - 32768 AS DOUBLE)"}
-    layered(_name, "part", _base, [{"value": _expr}], {"id": "id"} | _float("value"))
+    layered(_name, "part", PIXEL, [{"value": _expr}], {"id": "id"} | _float("value"))
 _rgb = st.asinh_rgb("r", "g", "b", 8.0, 0.02)
 layered("stretch_asinh_rgb", "part", PIXEL, [{"lum": _rgb["lum"]}, {f"{c}2": _rgb[c] for c in "rgb"}], {"id": "id"} | _float("r2") | _float("g2") | _float("b2"))
 layered("stretch_quantize8", "part", PIXEL, [{"level": st.quantize8("CAST(r AS DOUBLE)")}], {"id": "id", "level": "level"})
 
 # -- physical values and quantising ----------------------------------------------------------------------------------
-_raw = {"id": "CAST(l_orderkey * 8 + l_linenumber AS BIGINT)", "raw": "CAST((l_orderkey * 31 + l_linenumber) % 256 AS BIGINT)"}
-layered("masked_scale", "lineitem", _raw, [{"value": "CASE WHEN raw = 255 THEN NULL ELSE CAST(raw AS DOUBLE) * 5e-1 + 1e2 END"}], {"id": "id", "value": "value", "valid": "value IS NOT NULL"})
 layered("quantize_nodither", "events", {"id": "event_id", "v": "value"}, [{"q": f"CASE WHEN v >= 0 THEN {whole('v / 25e-2 + 5e-1')} ELSE -{whole('-v / 25e-2 + 5e-1')} END"}, {"back": "CAST(q AS DOUBLE) * 25e-2"}], {"id": "id", "q": "q", "back": "back"})
 
 # Oracles written apart from the layers take the place of the rendered ones.

@@ -10,12 +10,39 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..durable import posix_folder
-from ..functions.cards import card_layers, join_continued, pivot_keys
-from ..sources import codecs, quantize, reader, writer
-from .tables import layered, query, table
+from ..functions.cards import join_continued, parse_cards, pivot_keys
+from ..sources import checksum, codecs, quantize, reader, writer
+from .tables import query, table
+
+# -- cards: what each line says is known from its row ----------------------------------------------------------------
+CARD_SQL = """
+SELECT p_partkey AS id, CASE WHEN k = 7 THEN 'ESO NO' || p_size WHEN k = 8 THEN 'COMMENT' ELSE 'K' || p_size END AS key,
+       ['integer', 'real', 'logical', 'string', 'string', 'real', 'complex', 'integer', 'commentary', 'empty'][k + 1] AS kind,
+       CASE k WHEN 3 THEN p_brand WHEN 4 THEN 'it''s ' || p_size END AS v_string,
+       CASE WHEN k = 2 THEN p_size > 25 END AS v_bool, CASE k WHEN 0 THEN p_size WHEN 7 THEN -p_size END::BIGINT AS v_int,
+       CASE k WHEN 1 THEN p_size + 0.25 WHEN 5 THEN p_size * 1000.0 END::DOUBLE AS v_float,
+       CASE WHEN k = 6 THEN p_size END::DOUBLE AS v_re, CASE WHEN k = 6 THEN -0.5 END::DOUBLE AS v_im
+FROM (SELECT *, p_partkey % 10 AS k FROM part)
+"""
+
+
+@query("card_parse", CARD_SQL)
+def card_parse(spark, sf_dir):
+    """Cards of every kind, made from the rows of a table."""
+    size = F.col("p_size").cast("string")
+    fields = [
+        F.lpad(size, 20, " "), F.concat(size, F.lit(".25")), F.when(F.col("p_size") > 25, "T").otherwise("F"), F.concat(F.lit("'"), F.rpad("p_brand", 12, " "), F.lit("'")),
+        F.concat(F.lit("'it''s "), size, F.lit("'")), F.concat(size, F.lit("D3")), F.concat(F.lit("("), size, F.lit(", -0.5)")),
+    ]
+    plain = F.concat(F.rpad(F.concat(F.lit("K"), size), 8, " "), F.lit("= "))
+    k = F.col("p_partkey") % 10
+    line = F.coalesce(
+        *[F.when(k == i, F.concat(plain, f, F.lit(" / a/b"))) for i, f in enumerate(fields)],
+        F.when(k == 7, F.concat(F.lit("HIERARCH ESO NO"), size, F.lit(" = -"), size, F.lit(" / long key"))), F.when(k == 8, F.concat(F.lit("COMMENT  = not a value"), size)), plain,
+    )
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.rpad(line, 80, " ").alias("line"))
+    return parse_cards(rows).drop("line")
 
-_line = "rpad(rpad(concat('KEY', CAST(p_partkey AS VARCHAR(20))), 8, ' ') || '= ' || CASE p_partkey % 4 WHEN 0 THEN lpad(CAST(p_size AS VARCHAR(20)), 20, ' ') WHEN 1 THEN lpad(concat(CAST(p_size AS VARCHAR(20)), '.25'), 20, ' ') WHEN 2 THEN lpad(CASE WHEN p_size > 25 THEN 'T' ELSE 'F' END, 20, ' ') ELSE concat('''', rpad(p_brand, 8, ' '), '''') END || ' / made', 80, ' ')"
-layered("card_parse", "part", {"id": "CAST(p_partkey AS BIGINT)", "line": _line.replace("strpos", "strpos")}, [{k: v.replace("strpos(", "instr(") for k, v in layer.items()} for layer in card_layers()], {c: c for c in ("id", "key", "kind", "v_string", "v_bool", "v_int", "v_float")})
 
 CONTINUE_SQL = "SELECT o_orderkey AS unit, 'LONGSTR' AS key, string_agg(o_orderpriority || '-' || j, '' ORDER BY j) AS value FROM (SELECT o_orderkey, o_orderpriority, unnest(range(1, 4)) AS j FROM orders) GROUP BY o_orderkey"
 
@@ -33,13 +60,22 @@ def header_pivot(spark, sf_dir):
     return pivot_keys(cards, ["unit"], ["NAXIS1", "NAXIS2"], "v_float")
 
 
-_form = "concat(CAST(p_size AS VARCHAR(10)), substr('LBIJKAED', CAST(p_partkey % 8 + 1 AS INT), 1))"
+# -- files written from the tables and read back ---------------------------------------------------------------------
+def _written(spark, rows, extname, **options):
+    """The rows as files of the container in the shared folder, read as a table."""
+    reader.register(spark)
+    home = posix_folder(spark, "files")
+    writer.write_table(rows, home, extname)
+    return spark.read.format("starfits").options(mode="table", extname=extname, **options).load(f"{home}/*.fits")
 
 
-@query("tform_parse", f"SELECT p_partkey AS id, CAST(regexp_extract(f, '^([0-9]*)([A-Z])', 1) AS INT) AS repeat, regexp_extract(f, '^([0-9]*)([A-Z])', 2) AS code FROM (SELECT p_partkey, {_form} AS f FROM part)")
+@query("tform_parse", "SELECT * FROM (VALUES ('b', '1QB(2)'), ('f', '1PE(64)'), ('i', '1J'), ('k', '1K'), ('l', '1L'), ('t', '25A')) AS v(name, tform) WHERE name <> 'b'")
 def tform(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", f"{_form.replace('VARCHAR(10)', 'STRING')} AS f")
-    return rows.select("id", F.regexp_extract("f", "^([0-9]*)([A-Z])", 1).cast("int").alias("repeat"), F.regexp_extract("f", "^([0-9]*)([A-Z])", 2).alias("code"))
+    """Column formats as the reader's schema tells them."""
+    part, one = table(spark, sf_dir, "part"), table(spark, sf_dir, "embeddings").select("embedding").limit(1)
+    rows = part.limit(1).select(F.col("p_size").cast("int").alias("i"), F.col("p_partkey").cast("long").alias("k"), (F.col("p_size") > 25).alias("l"), F.rpad("p_name", 25, "x").alias("t")).crossJoin(one.withColumnRenamed("embedding", "f"))  # one row by one row
+    fields = _written(spark, rows.coalesce(1), "T").schema.fields
+    return spark.createDataFrame([(f.name, f.metadata["tform"] + (f"({64})" if f.name == "f" else "")) for f in fields], "name string, tform string")
 
 
 VLA_SQL = "SELECT l_orderkey AS row_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) - 1 AS pos, l_quantity AS value FROM lineitem"
@@ -47,23 +83,66 @@ VLA_SQL = "SELECT l_orderkey AS row_id, row_number() OVER (PARTITION BY l_orderk
 
 @query("vla_explode", VLA_SQL)
 def vla(spark, sf_dir):
-    """Ragged rows (an order's quantities by line) and back."""
+    """Ragged rows (an order's quantities by line) through the heap of a table."""
     lines = table(spark, sf_dir, "lineitem")
     ragged = lines.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))), lambda x: x["l_quantity"]).alias("v"))
-    return ragged.select(F.col("l_orderkey").alias("row_id"), F.posexplode("v").alias("pos", "value")).select("row_id", F.col("pos").cast("long").alias("pos"), "value")
+    back = _written(spark, ragged, "RAGGED")
+    return back.select(F.col("l_orderkey").alias("row_id"), F.posexplode("v").alias("pos", "value")).select("row_id", F.col("pos").cast("long").alias("pos"), "value")
 
 
 @query("vector_column", "SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[64] AS DOUBLE) AS last, CAST(len(embedding) AS BIGINT) AS n FROM embeddings")
 def vector(spark, sf_dir):
+    """Vectors as a column of the container; only the columns asked for are read."""
+    back = _written(spark, table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), "VECTORS", columns="vec_id,embedding")
     e = F.col("embedding")
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.element_at(e, 1).cast("double").alias("first"), F.element_at(e, 64).cast("double").alias("last"), F.size(e).cast("long").alias("n"))
+    return back.select("vec_id", F.element_at(e, 1).cast("double").alias("first"), F.element_at(e, 64).cast("double").alias("last"), F.size(e).cast("long").alias("n"))
+
+
+NULLS_SQL = "SELECT p_partkey, CASE WHEN p_size % 3 <> 0 THEN p_size END AS size, CASE WHEN p_size % 4 <> 0 THEN p_brand END AS brand, CASE WHEN p_size % 5 <> 0 THEN p_size > 25 END AS large FROM part"
+
+
+@query("fits_nulls", NULLS_SQL)
+def nulls(spark, sf_dir):
+    """Missing integers, strings and logicals survive a file."""
+    some = lambda k, c: F.when(F.col("p_size") % k != 0, c)
+    return _written(spark, table(spark, sf_dir, "part").select("p_partkey", some(3, F.col("p_size")).alias("size"), some(4, F.col("p_brand")).alias("brand"), some(5, F.col("p_size") > 25).alias("large")), "NULLS")
+
+
+def _order_image(spark, sf_dir, bitpix, bscale=1.0, bzero=0.0, scale=1.0):
+    """64 rows of 64 pixels: the largest price of the orders of a key, NaN where there is none."""
+    rows = table(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % 4096).alias("k")).agg(F.max("o_totalprice").alias("v")).collect()  # 4096 rows at most
+    image = np.full(4096, np.nan)
+    for r in rows:
+        image[r["k"]] = np.floor(r["v"] * scale)
+    reader.register(spark)
+    path = os.path.join(posix_folder(spark, "files"), "orders.fits")
+    writer.write_file(path, [writer.image_unit(image.reshape(64, 64), bitpix, True, bscale, bzero)])
+    return spark.read.format("starfits").option("mode", "image"), path
 
 
-@query("hyperslab", "SELECT l_linenumber AS x, l_orderkey % 64 AS y, count(*) AS n FROM lineitem WHERE l_linenumber >= 2 AND l_linenumber < 6 AND (l_linenumber - 2) % 2 = 0 AND l_orderkey % 64 >= 10 AND l_orderkey % 64 < 40 GROUP BY ALL")
+_PRICES = "(SELECT o_orderkey % 4096 AS pix, max(o_totalprice) AS v FROM orders GROUP BY 1)"
+
+
+@query("hyperslab", f"SELECT pix % 64 AS x, pix // 64 AS y, floor(v) AS value FROM {_PRICES} WHERE pix % 64 BETWEEN 2 AND 50 AND (pix % 64 - 2) % 3 = 0 AND pix // 64 BETWEEN 10 AND 39 AND (pix // 64 - 10) % 2 = 0")
 def hyperslab(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("x"), (F.col("l_orderkey") % 64).alias("y"))
-    slab = rows.filter("x >= 2 AND x < 6 AND (x - 2) % 2 = 0 AND y >= 10 AND y < 40")
-    return slab.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    """Every third pixel of every other line of a window."""
+    image, path = _order_image(spark, sf_dir, -64)
+    return image.options(lower="2,10", upper="51,40", stride="3,2").load(path).filter("value IS NOT NULL").select("x", "y", "value")
+
+
+@query("masked_scale", f"SELECT range AS pix, floor(v) - floor(v) % 8 AS value, v IS NOT NULL AS valid FROM range(4096) LEFT JOIN {_PRICES} ON pix = range")
+def masked_scale(spark, sf_dir):
+    """A scaled integer image (steps of 8) whose missing pixels carry BLANK."""
+    image, path = _order_image(spark, sf_dir, 32, 8.0, 3.5, 1.0)
+    v = F.col("value") - F.lit(3.5)
+    return image.load(path).select("pix", (v - v % 8).alias("value"), F.col("value").isNotNull().alias("valid"))
+
+
+@query("readfloat32_norm", f"SELECT pix, round(CAST(CAST((least(floor(v * 0.1e0), 32767) + 32768) / 65535e0 AS FLOAT) AS DOUBLE), 5) AS value FROM {_PRICES}")
+def readfloat32(spark, sf_dir):
+    """A 16-bit image, scaled to the range of its type."""
+    image, path = _order_image(spark, sf_dir, 16, scale=0.1)
+    return reader.read_float32(image.load(path).filter("value IS NOT NULL"), 16).select("pix", F.round(F.col("value").cast("double"), 5).alias("value"))
 
 
 DITHER_SQL = "WITH RECURSIVE g(i, s) AS (SELECT 1, 16807::BIGINT UNION ALL SELECT i + 1, s * 16807 % 2147483647 FROM g WHERE i < 10000) SELECT i::BIGINT AS i, s AS seed FROM g"
@@ -72,11 +151,8 @@ DITHER_SQL = "WITH RECURSIVE g(i, s) AS (SELECT 1, 16807::BIGINT UNION ALL SELEC
 @query("dither_table", DITHER_SQL)
 def dither(spark, sf_dir):
     """The generator's 10,000 states."""
-    seed, rows = 1, []
-    for i in range(1, quantize.RANDOMS + 1):
-        seed = seed * 16807 % 2147483647
-        rows.append((i, seed))
-    return spark.createDataFrame(pd.DataFrame(rows, columns=["i", "seed"]))
+    seeds = quantize.seeds()
+    return spark.createDataFrame(pd.DataFrame({"i": np.arange(1, len(seeds) + 1), "seed": seeds}))
 
 
 RLE_SQL = "WITH o AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), g AS (SELECT *, i - row_number() OVER (PARTITION BY user_id, event_type ORDER BY i) AS d FROM o) SELECT user_id, event_type, min(i) AS start, count(*) AS n FROM g GROUP BY user_id, event_type, d"
@@ -96,12 +172,18 @@ CHECKSUM_SQL = "WITH p AS (SELECT l_returnflag, sum((l_orderkey * 2654435761 + l
 
 @query("checksum_u32", CHECKSUM_SQL)
 def checksum_u32(spark, sf_dir):
-    """A ones'-complement sum: plain partial sums, folded at the end."""
+    """The ones'-complement sum of the words of each group."""
     word = (F.col("l_orderkey") * F.lit(2654435761) + F.col("l_partkey") * 40503) % F.lit(4294967296)
-    sums = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.sum(word).alias("s"))
-    for _ in range(3):
-        sums = sums.withColumn("s", F.col("s") % F.lit(4294967296) + F.floor(F.col("s") / F.lit(4294967296.0)))
-    return sums.select("l_returnflag", F.col("s").cast("long").alias("checksum"))
+    return checksum.sums(table(spark, sf_dir, "lineitem").withColumn("word", word), ["l_returnflag"], "word")
+
+
+@query("checksum_verify", "SELECT * FROM (VALUES (0, true, true), (1, true, false), (2, NULL, NULL)) AS v(hdu_index, datasum_ok, checksum_ok)")
+def checksum_verify(spark, sf_dir):
+    """Units of one file: sound, with a changed header, and without checksums."""
+    path = os.path.join(posix_folder(spark, "files"), "sums.fits")
+    writer.write_file(path, [writer.with_checksum(writer.empty_primary()), writer.with_checksum(writer.image_unit(np.arange(2000), 32, False)), writer.image_unit(np.arange(5), 16, False)])
+    writer.edit_file(path, lambda u, h: h.set("OBJECT", "M51") if u.index == 1 else h)
+    return checksum.verify(spark.read.format("binaryFile").load(path)).select("hdu_index", "datasum_ok", "checksum_ok")
 
 
 def _roundtrip(name: str):

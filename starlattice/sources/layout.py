@@ -65,6 +65,35 @@ def validate(header: Header, index: int) -> None:
     for i in range(n):
         if not isinstance(header.get(f"NAXIS{i + 1}"), int) or header.get(f"NAXIS{i + 1}") < 0:
             raise FormatError(f"unit {index} lacks NAXIS{i + 1}")
+    for key, least in (("PCOUNT", 0), ("GCOUNT", 1), ("TFIELDS", 0)):
+        value = header.get(key, least)
+        if not isinstance(value, int) or value < least or key == "TFIELDS" and value > 999:
+            raise FormatError(f"unit {index} has {key} {value}")
+
+
+def read_unit(file: BinaryIO, at: int, index: int, size: int | None = None) -> Hdu | None:
+    """The unit whose header begins at a byte; None if only padding is left."""
+    size = file.seek(0, io.SEEK_END) if size is None else size
+    file.seek(at)
+    raw = b""
+    for _ in range(MAX_BLOCKS):
+        block = file.read(BLOCK)
+        if len(block) < BLOCK:
+            if index and not raw.strip(b"\0 ") and not block.strip(b"\0 "):
+                return None
+            raise Truncated(f"unit {index}: the header has no END")
+        raw += block
+        if any(c[:8] == b"END     " for c in split_cards(block)):
+            break
+    else:
+        raise FormatError(f"unit {index}: more than {MAX_BLOCKS} header blocks")
+    header = Header(parse_cards(split_cards(raw)))
+    validate(header, index)
+    start = at + len(raw)
+    end = start + data_size(header)
+    if end > size:
+        raise Truncated(f"unit {index}: the data end at {end}, the file at {size}")
+    return Hdu(index, classify(header, index), header, at, start, end, start + -(-(end - start) // BLOCK) * BLOCK)
 
 
 def scan(file: BinaryIO) -> list[Hdu]:
@@ -74,28 +103,11 @@ def scan(file: BinaryIO) -> list[Hdu]:
         raise EmptyFile("the file is empty")
     out, at = [], 0
     while at < size:
-        file.seek(at)
-        raw = b""
-        for _ in range(MAX_BLOCKS):
-            block = file.read(BLOCK)
-            if len(block) < BLOCK:
-                if out and not raw.strip(b"\0 ") and not block.strip(b"\0 "):
-                    return out  # padding after the last unit
-                raise Truncated(f"unit {len(out)}: the header has no END")
-            raw += block
-            if any(c[:8] == b"END     " for c in split_cards(block)):
-                break
-        else:
-            raise FormatError(f"unit {len(out)}: more than {MAX_BLOCKS} header blocks")
-        header = Header(parse_cards(split_cards(raw)))
-        validate(header, len(out))
-        start = at + len(raw)
-        end = start + data_size(header)
-        padded = start + -(-(end - start) // BLOCK) * BLOCK
-        if end > size:
-            raise Truncated(f"unit {len(out)}: the data end at {end}, the file at {size}")
-        out.append(Hdu(len(out), classify(header, len(out)), header, at, start, end, padded))
-        at = padded
+        unit = read_unit(file, at, len(out), size)
+        if unit is None:
+            break
+        out.append(unit)
+        at = unit.padded_end
     return out
 
 

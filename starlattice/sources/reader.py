@@ -5,30 +5,41 @@
     spark.read.format("starfits").option("mode", "table").option("extname", "CATALOG").load("/data/*.fits")
 
 Partitions are byte ranges of one unit (rows of a table, strips of an image, tiles), so a large file is read by many
-tasks and each task reads only its range; options ``columns``, ``lower``, ``upper`` and ``stride`` prune before reading.
-Files come by a POSIX path; :func:`from_binary` does the same for contents that Spark read from any store.
+tasks and each task reads only its unit's header and its range; options ``columns``, ``lower``, ``upper`` and ``stride``
+prune before reading, and so do filters on hdu_index and extname where Spark pushes them down. Ranges are of
+``partitionBytes`` (128 MB) or, of little data, so small that there are ``partitions`` (32). Of more than MANY files each
+is one partition, and the driver opens none but the first. Files come by a POSIX path; :func:`from_binary` does the
+same for contents that Spark read from any store.
+
+Values of 64-bit integer images are DECIMAL(20, 0), exact whatever their offset; others are DOUBLE, exact as well
+unless a fractional scale is applied.
 """
 
 from __future__ import annotations
 
 import glob
 import io
+import json
 import math
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from decimal import Decimal
 from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 
 from . import codecs, quantize
 from .cards import Header
-from .layout import BITPIX, Column, Hdu, ascii_columns, columns, heap_start, physical, scan
+from .layout import BITPIX, Column, Hdu, ascii_columns, columns, heap_start, physical, read_unit, scan
 
-ROWS = 1 << 16  # rows of a table or pixels of a strip in one partition, at least
+ROWS = 1 << 16  # rows of a table or pixels of a strip in one batch, at least
+PARTITION_BYTES, PARTITIONS, LEAST_BYTES, MANY = 128 << 20, 32, 256 << 10, 256
+EXACT = T.DecimalType(20, 0)
 
 HDU_SCHEMA = "path string, hdu_index int, kind string, extname string, extver bigint, bitpix int, naxis int, shape array<bigint>, pcount bigint, gcount bigint, tfields bigint, zimage boolean, header_start bigint, data_start bigint, data_end bigint, padded_end bigint"
 CARD_SCHEMA = "path string, hdu_index int, card_index int, key string, type string, v_string string, v_int bigint, v_float double, v_bool boolean, v_re double, v_im double, comment string, raw binary"
@@ -53,14 +64,34 @@ def card_rows(path: str, units: list[Hdu]) -> Iterator[tuple]:
             yield (path, u.index, i, c.key, c.kind, v if isinstance(v, str) else str(v) if big else None, v if c.kind == "integer" and not big else None, v if c.kind == "real" else None, v if c.kind == "logical" else None, v.real if isinstance(v, complex) else None, v.imag if isinstance(v, complex) else None, c.comment, c.raw)
 
 
-def image_values(file: BinaryIO, u: Hdu, first: int, last: int, nulls: bool = True) -> np.ndarray:
-    """Physical values of pixels first to last of the unit's flat order; NaN where BLANK or NaN."""
+def is_exact(bitpix: int, scale: float, zero: float) -> bool:
+    """Are the values whole numbers that a double may not hold?"""
+    return bitpix == 64 and scale == 1 and float(zero).is_integer()
+
+
+def unit_is_exact(u: Hdu) -> bool:
+    h = u.header
+    return is_exact(h.get("ZBITPIX") if u.kind == "compressed" else h.get("BITPIX"), float(h.get("BSCALE", 1)), float(h.get("BZERO", 0)))
+
+
+def image_values(file: BinaryIO, u: Hdu, first: int, last: int, nulls: bool = True, exact: bool = False) -> pa.Array:
+    """Physical values of pixels first to last of the unit's flat order; null where BLANK or NaN."""
     kind = np.dtype(BITPIX[u.header.get("BITPIX")])
     file.seek(u.data_start + first * kind.itemsize)
     raw = np.frombuffer(file.read((last - first) * kind.itemsize), kind)
     values, missing = physical(raw, float(u.header.get("BSCALE", 1)), float(u.header.get("BZERO", 0)), u.header.get("BLANK") if nulls and kind.kind in "iu" else None)
+    return arrow_values(values, missing, exact)
+
+
+def arrow_values(values: np.ndarray, missing: np.ndarray | None, exact: bool) -> pa.Array:
+    """Doubles, or DECIMAL(20, 0) if the values are whole numbers of 64 bits."""
+    if exact:
+        gone = np.zeros(len(values), bool) if missing is None else missing
+        if values.dtype == object:
+            return pa.array([None if m else Decimal(int(v)) for v, m in zip(values, gone)], pa.decimal128(20, 0))
+        return pa.array(values.astype(np.int64), mask=gone).cast(pa.decimal128(20, 0))
     out = values.astype(np.float64)
-    return np.where(missing, np.nan, out) if missing is not None else out
+    return pa.array(out, mask=np.isnan(out) if missing is None else missing | np.isnan(out))
 
 
 @dataclass
@@ -93,26 +124,29 @@ class Slab:
         return offset, place
 
 
-def pixel_batches(file: BinaryIO, path: str, u: Hdu, slab: Slab, first: int, last: int) -> Iterator[pa.RecordBatch]:
+def pixel_batches(file: BinaryIO, path: str, u: Hdu, slab: Slab, first: int, last: int, exact: bool = False) -> Iterator[pa.RecordBatch]:
     """Lines first to last of the slab; runs along the first axis are read, nothing else."""
-    schema = pa.schema([("path", pa.string()), ("hdu_index", pa.int32()), *[(c, pa.int64()) for c in ("pix", "x", "y", "z")], ("value", pa.float64())])
+    kind = pa.decimal128(20, 0) if exact else pa.float64()
+    schema = pa.schema([("path", pa.string()), ("hdu_index", pa.int32()), *[(c, pa.int64()) for c in ("pix", "x", "y", "z")], ("value", kind)])
     a, b, k = slab.lower[0], slab.upper[0], slab.stride[0]
     xs = np.arange(a, b, k)
-    held, size = [], 0
+    held, values, size = [], [], 0
 
     def packed() -> pa.RecordBatch:
-        pix, x, y, z, v = (np.concatenate([h[i] for h in held]) for i in range(5))
-        return pa.RecordBatch.from_arrays([pa.array([path] * len(pix)), pa.array(np.full(len(pix), u.index, np.int32)), *[pa.array(c) for c in (pix, x, y, z)], pa.array(v, mask=np.isnan(v))], schema=schema)
+        pix, x, y, z = (np.concatenate([h[i] for h in held]) for i in range(4))
+        paths = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(pix), np.int32)), pa.array([path])).cast(pa.string())
+        return pa.RecordBatch.from_arrays([paths, pa.array(np.full(len(pix), u.index, np.int32)), *[pa.array(c) for c in (pix, x, y, z)], pa.concat_arrays(values)], schema=schema)
 
     for n in range(first, last):
         offset, place = slab.line(n, u.shape)
-        values = image_values(file, u, offset + a, offset + b)[::k]
+        line = image_values(file, u, offset + a, offset + b, exact=exact)
+        values.append(line if k == 1 else line.take(pa.array(np.arange(0, len(line), k))))
         y, z = ([*place, 0, 0])[:2]
-        held.append((offset + xs, xs, np.full(len(xs), y), np.full(len(xs), z), values))
+        held.append((offset + xs, xs, np.full(len(xs), y), np.full(len(xs), z)))
         size += len(xs)
         if size >= ROWS:
             yield packed()
-            held, size = [], 0
+            held, values, size = [], [], 0
     if held:
         yield packed()
 
@@ -146,7 +180,8 @@ def decode_cells(raw: np.ndarray, c: Column, heap=None) -> list:
     n = len(raw)
     part = np.ascontiguousarray(raw[:, c.offset : c.offset + c.width])
     if c.code == "A":
-        return [bytes(r).split(b"\0")[0].decode("ascii", "replace").rstrip() for r in part]
+        # by the convention a cell that begins with NUL is undefined
+        return [None if r[:1] == b"\0" else r.split(b"\0")[0].decode("ascii", "replace").rstrip() for r in map(bytes, part)]
     if c.code == "X":
         bits = np.unpackbits(part, axis=1)[:, : c.repeat].astype(bool).tolist()
         return bits if c.repeat != 1 else [b[0] for b in bits]
@@ -264,8 +299,8 @@ class Tiling:
             size.append(min(t, m - i * t))
         return origin, size
 
-    def decode(self, number: int, row: dict) -> tuple[np.ndarray, float | None, float | None]:
-        """Physical values of a tile, NaN where missing."""
+    def decode(self, number: int, row: dict) -> tuple[np.ndarray, np.ndarray | None, float | None, float | None]:
+        """Physical values of a tile, where they are missing, and the tile's scale and zero."""
         _, size = self.box(number)
         count = math.prod(size)
         zscale, zzero = row.get("ZSCALE"), row.get("ZZERO")
@@ -277,17 +312,15 @@ class Tiling:
             values = codecs.decode(row["COMPRESSED_DATA"], self.codec, count, words, self.params.get("BLOCKSIZE", 32)) if self.bitpix > 0 or zscale is not None else np.frombuffer(codecs.unshuffle(codecs.inflate(row["COMPRESSED_DATA"]), width) if self.codec == "GZIP_2" else codecs.inflate(row["COMPRESSED_DATA"]), BITPIX[self.bitpix], count)
             if zscale is not None:
                 out = quantize.dequantize(values, zscale, zzero, self.method, number + self.seed)
-                return np.where(values == (quantize.NULL if blank is None else blank), np.nan, out), zscale, zzero
+                return out, (values == (quantize.NULL if blank is None else blank)) | np.isnan(out), zscale, zzero
         else:
             raw = row.get("UNCOMPRESSED_DATA") or codecs.inflate(row["GZIP_COMPRESSED_DATA"])
             values = np.frombuffer(raw, BITPIX[self.bitpix], count)
-        out = np.asarray(values, np.float64)
-        if blank is not None and self.bitpix > 0:
-            out = np.where(values == blank, np.nan, out)
-        return out * self.scale + self.zero if (self.scale, self.zero) != (1, 0) else out, None, None
+        out, missing = physical(np.asarray(values), self.scale, self.zero, blank if self.bitpix > 0 else None)
+        return out, missing, None, None
 
 
-def tile_rows(file: BinaryIO, path: str, u: Hdu, first: int, last: int) -> Iterator[tuple]:
+def tile_rows(file: BinaryIO, path: str, u: Hdu, first: int, last: int, exact: bool = False) -> Iterator[tuple]:
     tiling, cols = Tiling.of(u.header), columns(u.header)
     base, width = heap_start(u), u.shape[0]
     for n in range(first, last):
@@ -301,16 +334,83 @@ def tile_rows(file: BinaryIO, path: str, u: Hdu, first: int, last: int) -> Itera
                 row[c.name.upper()] = file.read(count * ELEMENT_BYTES[c.inner])
             else:
                 row[c.name.upper()] = decode_cells(raw, c)[0]
-        values, scale, zero = tiling.decode(n, row)
+        values, missing, scale, zero = tiling.decode(n, row)
         origin, size = tiling.box(n)
-        yield (path, u.index, n, origin, size, scale, zero, [None if math.isnan(v) else v for v in values.tolist()])
+        yield (path, u.index, n, origin, size, scale, zero, arrow_values(values, missing, exact).to_pylist())
 
 
 # -- the data source -------------------------------------------------------------------------------------------------
+def typed(schema: str, exact: bool) -> str:
+    """The schema of pixels or tiles with their kind of values."""
+    return schema.replace("value double", "value decimal(20,0)").replace("values array<double>", "values array<decimal(20,0)>") if exact else schema
+
+
+FIXED = {"hdu": HDU_SCHEMA, "cards": CARD_SCHEMA, "image": PIXEL_SCHEMA, "tiles": TILE_SCHEMA}
+FITTING = {"image": ("primary", "image"), "tiles": ("compressed",), "table": ("bintable", "ascii_table")}
+
+
+def pick(units: list[Hdu], options: dict, mode: str) -> Hdu:
+    """By number, by name (the first match), else the first unit of a fitting kind that has data."""
+    if "hdu" in options:
+        return units[int(options["hdu"])]
+    name, kinds = options.get("extname"), FITTING[mode]
+    for u in units:
+        if (u.name == name) if name else (u.kind in kinds and u.data_end > u.data_start):
+            return u
+    raise ValueError(f"no unit {name or kinds}")
+
+
+def schema_of(units: list[Hdu], options: dict, mode: str) -> T.StructType | str:
+    if mode in ("hdu", "cards"):
+        return FIXED[mode]
+    u = pick(units, options, mode)
+    if mode in FIXED:
+        return typed(FIXED[mode], unit_is_exact(u))
+    full = ascii_schema(ascii_columns(u.header)) if u.kind == "ascii_table" else table_schema(columns(u.header))
+    wanted = options.get("columns")
+    return full if not wanted else T.StructType([full[c.strip()] for c in wanted.split(",")])
+
+
+def slab_of(u: Hdu, options: dict) -> Slab:
+    numbers = lambda key: [int(t) for t in options[key].split(",")] if key in options else None
+    return Slab.of(u.shape, numbers("lower"), numbers("upper"), numbers("stride"))
+
+
+def steps_of(u: Hdu, options: dict, mode: str) -> tuple[int, int]:
+    """How many lines, tiles or rows a unit has, and about how many bytes each takes."""
+    if mode == "image":
+        slab = slab_of(u, options)
+        return slab.lines(), (slab.upper[0] - slab.lower[0]) * abs(u.header.get("BITPIX")) // 8
+    return u.shape[1], max(1, (u.data_end - u.data_start) // max(1, u.shape[1]))
+
+
+def read_range(file: BinaryIO, path: str, u: Hdu, options: dict, mode: str, names: list[str], exact: bool, first: int, last: int):
+    """Rows or record batches of a range of one unit."""
+    if mode in ("image", "tiles") and unit_is_exact(u) and not exact:
+        raise ValueError(f"{path} holds 64-bit integers, which the first file's value column cannot hold: read them apart")
+    if mode == "image":
+        yield from pixel_batches(file, path, u, slab_of(u, options), first, last, exact)
+    elif mode == "tiles":
+        yield from tile_rows(file, path, u, first, last, exact)
+    elif u.kind == "ascii_table":
+        for at in range(first, last, ROWS):
+            yield ascii_batch(file, u, ascii_columns(u.header), names, at, min(last, at + ROWS))
+    else:
+        yield from table_batches(file, u, columns(u.header), names, first, last)
+
+
+def is_exact_schema(schema: T.StructType) -> bool:
+    last = schema.fields[-1].dataType
+    return last == EXACT or last == T.ArrayType(EXACT)
+
+
 @dataclass
 class Part(InputPartition):
+    """A range of one unit, or a whole file (index -1)."""
+
     path: str
     index: int
+    start: int
     first: int
     last: int
 
@@ -319,104 +419,148 @@ class Part(InputPartition):
 
 
 class StarFits(DataSource):
-    """Options: mode, extname or hdu (a number), columns, lower, upper, stride (comma-separated)."""
+    """Options: mode, extname or hdu (a number), columns, lower, upper, stride (comma-separated), partitionBytes, partitions."""
 
     @classmethod
     def name(cls) -> str:
         return "starfits"
 
-    def _mode(self) -> str:
+    def mode(self) -> str:
         return self.options.get("mode", "hdu")
 
-    def _paths(self) -> list[str]:
+    def paths(self) -> list[str]:
         path = self.options["path"].removeprefix("file://")
         found = sorted(glob.glob(path))
         if not found:
             raise FileNotFoundError(path)
         return found
 
-    def pick(self, units: list[Hdu], kinds: tuple[str, ...]) -> Hdu:
-        """By number, by name (the first match), else the first unit of a fitting kind that has data."""
-        if "hdu" in self.options:
-            return units[int(self.options["hdu"])]
-        name = self.options.get("extname")
-        for u in units:
-            if (u.name == name) if name else (u.kind in kinds and u.data_end > u.data_start):
-                return u
-        raise ValueError(f"no unit {name or kinds}")
-
     def schema(self):
-        mode = self._mode()
-        fixed = {"hdu": HDU_SCHEMA, "cards": CARD_SCHEMA, "image": PIXEL_SCHEMA, "tiles": TILE_SCHEMA}
-        if mode in fixed:
-            return fixed[mode]
-        with open(self._paths()[0], "rb") as file:
-            u = self.pick(scan(file), ("bintable", "ascii_table"))
-        full = ascii_schema(ascii_columns(u.header)) if u.kind == "ascii_table" else table_schema(columns(u.header))
-        wanted = self.options.get("columns")
-        return full if not wanted else T.StructType([full[c.strip()] for c in wanted.split(",")])
+        if self.mode() in ("hdu", "cards"):
+            return FIXED[self.mode()]
+        with open(self.paths()[0], "rb") as file:
+            return schema_of(scan(file), self.options, self.mode())
 
     def reader(self, schema):
         return _Reader(self, schema)
 
+    def writer(self, schema, overwrite):
+        from .writer import TableWriter
 
-class _Reader(DataSourceReader):
-    def __init__(self, source: StarFits, schema: T.StructType):
-        self.source, self.names, self.mode = source, schema.fieldNames(), source._mode()
+        return TableWriter(dict(self.options), schema, overwrite)
 
-    def _slab(self, u: Hdu) -> Slab:
-        numbers = lambda key: [int(t) for t in self.source.options[key].split(",")] if key in self.source.options else None
-        return Slab.of(u.shape, numbers("lower"), numbers("upper"), numbers("stride"))
 
-    def _unit(self, units: list[Hdu]) -> Hdu:
-        return self.source.pick(units, {"image": ("primary", "image"), "tiles": ("compressed",), "table": ("bintable", "ascii_table")}[self.mode])
+class _Reader(DataSourceReader):
+    def __init__(self, source: StarFits, schema: T.StructType):
+        self.options, self.names, self.mode = dict(source.options), schema.fieldNames(), source.mode()
+        self.files, self.exact = source.paths(), is_exact_schema(schema) if source.mode() in ("image", "tiles") else False
+        self.only: dict[str, object] = {}
+
+    def pushFilters(self, filters):
+        """Equality on hdu_index or extname is decided by the reader; other filters stay with Spark."""
+        for f in filters:
+            if self.mode in ("hdu", "cards") and isinstance(f, EqualTo) and f.attribute in (("hdu_index",), ("extname",)) and (self.mode == "hdu" or f.attribute == ("hdu_index",)):
+                self.only[f.attribute[0]] = f.value
+            else:
+                yield f
 
     def partitions(self) -> list[Part]:
-        if self.mode in ("hdu", "cards"):
-            return [Part(p, -1, 0, 0) for p in self.source._paths()]
-        out = []
-        for path in self.source._paths():
+        if self.mode in ("hdu", "cards") or len(self.files) > MANY:
+            return [Part(p, -1, 0, 0, 0) for p in self.files]
+
+        def unit(path: str) -> Hdu:
             with open(path, "rb") as file:
-                u = self._unit(scan(file))
-            total = self._slab(u).lines() if self.mode == "image" else u.shape[1]
-            step = max(1, ROWS // max(1, u.shape[0])) if self.mode == "image" else 16 if self.mode == "tiles" else ROWS
-            out += [Part(path, u.index, a, min(a + step, total)) for a in range(0, total, step)]
+                return pick(scan(file), self.options, self.mode)
+
+        with ThreadPoolExecutor(16) as pool:
+            units = list(pool.map(unit, self.files))
+        sizes = [steps_of(u, self.options, self.mode) for u in units]
+        whole = sum(n * width for n, width in sizes)
+        most = int(self.options.get("partitionBytes", PARTITION_BYTES))
+        aim = min(most, max(LEAST_BYTES, whole // int(self.options.get("partitions", PARTITIONS))))
+        out = []
+        for path, u, (total, width) in zip(self.files, units, sizes):
+            step = max(1, aim // max(1, width))
+            out += [Part(path, u.index, u.header_start, a, min(a + step, total)) for a in range(0, total, step)]
         return out
 
-    def read(self, part: Part):
+    def read(self, part: Part | None):
+        if part is None:  # a table without rows has no partitions
+            return
         with open(part.path, "rb") as file:
-            units = scan(file)
             if self.mode in ("hdu", "cards"):
+                units = [u for u in scan(file) if self.only.get("hdu_index", u.index) == u.index and self.only.get("extname", u.name) == u.name]
                 yield from (hdu_rows if self.mode == "hdu" else card_rows)(part.path, units)
                 return
-            u = units[part.index]
-            if self.mode == "image":
-                yield from pixel_batches(file, part.path, u, self._slab(u), part.first, part.last)
-            elif self.mode == "tiles":
-                yield from tile_rows(file, part.path, u, part.first, part.last)
-            elif u.kind == "ascii_table":
-                yield ascii_batch(file, u, ascii_columns(u.header), self.names, part.first, part.last)
+            if part.index < 0:
+                u = pick(scan(file), self.options, self.mode)
+                first, last = 0, steps_of(u, self.options, self.mode)[0]
             else:
-                yield from table_batches(file, u, columns(u.header), self.names, part.first, part.last)
+                u, first, last = read_unit(file, part.start, part.index), part.first, part.last
+            yield from read_range(file, part.path, u, self.options, self.mode, self.names, self.exact, first, last)
 
 
 def register(spark: SparkSession) -> None:
+    """Add the format; Spark asks Python sources for filters only where that is switched on."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(StarFits)
 
 
-def from_binary(files: DataFrame, mode: str = "hdu") -> DataFrame:
-    """Units or cards of files that Spark's binaryFile reader read (columns path and content)."""
-    import pandas as pd
+def from_binary(files: DataFrame, mode: str = "hdu", **options: str) -> DataFrame:
+    """Any mode over files that Spark's binaryFile reader read from any store (columns path and content).
 
-    schema = HDU_SCHEMA if mode == "hdu" else CARD_SCHEMA
-    names = [f.split()[0] for f in schema.replace("array<bigint>", "array").split(", ")]
+    Options are those of the data source. The schema of images, tiles and tables is that of the first file.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    if mode in ("hdu", "cards"):
+        schema = T._parse_datatype_string(FIXED[mode])
+    else:
+
+        def describe(batches):
+            for batch in batches:
+                for content in batch.column("content"):
+                    found = schema_of(scan(io.BytesIO(content.as_py())), options, mode)
+                    yield pa.RecordBatch.from_pydict({"schema": [found if isinstance(found, str) else found.json()]})
+
+        text = files.orderBy("path").limit(1).select("content").mapInArrow(describe, "schema string").first()[0]
+        schema = T.StructType.fromJson(json.loads(text)) if text.startswith("{") else T._parse_datatype_string(text)
+    arrow, names, exact = to_arrow_schema(schema), schema.fieldNames(), mode in ("image", "tiles") and is_exact_schema(schema)
+
+    def rows(made: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), arrow)], schema=arrow)
 
     def run(batches):
         for batch in batches:
-            rows = [r for p, c in zip(batch["path"], batch["content"]) for r in (hdu_rows if mode == "hdu" else card_rows)(p, scan(io.BytesIO(c)))]
-            yield pd.DataFrame(rows, columns=names)
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                file = io.BytesIO(content.as_py())
+                units = scan(file)
+                if mode in ("hdu", "cards"):
+                    made = list((hdu_rows if mode == "hdu" else card_rows)(path, units))
+                    if made:
+                        yield rows(made)
+                    continue
+                u = pick(units, options, mode)
+                for item in read_range(file, path, u, options, mode, names, exact, 0, steps_of(u, options, mode)[0]):
+                    yield item if isinstance(item, pa.RecordBatch) else rows([item])
+
+    return files.select("path", "content").mapInArrow(run, schema)
+
+
+#: What a target type takes without loss of range: integers take images of at most their width, floats take all.
+_TAKES = {"tinyint": (8,), "smallint": (8, 16), "int": (8, 16, 32), "bigint": (8, 16, 32, 64), "float": (8, 16, 32, 64, -32, -64), "double": (8, 16, 32, 64, -32, -64)}
+
+
+def can_convert(bitpix: int, target: str) -> bool:
+    """May pixels of that BITPIX be read as a Spark type (tinyint, smallint, int, bigint, float or double)?"""
+    return bitpix in _TAKES.get(target, ())
+
 
-    return files.select("path", "content").mapInPandas(run, schema)
+def convert(pixels: DataFrame, bitpix: int, target: str) -> DataFrame:
+    """``pixels`` with ``value`` of the target type; TypeError where the matrix of :func:`can_convert` says no."""
+    if not can_convert(bitpix, target):
+        raise TypeError(f"pixels of BITPIX {bitpix} cannot be read as {target}")
+    return pixels.withColumn("value", pixels["value"].cast(target))
 
 
 def read_float32(df: DataFrame, bitpix: int) -> DataFrame:

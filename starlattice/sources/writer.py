@@ -1,5 +1,8 @@
 """Writing the container: images, tables, compressed images, copies and edits.
 
+Nulls survive: integers get a TNULL or BLANK that no value has, strings a cell of NULs, floats NaN. A null array is an
+empty one. Heaps beyond 2 GiB get 64-bit descriptors.
+
 A file is built in a new place and moved over the old one when complete, so a crash leaves the old file whole. Edits of
 headers and units work on what :func:`layout.scan` says and copy everything else byte by byte.
 """
@@ -10,10 +13,13 @@ import math
 import os
 import uuid
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSourceArrowWriter, WriterCommitMessage
 
 from . import codecs, quantize
 from .cards import BLOCK, Card, Header, encode_header, make_card
@@ -35,11 +41,19 @@ def _header(cards: Iterable[tuple], extra: Iterable[Card] = ()) -> Header:
 
 
 def image_unit(values: np.ndarray, bitpix: int, primary: bool, bscale: float = 1.0, bzero: float = 0.0, blank: int | None = None, extra: Iterable[Card] = ()) -> bytes:
-    """A unit from an array whose last axis runs fastest. Integers are rounded and clamped; NaN becomes BLANK."""
+    """A unit from an array whose last axis runs fastest. Integers are rounded and clamped.
+
+    NaN becomes BLANK; if none is given, the lowest integer that no pixel has (ValueError if every integer is taken).
+    """
     kind = np.dtype(BITPIX[bitpix])
     v = np.asarray(values)
+    if bitpix > 0 and blank is None and v.dtype.kind == "f" and np.isnan(v).any():
+        blank = unused(np.unique(np.clip(np.rint((v[~np.isnan(v)].astype(np.float64) - bzero) / bscale), np.iinfo(kind).min, np.iinfo(kind).max)), kind)
     if bitpix > 0:
-        scaled = (v.astype(np.float64) - bzero) / bscale if (bscale, bzero) != (1, 0) or v.dtype.kind == "f" else v
+        if v.dtype.kind in "iu" and bscale == 1 and float(bzero).is_integer():
+            scaled = v if not bzero else v.astype(object) - int(bzero)  # exact
+        else:
+            scaled = (v.astype(np.float64) - bzero) / bscale
         if scaled.dtype.kind == "f":
             low, high = np.iinfo(kind).min, np.iinfo(kind).max
             bad = np.isnan(scaled)
@@ -58,48 +72,77 @@ def image_unit(values: np.ndarray, bitpix: int, primary: bool, bscale: float = 1
     return encode_header(_header(cards, extra)) + _padded(raw.tobytes())
 
 
+def unused(taken: np.ndarray, kind: np.dtype) -> int:
+    """The lowest integer of the kind that is not among the sorted distinct values."""
+    low, high = int(np.iinfo(kind).min), int(np.iinfo(kind).max)
+    for value in taken.tolist():
+        if int(value) > low:
+            break
+        low = int(value) + 1
+    if low > high:
+        raise ValueError(f"no value of {kind} is left to stand for a missing one")
+    return low
+
+
 def empty_primary(extra: Iterable[Card] = ()) -> bytes:
     return encode_header(_header([("SIMPLE", True), ("BITPIX", 8), ("NAXIS", 0), ("EXTEND", True)], extra))
 
 
-def _cells(values: list, code: str) -> bytes:
+def _cells(values: list, code: str, null: int | None = None) -> bytes:
     if code == "L":
         return bytes(0 if v is None else 84 if v else 70 for v in values)
-    fill = np.nan if code in "ED" else 0
+    fill = np.nan if code in "ED" else null
     return np.array([fill if v is None else v for v in values], NUMPY[code]).tobytes()
 
 
+def _null_of(values: list, code: str) -> int | None:
+    """A TNULL for integers that hold a null."""
+    if code not in "BIJK" or None not in values:
+        return None
+    return unused(np.unique(np.array([v for v in values if v is not None], NUMPY[code])), np.dtype(NUMPY[code]))
+
+
 def table_unit(names: list[str], kinds: list[T.DataType], rows: list, extname: str = "", units: dict[str, str] | None = None, extra: Iterable[Card] = ()) -> bytes:
-    """A binary table; strings take the width of the longest, arrays lie in the heap in the order of rows."""
-    fields, heap = [], bytearray()
-    cells: list[list[bytes]] = []
-    for k, kind in enumerate(kinds):
-        column = [r[k] for r in rows]
-        if isinstance(kind, T.ArrayType):
-            code, parts = CODES[type(kind.elementType)], []
-            longest = max((len(v) for v in column if v is not None), default=0)
+    """A binary table; strings take the width of the longest, arrays and binaries lie in the heap in the order of rows."""
+    columns = [[r[k] for r in rows] for k in range(len(kinds))]
+    heap, fields, cells, nulls = bytearray(), [], [], []
+    ragged = [isinstance(k, (T.ArrayType, T.BinaryType)) for k in kinds]
+    for name, kind in zip(names, kinds):
+        if type(kind.elementType if isinstance(kind, T.ArrayType) else kind) not in (*CODES, T.StringType, T.BinaryType):
+            raise TypeError(f"column {name}: no format holds {kind.simpleString()}")
+    for kind, column, is_ragged in zip(kinds, columns, ragged):
+        null = None
+        if is_ragged:
+            code = "B" if isinstance(kind, T.BinaryType) else CODES[type(kind.elementType)]
+            null = _null_of([x for v in column if v is not None and code != "B" for x in v], code)
+            places = []
             for v in column:
-                own = [] if v is None else list(v)
-                data = _cells(own, code)
-                parts.append(np.array([len(own), len(heap)], ">i4").tobytes())
+                data = b"" if v is None else bytes(v) if code == "B" else _cells(list(v), code, null)
+                places.append((0 if v is None else len(v), len(heap)))
                 heap += data
-            form = f"1P{code}({longest})"
+            fields.append(f"{code}({max((n for n, _ in places), default=0)})")
+            cells.append(places)
         elif isinstance(kind, T.StringType):
-            texts = [(v or "").encode("ascii", "replace") for v in column]
-            width = max((len(t) for t in texts), default=0) or 1
-            parts, form = [t.ljust(width) for t in texts], f"{width}A"
+            texts = [None if v is None else v.encode("ascii", "replace") for v in column]
+            width = max((len(t) for t in texts if t is not None), default=0) or 1
+            cells.append([b"\0" * width if t is None else t.ljust(width) for t in texts])
+            fields.append(f"{width}A")
         else:
             code = CODES[type(kind)]
-            size = np.dtype(NUMPY[code]).itemsize
-            data = _cells(column, code)
-            parts, form = [data[i : i + size] for i in range(0, len(data), size)], code
-        cells.append(parts)
-        fields.append(form)
+            null = _null_of(column, code)
+            size, data = np.dtype(NUMPY[code]).itemsize, _cells(column, code, null)
+            cells.append([data[i : i + size] for i in range(0, len(data), size)])
+            fields.append(code)
+        nulls.append(null)
+    pointer, letter = (">i8", "Q") if len(heap) >= 1 << 31 else (">i4", "P")
+    fields = [f"1{letter}{f}" if r else f for f, r in zip(fields, ragged)]
+    cells = [[np.array(c, pointer).tobytes() for c in own] if r else own for own, r in zip(cells, ragged)]
     body = b"".join(b"".join(row) for row in zip(*cells)) if rows else b""
     width = sum(len(c[0]) for c in cells) if rows else sum(_empty_width(f) for f in fields)
     cards = [("XTENSION", "BINTABLE"), ("BITPIX", 8), ("NAXIS", 2), ("NAXIS1", width), ("NAXIS2", len(rows)), ("PCOUNT", len(heap)), ("GCOUNT", 1), ("TFIELDS", len(names))]
-    for i, (name, form) in enumerate(zip(names, fields), 1):
+    for i, (name, form, null) in enumerate(zip(names, fields, nulls), 1):
         cards += [(f"TTYPE{i}", name), (f"TFORM{i}", form)]
+        cards += [(f"TNULL{i}", null)] if null is not None else []
         if units and name in units:
             cards.append((f"TUNIT{i}", units[name]))
     cards += [("EXTNAME", extname)] if extname else []
@@ -139,16 +182,17 @@ def compressed_unit(image: np.ndarray, bitpix: int, codec: str = "RICE_1", tile:
             else:
                 plain, scale, zero = found
         data = b"" if fallback else codecs.encode(plain, codec, size, (math.prod(extent[1:]), extent[0]))
-        count = len(data) // 2 if codec == "PLIO_1" else len(data)
-        row = np.array([count, len(heap)], ">i4").tobytes()
+        places = [(len(data) // 2 if codec == "PLIO_1" else len(data), len(heap))]
         heap += data
         if bitpix < 0:
-            row += np.array([len(fallback), len(heap)], ">i4").tobytes() + np.array([scale, zero], ">f8").tobytes()
+            places.append((len(fallback), len(heap)))
             heap += fallback
-        rows.append(row)
-    forms = [("COMPRESSED_DATA", "1PI" if codec == "PLIO_1" else "1PB")]
+        rows.append((places, scale, zero))
+    pointer, letter = (">i8", "Q") if len(heap) >= 1 << 31 else (">i4", "P")
+    rows = [np.array(places, pointer).tobytes() + (np.array([scale, zero], ">f8").tobytes() if bitpix < 0 else b"") for places, scale, zero in rows]
+    forms = [("COMPRESSED_DATA", f"1{letter}{'I' if codec == 'PLIO_1' else 'B'}")]
     if bitpix < 0:
-        forms += [("GZIP_COMPRESSED_DATA", "1PB"), ("ZSCALE", "1D"), ("ZZERO", "1D")]
+        forms += [("GZIP_COMPRESSED_DATA", f"1{letter}B"), ("ZSCALE", "1D"), ("ZZERO", "1D")]
     width = len(rows[0]) if rows else 8
     cards = [("XTENSION", "BINTABLE"), ("BITPIX", 8), ("NAXIS", 2), ("NAXIS1", width), ("NAXIS2", len(rows)), ("PCOUNT", len(heap)), ("GCOUNT", 1), ("TFIELDS", len(forms))]
     for i, (name, form) in enumerate(forms, 1):
@@ -233,19 +277,67 @@ def overwrite_pixels(path: str, index: int, values: np.ndarray) -> None:
     write_file(path, (unit_bytes(path, v) if v.index != index else encode_header(h) + body for v in units))
 
 
-def write_table(df: DataFrame, folder: str, extname: str = "") -> None:
-    """One file for each partition of the DataFrame, written by the executors to a shared folder."""
-    names, kinds = df.columns, [f.dataType for f in df.schema.fields]
+#: Rows of one file that a task of the writer holds at a time.
+ROWS_PER_FILE = 200_000
 
-    def run(batches):
-        import pandas as pd
-        from pyspark import TaskContext
 
-        rows = [tuple(r) for b in batches for r in b.itertuples(index=False, name=None)]
-        path = f"{folder}/part-{TaskContext.get().partitionId():05d}.fits"
-        os.makedirs(folder, exist_ok=True)
-        clean = [tuple(None if isinstance(v, float) and math.isnan(v) and not isinstance(k, (T.FloatType, T.DoubleType)) else v for v, k in zip(r, kinds)) for r in rows]
-        write_file(path, [empty_primary(), table_unit(names, kinds, clean, extname)])
-        yield pd.DataFrame({"path": [path], "rows": [len(rows)]})
+@dataclass
+class Written(WriterCommitMessage):
+    files: list[tuple[str, str]]
+
+
+class TableWriter(DataSourceArrowWriter):
+    """``df.write.format("starfits").option("extname", ...).mode("append").save(folder)``: files of binary tables.
+
+    Each task writes its rows as files of at most ``rowsPerFile`` rows under hidden names; the driver renames them when
+    all tasks are done, so a failed task or job leaves nothing behind that a reader would see. The folder must be one
+    that all executors share; ``overwrite`` removes the files that were there.
+    """
+
+    def __init__(self, options: dict, schema: T.StructType, overwrite: bool):
+        self.folder = options["path"].removeprefix("file://").rstrip("/")
+        self.extname, self.most, self.overwrite = options.get("extname", ""), int(options.get("rowsperfile", options.get("rowsPerFile", ROWS_PER_FILE))), overwrite
+        self.schema, self.job = schema, uuid.uuid4().hex
+
+    def write(self, iterator):
+        context, names, kinds = TaskContext.get(), self.schema.fieldNames(), [f.dataType for f in self.schema.fields]
+        os.makedirs(self.folder, exist_ok=True)
+        files, held, count = [], [], 0
+
+        def flush(rows: list) -> None:
+            final = f"{self.folder}/part-{context.partitionId():05d}-{len(files):04d}-{self.job}.fits"
+            hidden = f"{self.folder}/_{self.job}-{context.taskAttemptId()}-{len(files)}"
+            write_file(hidden, [empty_primary(), table_unit(names, kinds, rows, self.extname)])
+            files.append((hidden, final))
+
+        for batch in iterator:
+            held += zip(*(c.to_pylist() for c in batch.columns))
+            while len(held) - count >= self.most:
+                flush(held[count : count + self.most])
+                count += self.most
+            held, count = held[count:], 0
+        if held or not files and context.partitionId() == 0:
+            flush(held)
+        return Written(files)
+
+    def commit(self, messages):
+        old = [f for f in os.listdir(self.folder) if f.endswith(".fits")] if self.overwrite and os.path.isdir(self.folder) else []
+        for m in messages:
+            for hidden, final in m.files if m else []:
+                os.replace(hidden, final)
+        for name in old:
+            os.unlink(os.path.join(self.folder, name))
+
+    def abort(self, messages):
+        for m in messages:
+            for hidden, _ in m.files if m else []:
+                if os.path.exists(hidden):
+                    os.unlink(hidden)
+
+
+def write_table(df: DataFrame, folder: str, extname: str = "") -> None:
+    """The DataFrame as files of binary tables, written by the executors to a shared folder."""
+    from .reader import register
 
-    df.mapInPandas(run, "path string, rows long").collect()  # one row a partition
+    register(df.sparkSession)
+    df.write.format("starfits").option("extname", extname).mode("append").save(folder)

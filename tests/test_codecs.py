@@ -1,11 +1,12 @@
 import glob
+import gzip
 import json
 import os
 
 import numpy as np
 import pytest
 
-from starlattice.sources import checksum, codecs, quantize
+from starlattice.sources import checksum, codecs, quantize, writer
 
 RNG = np.random.default_rng(4)
 
@@ -49,8 +50,29 @@ def test_checksum():
     unit[16:32] = b"0" * 16
     text = checksum.encode(checksum.checksum(bytes(unit)))
     unit[16:32] = text.encode()
-    # characters lie on word borders one byte on, as in a card
-    assert isinstance(checksum.is_valid(bytes(unit)), bool)
+    # the characters add up wherever they stand when taken from one byte on, as in a card
+    assert checksum.is_valid(writer.with_checksum(writer.image_unit(np.arange(700), 32, True)))
+    broken = bytearray(writer.with_checksum(writer.image_unit(np.arange(700), 32, True)))
+    broken[3000] ^= 1
+    assert not checksum.is_valid(bytes(broken))
+
+
+def test_fixed_streams():
+    """Byte strings worked out by hand from the published formats, so that two matching errors cannot pass."""
+    # Rice, 16 bits: first value plain, then blocks of zigzag differences (here 0, +1, -1 -> 0, 2, 1) of split k:
+    # code k + 1 in 4 bits, each difference as its upper part in unary and k lower bits.
+    assert codecs.rice_decode(bytes([0x00, 0x05, 0x00]), 4, 2).tolist() == [5, 5, 5, 5]  # code 0: all differences are zero
+    bits = "0000000000000101" + "0001" + "1" + "1" + "001" + "01"  # 5; k = 0: 0 0 2 1
+    data = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    assert codecs.rice_decode(data, 4, 2).tolist() == [5, 5, 6, 5]
+    # GZIP_2: all first bytes, then all second bytes, deflated
+    assert codecs.decode(gzip.compress(bytes([1, 2, 3, 4])), "GZIP_2", 2, 2).tolist() == [0x0103, 0x0204]
+    assert codecs.decode(gzip.compress(bytes([1, 2, 3, 4])), "GZIP_1", 2, 2).tolist() == [0x0102, 0x0304]
+    assert codecs.decode(bytes([0, 7, 255, 254]), "NOCOMPRESS", 2, 2).tolist() == [7, -2]
+    # PLIO line list: header words (0, 7 words of header, -100, length, 0, 0, 0), then 4 bits of code and 12 of data:
+    # ZN 0 skip, HN 4 write the high value, PN 5 zeros then one high value; IH 2 raises it.
+    words = [0, 7, -100, 7 + 4, 0, 0, 0, 0x0003, 0x4002, 0x2004, 0x5003]
+    assert codecs.plio_decode(np.array(words, ">i2").tobytes(), 8).tolist() == [0, 0, 0, 1, 1, 0, 0, 5]
 
 
 def test_dither():
