@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import calendar
 from ..functions import healpix as hp
 from ..functions.layers import render
-from ..operators import skyjoin
+from ..operators import own, skyjoin
 from ..streaming import windows
 from .elementwise import ANGLES
 from .tables import query, sky, table
@@ -129,33 +130,93 @@ def topk(spark, sf_dir):
     return table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25).select("o_orderkey", "o_totalprice")
 
 
-# -- streams: the events table is read as a stream and the query runs to its end -------------------------------------
-_minute = "date_trunc('hour', ts)"
+# -- streams: the events table comes in three batches, the last one late ---------------------------------------------
+_ARRIVED = """
+ends AS (SELECT min(ts) AS lo, max(ts) AS hi FROM events),
+seen AS (SELECT *, event_id % 7 = 0 AND ts < lo + (hi - lo) / 2 AS late, hi - INTERVAL 1 HOUR AS mark FROM events, ends)"""
 
 
-@query("stream_tumbling", f"SELECT {_minute} AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def _streamed(build):
+    def run(spark, sf_dir):
+        return windows.replay(windows.arrivals(table(spark, sf_dir, "events"), F.col("event_id") % 7 == 0), build)
+
+    return run
+
+
+@query("stream_tumbling", f"WITH {_ARRIVED} SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM seen WHERE NOT (late AND time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= mark) GROUP BY ALL")
 def tumbling(spark, sf_dir):
-    return windows.run_to_end(spark, sf_dir, lambda events: windows.tumbling(events, "1 hour")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    out = _streamed(lambda events: windows.tumbling(events, "1 hour"))(spark, sf_dir)
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("stream_sliding", f"SELECT s + INTERVAL (k) MINUTE AS start, count(*) AS n FROM (SELECT {_minute} AS s, unnest([0, -30, 30]) AS k, ts FROM events) WHERE ts >= s + INTERVAL (k) MINUTE AND ts < s + INTERVAL (k + 60) MINUTE GROUP BY 1")
+@query("stream_sliding", f"WITH {_ARRIVED} SELECT s + INTERVAL (k) MINUTE AS start, count(*) AS n FROM (SELECT *, date_trunc('hour', ts) AS s, unnest([0, -30, 30]) AS k FROM seen) WHERE ts >= s + INTERVAL (k) MINUTE AND ts < s + INTERVAL (k + 60) MINUTE AND NOT (late AND s + INTERVAL (k + 60) MINUTE <= mark) GROUP BY 1")
 def sliding(spark, sf_dir):
-    return windows.run_to_end(spark, sf_dir, lambda events: windows.sliding(events, "1 hour", "30 minutes")).select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
+    return _streamed(lambda events: windows.sliding(events, "1 hour", "30 minutes"))(spark, sf_dir).select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-SESSION_SQL = """
-WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+SESSION_SQL = f"""
+WITH {_ARRIVED},
+g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM seen WHERE NOT (late AND ts + INTERVAL 30 MINUTE <= mark) WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM g)
 SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k"""
 
 
 @query("stream_session", SESSION_SQL)
 def session(spark, sf_dir):
-    return windows.run_to_end(spark, sf_dir, lambda events: windows.sessions(events, "30 minutes")).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+    return _streamed(lambda events: windows.sessions(events, "30 minutes"))(spark, sf_dir).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query("stream_late", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+@query("stream_late", f"WITH {_ARRIVED} SELECT event_type, count(*) AS n FROM seen WHERE NOT (late AND time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= mark) GROUP BY event_type")
 def late(spark, sf_dir):
-    """Complete counts by type: late rows are counted, as nothing is dropped without a watermark."""
-    return windows.run_to_end(spark, sf_dir, lambda events: events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), mode="complete")
+    """What is left of each type when rows that come after their day was closed are dropped."""
+    days = _streamed(lambda events: windows.tumbling(events, "1 day"))(spark, sf_dir)
+    return days.groupBy("event_type").agg(F.sum("n").cast("long").alias("n"))
+
+
+# -- dates, JSON, frames by value, aggregates and table functions in Python, join hints ------------------------------
+@query("julian_dates", "SELECT o_orderkey, o_orderdate::DATE - DATE '1858-11-17' AS mjd, (o_orderdate::DATE - DATE '1858-11-17') + 2400000.5 AS jd, round(2000 + ((o_orderdate::DATE - DATE '2000-01-01') - 0.5) / 365.25, 8) AS epoch FROM orders")
+def julian(spark, sf_dir):
+    mjd = calendar.mjd(F.col("o_orderdate"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(mjd).cast("long").alias("mjd"), calendar.jd(F.col("o_orderdate")).alias("jd"), F.round(calendar.julian_epoch(F.col("o_orderdate")), 8).alias("epoch"))
+
+
+@query("win_range", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY epoch(ts) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW), 4) AS hour_sum FROM events")
+def window_range(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    return rows.select("event_id", F.round(F.sum("value").over(Window.partitionBy("user_id").orderBy("s").rangeBetween(-3600, 0)), 4).alias("hour_sum"))
+
+
+@query("setop_all", "SELECT k, count(*) AS n FROM (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) GROUP BY k")
+def union_all(spark, sf_dir):
+    both = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).unionAll(table(spark, sf_dir, "supplier").select("s_nationkey"))
+    return both.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+
+
+for _hint in ("broadcast", "merge", "shuffle_hash", "shuffle_replicate_nl"):
+
+    def _hinted(spark, sf_dir, hint=_hint):
+        """Suppliers by nation's name, under each join strategy."""
+        nation, supplier = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
+        return supplier.join(nation.hint(hint), supplier.s_nationkey == nation.n_nationkey).groupBy("n_name").agg(F.count(F.lit(1)).alias("n"))
+
+    query(f"join_{_hint}", "SELECT n_name, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name")(_hinted)
+
+
+@query("udaf_harmonic", "SELECT l_returnflag, round(count(*) / sum(1 / l_quantity), 6) AS harmonic FROM lineitem GROUP BY l_returnflag")
+def udaf(spark, sf_dir):
+    """An aggregate of one's own, in two levels so that no group has to fit one worker."""
+    return own.harmonic_mean(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity").select("l_returnflag", F.round("harmonic", 6).alias("harmonic"))
+
+
+@query("udtf_tiles", "SELECT n_nationkey AS id, t AS tile, (t % 3) * 10 AS x0, (t // 3) * 10 AS y0 FROM nation, range(6) AS r(t) WHERE t < CASE WHEN n_nationkey % 2 = 0 THEN 6 ELSE 3 END")
+def udtf(spark, sf_dir):
+    """Tiles of images of 30 by 20 or 10 pixels, by a table function."""
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.lit(30).alias("w"), F.when(F.col("n_nationkey") % 2 == 0, 20).otherwise(10).alias("h"))
+    return own.tiles_of(rows, "id", "w", "h", 10)
+
 
+@query("json_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, len(json_keys(props)) AS keys FROM events WHERE json_valid(props)")
+def json_props(spark, sf_dir):
+    """A field of a JSON text, and the text as a map."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint").alias("s"), F.from_json("props", "map<string,string>").alias("m"))
+    return rows.filter("m IS NOT NULL").select("event_id", "s.k", F.size(F.map_keys("m")).cast("long").alias("keys"))
