@@ -11,8 +11,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import struct
+import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +22,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import owns_worker, small_batches, worker_memory
 
-#: Words kept with their ids in one Python worker; beyond it the memory starts anew.
-WORD_MEMORY = 600_000
+#: Estimated bytes of words and strings that one Python worker keeps, in two generations each.
+MEMORY = 64 << 20
+#: Strings encoded together.
+GROUP = 120_000
 #: Words of more letters are merged with a heap.
 LONG_WORD = 64
 NEVER, ID_BITS = 1 << 62, (1 << 24) - 1
@@ -36,6 +39,44 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder != "little":
+        out.byteswap()
+    return out.tobytes()
+
+
+class Memory(dict):
+    """What was found lately: half of the bytes are new, the older half goes when the newer is full; hot entries stay."""
+
+    def __init__(self, nbytes: int):
+        super().__init__()
+        self.most, self.held, self.old = nbytes // 2, 0, {}
+
+    def lacking(self, keys: set) -> set:
+        """Keys not held; those of the older half move to the newer."""
+        gone = keys - self.keys()
+        for k in gone & self.old.keys():
+            self[k] = self.old.pop(k)
+            self.held += self.weight(k)
+        return gone - self.keys()
+
+    @staticmethod
+    def weight(key: str) -> int:
+        return 200 + 8 * len(key)
+
+    def learn(self, found: dict) -> None:
+        self.update(found)
+        self.held += sum(map(self.weight, found))
+
+    def age(self) -> None:
+        if self.held > self.most:
+            self.old = dict(self)
+            self.clear()
+            self.held = 0
+
+
 class Codec:
     """Encoder and decoder of a BPE file with word ends, as a JSON text."""
 
@@ -54,18 +95,17 @@ class Codec:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.letters = {chr(b): c for b, c in byte_letters().items()}
         self.table = str.maketrans(self.letters)
-        self.reach: dict[str, int] = {}  # the longest entry that begins with two letters, or with a last one
+        self.reach: dict[str, int] = {}  # the longest entry that begins with three letters
         for t in ids:
             bare = t.removesuffix(self.end)
-            self.reach[bare[:2]] = max(self.reach.get(bare[:2], 1), len(bare))
+            if len(bare) > 2:
+                self.reach[bare[:3]] = max(self.reach.get(bare[:3], 2), len(bare))
         self.whole: dict[int, bool] = {}  # does a token come out of its own merging whole?
         self.pairs = np.zeros(0, np.int64)  # judged pairs, sorted, and what was found
         self.fits = np.zeros(0, bool)
-        self.known: dict[str, list[int]] = {}  # words
-        self.ids: dict[str, bytes] = {}  # what stands between two blanks: its ids, and their names each after a blank
-        self.said: dict[str, str] = {}
-        for token, i in self.special.items():
-            self.ids[token], self.said[token] = struct.pack("<I", i), " " + token
+        self.known = Memory(MEMORY // 2)  # words and their ids as bytes
+        self.strings = Memory(MEMORY // 2)  # what stands between two blanks: its ids as bytes
+        self.said = {i: " " + t for i, t in self.names.items()}
 
     # -- exact merging -------------------------------------------------------------------------------------------
     def _letters_of(self, word: str) -> list[int]:
@@ -124,7 +164,7 @@ class Codec:
         out, i, n, vocab, reach = [], 0, len(word), self.vocab.get, self.reach.get
         marked = word + self.end
         while i < n:
-            for j in range(min(n, i + reach(word[i : i + 2], 1)), i, -1):
+            for j in range(min(n, i + reach(word[i : i + 3], 2)), i, -1):
                 token = vocab(marked[i:] if j == n else word[i:j])
                 if token is not None:
                     out.append(token)
@@ -157,7 +197,7 @@ class Codec:
 
     def learn(self, words: list[str]) -> None:
         """Encode new words together and remember them."""
-        if len(self.pairs) > 4 * WORD_MEMORY:
+        if len(self.pairs) > MEMORY // 32:
             self.pairs, self.fits = np.zeros(0, np.int64), np.zeros(0, bool)
         lettered = [w.translate(self.table) if w.isascii() else w.encode("utf-8", "replace").decode("latin-1").translate(self.table) for w in words]
         guesses = [self.guess(w) for w in lettered]
@@ -173,7 +213,7 @@ class Codec:
             fails[i] = not self._stands(guesses[i][0])
         for i in np.flatnonzero(fails).tolist():
             guesses[i] = self.merged(self._letters_of(lettered[i]))
-        self.known.update(zip(words, guesses))
+        self.known.learn(dict(zip(words, map(packed, guesses))))
 
     # -- texts ---------------------------------------------------------------------------------------------------
     @staticmethod
@@ -183,17 +223,16 @@ class Codec:
 
     def _remember(self, strings: set[str]) -> None:
         """Encode what stands between blanks. No word crosses white space, so strings can be taken one by one."""
-        cut = {s: self.words.findall(self.normal(s)) for s in strings}
-        new = {w for words in cut.values() for w in words} - self.known.keys()
-        if len(self.known) + len(new) > WORD_MEMORY:
-            self.known.clear()
-            new = {w for words in cut.values() for w in words}
-        self.learn(sorted(new))
-        known, names = self.known, self.names
+        plain = strings - self.special.keys()
+        find, normal = self.words.findall, self.normal
+        cut = {s: find(s.lower() if s.isascii() else normal(s)) for s in plain}
+        self.learn(sorted(self.known.lacking({w for words in cut.values() for w in words})))
+        known = self.known
+        found = {s: packed([self.special[s]]) for s in strings - plain}
         for s, words in cut.items():
-            ids = [t for w in words for t in known[w]]
-            self.ids[s] = struct.pack(f"<{len(ids)}I", *ids)
-            self.said[s] = "".join([" " + names[t] for t in ids])
+            found[s] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
+        self.strings.learn(found)
+        self.known.age()
 
     def _strings(self, text: str) -> list[str]:
         parts = self.cut.split(text) if self.cut and any(s in text for s in self.special) else [text]
@@ -202,23 +241,19 @@ class Codec:
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[bytes, int, str]]:
         """Per text: ids as little-endian unsigned 32-bit integers, their number, and the decoded text."""
         at = 0
-        while at < len(texts):  # as many texts at once as have WORD_MEMORY / 4 strings, one text at least
+        while at < len(texts):  # as many texts at once as have GROUP strings, one text at least
             group, n = [], 0
-            while at < len(texts) and (not group or n < WORD_MEMORY // 4):
+            while at < len(texts) and (not group or n < GROUP):
                 group.append(self._strings(texts[at]))
                 n += len(group[-1])
                 at += 1
-            new = set().union(*group) - self.ids.keys()
-            if len(self.ids) + len(new) > WORD_MEMORY:
-                self.ids.clear(), self.said.clear()
-                for token, i in self.special.items():
-                    self.ids[token], self.said[token] = struct.pack("<I", i), " " + token
-                new = set().union(*group) - self.ids.keys()
+            new = self.strings.lacking(set().union(*group))
             if new:
                 self._remember(new)
             for strings in group:
-                ids = b"".join(map(self.ids.__getitem__, strings))
-                yield ids, len(ids) // 4, "".join(map(self.said.__getitem__, strings))[1:]
+                ids = b"".join(map(self.strings.__getitem__, strings))
+                yield ids, len(ids) // 4, "".join(map(self.said.__getitem__, np.frombuffer(ids, "<u4").tolist()))[1:]
+            self.strings.age()
 
     def decode(self, ids: list[int]) -> str:
         """Without a decoder in the file, the names stand side by side with a space between; unknown ids are left out."""
@@ -236,8 +271,8 @@ def _spec(path: str | None) -> str:
         return file.read()
 
 
-#: The codec of a Python worker, which its tasks share with all that it remembers.
-_codecs: dict[str, Codec] = {}
+#: The codec of a Python worker, which its tasks share with all that it remembers until another operator takes the worker.
+_codecs: dict[str, Codec] = worker_memory("bpe", {})
 
 
 def _codec(spec: str) -> Codec:
@@ -250,6 +285,7 @@ def _codec(spec: str) -> Codec:
 
 def _mapper(spec, digests: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        owns_worker("bpe")
         codec = _codec(spec.value)
         for batch in batches:
             out = list(codec.encode_batch(batch["_text"].tolist()))
