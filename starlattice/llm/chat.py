@@ -14,9 +14,10 @@ and each partition then replays its own messages between the states that it was
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -85,7 +86,8 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum((a[:, :, None] + b[None, :, :]).min(axis=1), FAR)
 
 
-def code_of(role: object) -> int | None:
+@lru_cache(maxsize=1024)
+def code_of(role: str | None) -> int | None:
     name = str(role).strip().lower() if isinstance(role, str) else ""
     return ROLES.get(ALIASES.get(name, name))
 
@@ -124,27 +126,34 @@ def repair(roles: list[str | None]) -> tuple[list[tuple[str, int, list[int]]], i
     return steps, total // TURNS
 
 
-def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[object, pd.DataFrame]]:
-    """Rows of a partition cut where the conversation changes; a long conversation comes in several pieces."""
-    for batch in batches:
-        conv = batch["conv_id"].astype("Int64")
-        change = np.flatnonzero((conv.fillna(0).to_numpy()[1:] != conv.fillna(0).to_numpy()[:-1]) | (conv.isna().to_numpy()[1:] != conv.isna().to_numpy()[:-1])) + 1
-        for a, b in zip([0, *change], [*change, len(batch)]):
-            if b > a:
-                yield (None if conv.isna().iloc[a] else int(conv.iloc[a])), batch.iloc[a:b]
+def _runs(batch: pa.RecordBatch) -> list[tuple[int | None, int, int]]:
+    """(conversation, first row, row after the last) where the conversation stays the same."""
+    if not batch.num_rows:
+        return []
+    conv = batch.column("conv_id")
+    ids, missing = conv.fill_null(0).to_numpy(), conv.is_null().to_numpy(zero_copy_only=False)
+    cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]) | (missing[1:] != missing[:-1])) + 1).tolist(), batch.num_rows]
+    return [(None if missing[a] else int(ids[a]), a, b) for a, b in zip(cuts, cuts[1:])]
 
 
-def _borders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For the first and the last conversation of a partition: its matrix here."""
     found: list = []  # [conversation, matrix]: the first, and the last so far
-    for conv, rows in _runs(batches):
-        m = matrix([code_of(r) for r in rows["role"]])
-        if found and found[-1][0] == conv:
-            found[-1][1] = product(found[-1][1], m)
-        else:
-            found = [*found[:1], [conv, m]]
+    for batch in batches:
+        runs, roles = _runs(batch), batch.column("role").to_pylist()
+        for k, (conv, a, b) in enumerate(runs):
+            goes_on = bool(found) and found[-1][0] == conv
+            if not goes_on and found and k + 1 < len(runs):
+                continue  # begins and ends inside
+            m = matrix([code_of(r) for r in roles[a:b]])
+            if goes_on:
+                found[-1][1] = product(found[-1][1], m)
+            else:
+                found = [*found[:1], [conv, m]]
     pid = TaskContext.get().partitionId()
-    yield pd.DataFrame({"pid": [pid] * len(found), "nth": range(len(found)), "conv_id": pd.array([f[0] for f in found], "Int64"), "m": [f[1].ravel() for f in found]})
+    yield pa.RecordBatch.from_pydict({
+        "pid": pa.array([pid] * len(found), pa.int32()), "nth": pa.array(range(len(found)), pa.int32()), "conv_id": pa.array([f[0] for f in found], pa.int64()), "m": pa.array([f[1].ravel().tolist() for f in found], pa.list_(pa.int64())),
+    })
 
 
 def plan_borders(borders: list) -> dict[tuple[int, object], tuple[int, int | None, int]]:
@@ -171,63 +180,77 @@ def plan_borders(borders: list) -> dict[tuple[int, object], tuple[int, int | Non
 
 
 def _render(header: str, footer: str, glue: str):
-    def turn(role: int) -> str:
-        return header.format(role=NAMES[role])
-
-    def run_piece(conv, rows: pd.DataFrame, steps: list, state: int, made: int, ends: bool) -> list[tuple]:
-        out, first = [], True
-        for (action, role, before), turn_no, text in zip(steps, rows["turn"], rows["text"]):
-            text = text if isinstance(text, str) else ""
-            open_before = state != START or not first or made > 0
-            piece = []
+    turn = {role: header.format(role=name) for role, name in NAMES.items()}
+
+    def run(conv: int | None, turns: list, texts: list, steps: list, made: int, ends: bool) -> Iterator[tuple]:
+        state, is_open = START, made > 0
+        for (action, role, before), turn_no, text in zip(steps, turns, texts):
             if action == "merge":
-                piece.append((conv, made - 1, NAMES[role], "merge", turn_no, glue + text))
+                yield conv, made - 1, NAMES[role], "merge", turn_no, glue + (text or "")
             else:
-                close = footer if open_before else ""
                 for filler in before:
-                    piece.append((conv, made, NAMES[filler], "insert", None, close + turn(filler)))
-                    made += 1
-                    close = footer
-                piece.append((conv, made, NAMES[role], action, turn_no, close + turn(role) + text))
-                made += 1
-            out += piece
-            state, first = role, False
+                    yield conv, made, NAMES[filler], "insert", None, (footer if is_open else "") + turn[filler]
+                    made, is_open = made + 1, True
+                yield conv, made, NAMES[role], action, turn_no, (footer if is_open else "") + turn[role] + (text or "")
+                made, is_open = made + 1, True
+            state = role
         if ends:
             for filler in END_FILL[state]:
-                out.append((conv, made, NAMES[filler], "insert", None, footer + turn(filler)))
+                yield conv, made, NAMES[filler], "insert", None, footer + turn[filler]
                 made += 1
-            out.append((conv, made, "", "close", None, footer))
-        return out
+            yield conv, made, "", "close", None, footer
+
+    return run
+
+
+#: Conversations of up to so many messages are replayed once for each sequence of roles (at most REPLAYS are kept).
+SHORT, REPLAYS = 64, 20_000
+
 
-    return run_piece
+@lru_cache(maxsize=REPLAYS)
+def _replay(codes: tuple, start: int, end: int | None) -> list:
+    return replay(list(codes), start, end)
 
 
 def _formatter(shared, header: str, footer: str, glue: str):
     render = _render(header, footer, glue)
+    names = ("conv_id", "turn_no", "role", "action", "source_turn", "piece", "piece_no")
+    types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, pid = shared.value, TaskContext.get().partitionId()
-        conv, held, seq, started = None, [], 0, False
-
-        def flush() -> Iterator[pd.DataFrame]:
-            if not started:
-                return
-            rows = pd.concat(held)
-            start, end, made = plan.get((pid, conv), (START, None, 0))
-            codes = [code_of(r) for r in rows["role"]]
-            out = render(conv, rows, replay(codes, start, end), start, made, end is None)
-            frame = pd.DataFrame(out, columns=["conv_id", "turn_no", "role", "action", "source_turn", "piece"])
-            frame["conv_id"], frame["source_turn"] = frame["conv_id"].astype("Int64"), frame["source_turn"].astype("Int64")
-            frame["piece_no"] = (pid << 33) + np.arange(len(frame))
-            yield frame
-
-        for own, rows in _runs(batches):
-            if started and own != conv:
-                yield from flush()
-                held = []
-            conv, started = own, True
-            held.append(rows)
-        yield from flush()
+        made, number = [], pid << 33
+        conv, open_run, roles, turns, texts = None, False, [], [], []
+
+        def finish() -> None:
+            start, end, done = plan.get((pid, conv), (START, None, 0))
+            codes = tuple(map(code_of, roles))
+            steps = _replay(codes, start, end) if len(codes) <= SHORT else replay(list(codes), start, end)
+            made.extend(render(conv, turns, texts, steps, done, end is None))
+
+        def flush() -> pa.RecordBatch:
+            nonlocal number
+            columns = list(zip(*made))
+            out = [pa.array(c, t) for c, t in zip([*columns, range(number, number + len(made))], types)]
+            number += len(made)
+            made.clear()
+            return pa.RecordBatch.from_arrays(out, names)
+
+        for batch in batches:
+            own = [batch.column(c).to_pylist() for c in ("role", "turn", "text")]
+            for this, a, b in _runs(batch):
+                if open_run and this != conv:
+                    finish()
+                    roles, turns, texts = [], [], []
+                conv, open_run = this, True
+                roles += own[0][a:b]
+                turns += own[1][a:b]
+                texts += own[2][a:b]
+            if made:
+                yield flush()
+        if open_run:
+            finish()
+            yield flush()
 
     return run
 
@@ -254,7 +277,7 @@ def format_chats(conversations: DataFrame, header: str = "<|{role}|>\n", footer:
     if rows is None:
         raise RuntimeError("repartitionById is needed (Spark 4.1)")
     rows = rows.sortWithinPartitions(*keys).drop("pid")
-    found = rows.select("conv_id", "role").mapInPandas(_borders, "pid int, nth int, conv_id long, m array<long>").collect()  # two rows a partition at most
+    found = rows.select("conv_id", "role").mapInArrow(_borders, "pid int, nth int, conv_id long, m array<long>").collect()  # two rows a partition at most
     plan = spark.sparkContext.broadcast(plan_borders([(r["pid"], r["nth"], r["conv_id"], r["m"]) for r in found]))
     schema = "conv_id long, turn_no long, role string, action string, source_turn long, piece string, piece_no long"
-    return rows.mapInPandas(_formatter(plan, header, footer, glue), schema)
+    return rows.mapInArrow(_formatter(plan, header, footer, glue), schema)
