@@ -1,21 +1,22 @@
 """Sharding by fixed virtual slots.
 
-A record's hash picks one of ``SLOTS`` virtual slots, for good. A versioned map says which shard holds a slot: version
-1 deals slots out evenly; a rebalancing reads only the bytes of each slot and edits the map, moving as few slots as it
-takes for near-equal shards; adding a shard is another edit. The map has a fixed number of entries, so it lives on the
-driver and may be broadcast; rows never do.
+A record's hash picks one of ``SLOTS`` virtual slots, for good. A stored, versioned map says which shard holds a slot:
+version 1 deals slots out evenly; a rebalancing reads only the bytes of each slot and edits the map, moving as few slots
+as it takes for near-equal shards; adding a shard is another edit, and each edit is another version of the table. The
+map has a fixed number of entries, so it may pass through the driver and be broadcast; rows never do.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import HOT, durable, shared_dir
 
 SLOTS = 16_384
 
@@ -32,8 +33,8 @@ class SlotMap:
     def first(shards: int, slots: int = SLOTS) -> SlotMap:
         return SlotMap(1, shards, tuple(s * shards // slots for s in range(slots)))
 
-    def rows(self) -> list[tuple[int, int, int]]:
-        return [(self.version, s, k) for s, k in enumerate(self.shard_of)]
+    def rows(self) -> list[tuple[int, int, int, int]]:
+        return [(self.version, self.shards, s, k) for s, k in enumerate(self.shard_of)]
 
     def moved(self, older: SlotMap) -> int:
         return sum(a != b for a, b in zip(self.shard_of, older.shard_of))
@@ -112,53 +113,64 @@ def _exchange(gap: int, high: list[tuple[int, int]], low: list[tuple[int, int]])
     return best
 
 
-def slot_of(doc_id: Column, text: Column, slots: int = SLOTS) -> Column:
-    """A record's virtual slot, from its id and text (a repeated id must not fill one slot)."""
-    return F.pmod(F.xxhash64(doc_id.cast("string"), F.coalesce(text, F.lit(""))), F.lit(slots)).cast("int")
-
-
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size (UTF-8 bytes plus 1; null: 1), text_crc32, vslot and salt of each row."""
+    """doc_id, size (UTF-8 bytes plus 1; null: 1), text_crc32, h (the record's hash, from id and text) and at (its place)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        slot_of(F.col(id_col), F.col(text_col)).alias("vslot"), F.pmod(F.xxhash64(F.lit(1), F.col(id_col), text), F.lit(16)).cast("int").alias("salt"),
+        F.xxhash64(F.col(id_col).cast("string"), text).alias("h"), F.monotonically_increasing_id().alias("at"),
     )
 
 
-def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", current: SlotMap | None = None) -> tuple[DataFrame, SlotMap]:
-    """Assign every row; returns rows and the map in force.
+def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", map_path: str | None = None) -> tuple[DataFrame, SlotMap]:
+    """Assign every row by the stored map at ``map_path`` after a rebalancing edit; returns rows and the map in force.
 
     Rows: doc_id, size, text_crc32, shard, slot (place within the shard, gapless from 0, by virtual slot), vslot and
-    map_version. Null texts have size 1, null ids hash as such. Rows equal in id and text share a virtual slot, and their
-    places follow in any order. An empty table gives no rows.
+    map_version. Without a path, or with one that holds no map yet, version 1 is stored first. Null texts have size 1,
+    null ids hash as such. Rows equal in id and text share a virtual slot and their places follow in any order; where
+    such rows make up more than one in HOT of the table, each counts as a record of its own (they are interchangeable),
+    so that they cannot fill a slot. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    home = map_path or f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    if not stored(spark, home):
+        save_map(spark, SlotMap.first(shards), home)
     rows = durable(sized(docs, id_col, text_col), "sized")
-    counted = rows.groupBy("vslot", "salt").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()  # SLOTS * 16 at most
+    total = rows.count()
+    heavy = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") * HOT > total) & (F.col("n") > 64)).select("h", F.lit(True).alias("heavy"))  # HOT rows at most
+    own = F.when(F.col("heavy"), F.xxhash64("h", "at")).otherwise(F.col("h"))
+    placed = rows.join(F.broadcast(heavy), "h", "left").withColumns({"vslot": F.pmod(own, F.lit(SLOTS)).cast("int"), "salt": F.pmod(F.xxhash64(F.lit(1), own), F.lit(16)).cast("int")}).drop("h", "at", "heavy")
+    counted = placed.groupBy("vslot", "salt").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()  # SLOTS * 16 at most
     per_slot: dict[int, int] = {}
     for r in counted:
         per_slot[r["vslot"]] = per_slot.get(r["vslot"], 0) + r["bytes"]
-    slot_map = (current or SlotMap.first(shards)).rebalanced(per_slot.items(), shards)
+    save_map(spark, load_map(spark, home).rebalanced(per_slot.items(), shards), home)
+    slot_map = load_map(spark, home)
     start, at = [], [0] * shards
     for r in sorted(counted, key=lambda r: (r["vslot"], r["salt"])):
         k = slot_map.shard_of[r["vslot"]]
         start.append((r["vslot"], r["salt"], k, at[k]))
         at[k] += r["n"]
     places = spark.createDataFrame(start, "vslot int, salt int, shard int, start long")
-    numbered = rows.withColumn("nth", F.row_number().over(Window.partitionBy("vslot", "salt").orderBy("doc_id", "text_crc32", "size")))
-    out = numbered.join(F.broadcast(places) if len(start) <= SLOTS * 16 else places, ["vslot", "salt"])
+    numbered = placed.withColumn("nth", F.row_number().over(Window.partitionBy("vslot", "salt").orderBy("doc_id", "text_crc32", "size")))
+    out = numbered.join(F.broadcast(places), ["vslot", "salt"])  # SLOTS * 16 rows at most
     return out.select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("nth") - 1).alias("slot"), "vslot", F.lit(slot_map.version).alias("map_version")), slot_map
 
 
+def stored(spark: SparkSession, path: str) -> bool:
+    """Is there a table at the path?"""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def save_map(spark: SparkSession, slot_map: SlotMap, path: str) -> None:
     """Append a version to the stored map."""
-    spark.createDataFrame(slot_map.rows(), "version int, vslot int, shard int").coalesce(1).write.mode("append").parquet(path)
+    spark.createDataFrame(slot_map.rows(), "version int, shards int, vslot int, shard int").coalesce(1).write.mode("append").parquet(path)
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
     """A stored version, the newest if none is named."""
-    rows = spark.read.parquet(path)
+    rows = spark.read.schema("version int, shards int, vslot int, shard int").parquet(path)
     version = version or rows.agg(F.max("version")).first()[0]
-    own = sorted((r["vslot"], r["shard"]) for r in rows.filter(F.col("version") == version).collect())
-    return SlotMap(version, max(k for _, k in own) + 1, tuple(k for _, k in own))
+    own = sorted((r["vslot"], r["shard"], r["shards"]) for r in rows.filter(F.col("version") == version).collect())
+    return SlotMap(version, own[0][2], tuple(k for _, k, _ in own))
