@@ -1,6 +1,7 @@
 """Approximate nearest neighbours with a hash-prefix forest.
 
-Vectors are cut into blocks of at most ``BLOCK`` distinct vectors. In each block ``TREES`` trees hold the vectors' long
+Vectors are cut into blocks of about ``BLOCK`` distinct vectors; a block is indexed once, and the queries stream past
+its index. In each block ``TREES`` trees hold the vectors' long
 hash strings (``BITS`` random half-spaces through the centre) as sorted arrays. A query descends in every tree to its
 longest matching prefix, then all trees ascend together, one bit shorter at a time. What newly shares the shorter prefix
 becomes a candidate and is measured exactly. The ascent ends when a neighbour at the angle of the k-th best found so
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import durable
 
-TREES, BITS, BLOCK, QUERIES, RECALL, CENTRE_ROWS = 96, 40, 16_384, 1024, 0.93, 4096
+TREES, BITS, BLOCK, RECALL, CENTRE_ROWS = 96, 40, 16_384, 0.93, 4096
+#: Queries that ascend together.
+TOGETHER = 128
 
 
 class Forest:
@@ -32,7 +35,7 @@ class Forest:
     def __init__(self, vectors: np.ndarray, centre: np.ndarray, trees: int = TREES, bits: int = BITS, seed: int = 23):
         self.x, self.centre, self.trees, self.bits = vectors, centre, trees, bits
         rng = np.random.default_rng(seed)
-        self.planes = rng.normal(size=(trees, vectors.shape[1], bits))
+        self.planes = rng.standard_normal((trees, vectors.shape[1], bits), np.float32)
         self.codes, self.order = [], []
         moved = vectors - centre
         self.unit = moved / np.maximum(np.linalg.norm(moved, axis=1, keepdims=True), 1e-300)
@@ -43,7 +46,12 @@ class Forest:
 
     def strings(self, moved: np.ndarray, tree: int) -> np.ndarray:
         """Hash strings as integers, first bit highest."""
-        return ((moved @ self.planes[tree]) > 0).astype(np.int64) @ (1 << np.arange(self.bits - 1, -1, -1, dtype=np.int64))
+        up = (moved.astype(np.float32) @ self.planes[tree]) > 0
+        packed = np.packbits(up, axis=1)  # whole bytes, highest bit first
+        out = np.zeros(len(moved), np.int64)
+        for k in range(packed.shape[1]):
+            out = (out << 8) | packed[:, k]
+        return out >> (-self.bits % 8)
 
     def search(self, queries: np.ndarray, k: int, recall: float = RECALL) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the k nearest entries found (or all within ties of it): positions and distances."""
@@ -99,36 +107,39 @@ class Forest:
 def _search(centre: np.ndarray, k: int, trees: int, recall: float):
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
-    def answer(rows: list[tuple], queries: list[tuple]) -> Iterator[pa.RecordBatch]:
-        if not rows or not queries:
-            return
-        index = Forest(np.stack([r[1] for r in rows]), centre, trees)
-        for at in range(0, len(queries), 128):
-            part = queries[at : at + 128]
-            qs, vs, ds = [], [], []
-            # k + 1 entries, as one of them may hold nothing but the query itself
-            for (qid, _), (found, away) in zip(part, index.search(np.stack([q[1] for q in part]), k + 1, recall)):
-                pairs = sorted((d, v) for i, d in zip(found.tolist(), away.tolist()) for v in rows[i][0] if v != qid)[:k]
-                qs += [qid] * len(pairs)
-                vs += [v for _, v in pairs]
-                ds += [d for d, _ in pairs]
-            yield pa.RecordBatch.from_pydict({"query_id": pa.array(qs, pa.int64()), "vec_id": pa.array(vs, pa.int64()), "score": pa.array(ds, pa.float64())}, schema=schema)
+    def answer(index: Forest, ids: list[list[int]], queries: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        qs, vs, ds = [], [], []
+        # k + 1 entries, as one of them may hold nothing but the query itself
+        for (qid, _), (found, away) in zip(queries, index.search(np.stack([q[1] for q in queries]), k + 1, recall)):
+            pairs = sorted((d, v) for i, d in zip(found.tolist(), away.tolist()) for v in ids[i] if v != qid)[:k]
+            qs += [qid] * len(pairs)
+            vs += [v for _, v in pairs]
+            ds += [d for d, _ in pairs]
+        return pa.RecordBatch.from_pydict({"query_id": pa.array(qs, pa.int64()), "vec_id": pa.array(vs, pa.int64()), "score": pa.array(ds, pa.float64())}, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, rows, queries = None, [], []
+        """Of each block first the entries, then the queries."""
+        place, index, ids, vectors, queries = None, None, [], [], []
         for batch in batches:
-            width = batch.column("v")
-            vectors = width.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) if batch.num_rows else None
-            cols = [batch.column(c).to_pylist() for c in ("ids", "block", "part", "is_query")]
-            for i, (ids, block, part, is_query) in enumerate(zip(*cols)):
-                if (block, part) != place:
-                    yield from answer(rows, queries)
-                    place, rows, queries = (block, part), [], []
-                if is_query:
-                    queries.append((ids[0], vectors[i].copy()))
-                else:
-                    rows.append((ids, vectors[i].copy()))
-        yield from answer(rows, queries)
+            if not batch.num_rows:
+                continue
+            data = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            for i, (own, block, is_query) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("ids", "block", "is_query")))):
+                if block != place:
+                    if queries:
+                        yield answer(index, ids, queries)
+                    place, index, ids, vectors, queries = block, None, [], [], []
+                if not is_query:
+                    ids.append(own), vectors.append(data[i].copy())
+                elif ids:
+                    if index is None:
+                        index, vectors = Forest(np.stack(vectors), centre, trees), []
+                    queries.append((own[0], data[i].copy()))
+                    if len(queries) == TOGETHER:
+                        yield answer(index, ids, queries)
+                        queries = []
+        if queries:
+            yield answer(index, ids, queries)
 
     return run
 
@@ -166,13 +177,13 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
         n_q = queries.count()
         if not n_q:
             continue
-        blocks, shares = max(1, math.ceil(n / block)), max(1, math.ceil(n_q / QUERIES))
-        each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-        stored = own.select("ids", "v", F.pmod("h", F.lit(blocks)).cast("int").alias("block"), each(shares).alias("part"), F.lit(False).alias("is_query"))
-        asked = queries.select(F.array("id").alias("ids"), "v", each(blocks).alias("block"), F.pmod(F.xxhash64("id"), F.lit(shares)).cast("int").alias("part"), F.lit(True).alias("is_query"))
-        cells = min(blocks * shares, 100_000)
-        dealt = stored.unionByName(asked).repartition(cells, "block", "part").sortWithinPartitions("block", "part")
-        parts.append(dealt.select("ids", "v", "block", "part", "is_query").mapInArrow(_search(centre, k, trees, recall), "query_id long, vec_id long, score double"))
+        blocks = max(1, math.ceil(n / block))
+        stored = own.select("ids", "v", F.pmod("h", F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("is_query"))
+        # Each query meets every block: a stated query set against all rows.
+        asked = queries.select(F.array("id").alias("ids"), "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("is_query"))
+        cells = min(blocks, 100_000)  # a block a task, as far as tasks go
+        dealt = stored.unionByName(asked).withColumn("cell", F.col("block") % cells).repartitionById(cells, "cell").sortWithinPartitions("block", "is_query")
+        parts.append(dealt.select("ids", "v", "block", "is_query").mapInArrow(_search(centre, k, trees, recall), "query_id long, vec_id long, score double"))
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     found = parts[0]
