@@ -3,8 +3,7 @@
 A text becomes counts of hashed byte n-grams (1 to 3 bytes of the lower-cased UTF-8), whole text, root-scaled and of
 unit length. A linear one-against-rest machine predicts the language family; inside the family one linear support
 vector machine for each pair of its languages votes. All machines are trained on the driver by averaged stochastic
-sub-gradient descent on the hinge loss, from a bounded sample: at most ``per_lang`` rows of each language and
-``max_langs`` languages by row count. Prediction covers every row.
+sub-gradient descent on the hinge loss, from a bounded sample (see :func:`fit`). Prediction covers every row.
 """
 
 from __future__ import annotations
@@ -22,12 +21,25 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 BITS = 13
-#: Families of well-known languages; any other language is a family of its own.
-FAMILIES = {
-    "en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "no": "germanic",
-    "fr": "romance", "es": "romance", "it": "romance", "pt": "romance", "ro": "romance", "ca": "romance",
-    "ru": "slavic", "uk": "slavic", "pl": "slavic", "cs": "slavic", "bg": "slavic", "sr": "slavic",
+# Families by ISO 639-1 codes; any other language is a family of its own.
+_MEMBERS = {
+    "germanic": "en de nl sv da no nb nn is fo af fy lb yi",
+    "romance": "fr es it pt ro ca gl oc la co sc",
+    "slavic": "ru uk be pl cs sk bg sr hr bs sl mk",
+    "baltic": "lt lv",
+    "celtic": "ga gd cy br",
+    "uralic": "fi et hu",
+    "turkic": "tr az kk ky uz tk tt",
+    "indic": "hi mr ne bn as gu pa or si ur",
+    "iranian": "fa ps ku tg",
+    "semitic": "ar he am mt",
+    "dravidian": "ta te kn ml",
+    "malayic": "id ms jv su tl mg",
+    "bantu": "sw zu xh st sn",
+    "sinitic": "zh yue",
+    "tai": "th lo",
 }
+FAMILIES = {code: family for family, codes in _MEMBERS.items() for code in codes.split()}
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -106,13 +118,11 @@ class Model:
         return langs[best], score * float(soft[best] / soft.sum())
 
 
-def train(samples: list[tuple[str, str]]) -> Model:
-    """Family machines over all samples, pair machines within each family."""
-    samples = [(t, g) for t, g in samples if t and _LETTER.search(t)]
-    if not samples:
+def train(x: np.ndarray, langs: list[str]) -> Model:
+    """Family machines over all samples (rows of features), pair machines within each family."""
+    if not langs:
         return Model()
-    x = np.stack([features(t) for t, _ in samples])
-    lang = np.array([g for _, g in samples])
+    lang = np.array(langs)
     family = np.array([FAMILIES.get(g, g) for g in lang])
     out = Model(families=sorted(set(family)))
     fits = [fit_machine(x, np.where(family == f, 1.0, -1.0)) for f in out.families] if len(out.families) > 1 else []
@@ -128,21 +138,37 @@ def train(samples: list[tuple[str, str]]) -> Model:
     return out
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 150, max_langs: int = 64) -> Model:
-    """Train on a bounded sample of the labelled rows of ``docs``: ``per_lang`` rows of each of ``max_langs`` languages.
+def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sparse features of sample texts, so that no text goes to the driver."""
+    for batch in batches:
+        rows = [features(t) for t in batch["t"]]
+        used = [np.flatnonzero(x) for x in rows]
+        yield pd.DataFrame({"g": batch["g"], "h": batch["h"], "at": [u.astype(np.int32) for u in used], "x": [x[u] for x, u in zip(rows, used)]})
 
-    The sample is the rows whose hashed text is smallest, so it does not depend on partitioning. Rows without a label,
-    a text or a letter teach nothing; with no such row at all every prediction is ``und``.
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 150, max_langs: int = 480, max_rows: int = 4800) -> Model:
+    """Train on a bounded sample of the labelled rows of ``docs``: ``per_lang`` texts of each language, fewer where that
+    would be more than ``max_rows`` in all, and of the ``max_langs`` languages with most rows; a rarer one is not learned.
+
+    The sample is the texts whose hash is smallest, so it does not depend on partitioning. The driver gets their
+    features, of fixed width. Rows without a label, a text or a letter teach nothing; with no such row every prediction
+    is ``und``.
     """
-    labelled = docs.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("g"), F.col(id_col).cast("long").alias("i"))
-    labelled = labelled.filter(F.col("t").isNotNull() & F.col("g").isNotNull() & (F.col("t") != ""))
+    labelled = docs.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("g")).filter(F.col("t").isNotNull() & F.col("g").isNotNull() & F.rlike("t", F.lit(r"\p{L}")))
     langs = [r["g"] for r in labelled.groupBy("g").count().orderBy(F.desc("count"), "g").limit(max_langs).collect()]
-    ranked = labelled.filter(F.col("g").isin(langs)).select("g", F.xxhash64("t").alias("h"), "i")
-    first = Window.partitionBy("g").orderBy("h", "i")
-    chosen = ranked.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_lang).select("g", "h").distinct()
-    marks = [(r["g"], r["h"]) for r in chosen.collect()]  # per_lang * max_langs at most
-    rows = labelled.filter(F.xxhash64("t").isin(sorted({h for _, h in marks}))).select("t", "g").distinct().collect() if marks else []
-    return train(sorted((r["t"], r["g"]) for r in rows))
+    each = min(per_lang, max(1, max_rows // max(1, len(langs))))
+    ranked = labelled.filter(F.col("g").isin(langs)).select("g", F.xxhash64("t").alias("h"))
+    first = Window.partitionBy("g").orderBy("h")
+    chosen = ranked.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= each).select("g", "h").distinct()
+    marks = [(r["g"], r["h"]) for r in chosen.collect()]  # max_rows at most
+    if not marks:
+        return train([], [])
+    rows = labelled.withColumn("h", F.xxhash64("t")).filter(F.col("h").isin(sorted({h for _, h in marks}))).dropDuplicates(["g", "h"])
+    got = sorted(rows.mapInPandas(_sampled, "g string, h long, at array<int>, x array<float>").collect(), key=lambda r: (r["g"], r["h"]))
+    x = np.zeros((len(got), 1 << BITS), np.float32)
+    for i, r in enumerate(got):
+        x[i, r["at"]] = r["x"]
+    return train(x, [r["g"] for r in got])
 
 
 def _mapper(model):

@@ -66,7 +66,7 @@ def rates(docs: DataFrame, text_col: str = "text", source_col: str = "source", w
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str, float] | None = None, power: float = 0.7, total_factor: float = 1.0, seed: int = 42) -> DataFrame:
     """``_row`` (the row as a struct), ``_rate``, ``_copies``, ``_copy`` (from 1) and ``_order`` (the shuffle's hash), dealt out by ``_order``.
 
-    A document with a null id draws by a hash of its text; rows that repeat an id draw alike. Empty texts count one
+    A document with a null id draws by a hash of its text; rows that repeat an id draw alike and are dealt out apart. Empty texts count one
     byte, so each source has a finite rate. An empty table gives an empty one.
     """
     spark = docs.sparkSession
@@ -77,6 +77,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = rows.join(F.broadcast(table) if few else table, "_source").drop("_source").withColumn("_key", key)
     rows = rows.withColumn("_copies", copies(seed, F.col("_key"), F.col("_rate"))).filter(F.col("_copies") > 0)
     out = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    order = F.xxhash64(F.lit(seed), F.col("_key"), F.col("_copy"))
+    # Rows that repeat an id differ by where they stand, so that they do not all go to one task.
+    order = F.xxhash64(F.lit(seed), F.col("_key"), F.col("_copy"), F.monotonically_increasing_id() % 1024)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return out.withColumn("_order", order).drop("_key").repartition(parts, "_order").sortWithinPartitions("_order")

@@ -500,13 +500,75 @@ def test_chat(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
-def test_pipeline(spark, docs, tmp_path):
+def test_pipeline(spark, docs, empty, tmp_path):
+    """Against a brute-force run of the five stages over the same rows."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
     import corpus_pipeline as p
 
-    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    data = {(r[0], low(r[1])): r for r in rows()}  # of rows alike in id and text either may stay
+    spark.createDataFrame(list(data.values()), SCHEMA).repartition(3).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
     d = spark.read.parquet(str(tmp_path / "documents.parquet"))
     assert [n for n, _ in p.STAGES] == ["language_id", "exact_dedup", "ngram_jaccard_join", "poisson_mix", "bpe_tokens"]
     for _, stage in p.STAGES[:-1]:
         assert stage(spark, d, str(tmp_path)).columns == d.columns
-    out = p.run(spark, str(tmp_path)).collect()
-    assert out and {"doc_id", "n_tokens"} <= set(out[0].asDict())
+    got = Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in p.run(spark, str(tmp_path)).collect())
+
+    rows_ = [(i, t, s) for i, t, _, s, *_ in data.values() if t is not None and any(ch.isalpha() for ch in t)]
+    best = {}
+    for i, t, s in rows_:  # of equal texts the largest id, and any id before none
+        held = best.get(low(t))
+        if held is None or (i is not None and (held[0] is None or i > held[0])):
+            best[low(t)] = (i, t, s)
+    left = list(best.values())
+    sets = [grams(t) for _, t, _ in left]
+    up = list(range(len(left)))
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for a, b in combinations(range(len(left)), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            up[root(a)] = root(b)
+    groups = {}
+    for k in range(len(left)):
+        groups.setdefault(root(k), []).append(left[k])
+    kept = [min(g, key=lambda r: (r[0] is not None, r[0] or 0)) for g in groups.values()]
+    size = Counter()
+    for _, t, s in kept:
+        size[s] += len(t.encode()) + 1
+    weights = {s: b**0.7 for s, b in size.items()}
+    rate = {s: round(weights[s] / sum(weights.values()) * sum(size.values()) / size[s], 9) for s in size}
+    lib, want = Tokenizer.from_file(P.path("word_bpe_49k.json")), Counter()
+    for i, t, s in kept:
+        if i is None:
+            continue  # its draw hangs on a hash of the text that only Spark computes
+        draws, copies = max(1, math.ceil(rate[s] / 8)), 0
+        for j in range(1, draws + 1):
+            u = (int(hashlib.sha256(f"42:{i}:{j}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            mean, n = rate[s] / draws, 0
+            cdf = term = math.exp(-mean)
+            while cdf < u and n < 48:
+                n += 1
+                term *= mean / n
+                cdf += term
+            copies += n
+        ids = lib.encode(t, add_special_tokens=False).ids
+        if copies:
+            want[i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()] += copies
+    assert Counter({k: n for k, n in got.items() if k[0] is not None}) == want
+
+    empty.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert p.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_chat_long(spark):
+    """Very long texts go through whole, and extra columns with the names of results do not matter."""
+    from starlattice.llm import chat
+
+    long = "x" * 3_000_000
+    got = chat.format_chats(spark.createDataFrame([(1, 0, "user", long, "k"), (1, 1, "assistant", "ok", "k")], "conv_id long, turn long, role string, text string, piece_no string")).orderBy("piece_no").collect()
+    assert "".join(r.piece for r in got) == f"<|user|>\n{long}<|end|>\n<|assistant|>\nok<|end|>\n"
