@@ -34,32 +34,72 @@ def third_difference_median(df: DataFrame, row: str, order: list[str], value: st
 
 
 def clahe(pixels: DataFrame, width: int, height: int, clip: float = 3.0, grid: int = 8) -> DataFrame:
-    """Contrast-limited equalisation of levels 0 to 255: x, y, level, equalised.
+    """Contrast-limited equalisation of ``level`` (0 to 255): ``pixels`` with ``equalised``.
 
-    Each tile's histogram is clipped and the excess dealt out evenly; a pixel takes the bilinear mix of the four nearest
-    tiles' cumulative tables. A tile row is (tile, 256 numbers), so tables are grid * grid rows and are joined by tile.
+    Tiles are width // grid by height // grid, with smaller ones at the far edges. A tile's histogram is clipped; the
+    excess is dealt out evenly and its rest to the lowest bins. A pixel takes the bilinear mix, in 32 bits, of the
+    cumulative tables of the four tiles around it. A table is one row (tile, 256 numbers); they are joined by tile, by
+    broadcast as long as they are few. Rows of the same place each count; null levels stay null.
     """
-    tw, th = -(-width // grid), -(-height // grid)
-    area = tw * th
-    limit = max(1, int(clip * area / 256))
-    tile = lambda c, size: F.least(F.floor(F.col(c) / size), F.lit(grid - 1)).cast("int")
-    counts = pixels.groupBy(tile("x", tw).alias("gx"), tile("y", th).alias("gy"), "level").agg(F.count(F.lit(1)).alias("c"))
-    tables = counts.groupBy("gx", "gy").agg(F.map_from_entries(F.collect_list(F.struct("level", "c"))).alias("h"), F.sum(F.greatest(F.col("c") - limit, F.lit(0))).alias("over"))
-    levels = F.sequence(F.lit(0), F.lit(255))
-    share, rest = F.floor(F.col("over") / 256), F.col("over") % 256
-    step = F.greatest(F.floor(F.lit(256) / F.greatest(rest, F.lit(1))), F.lit(1))
-    bonus = lambda i: F.when((rest > 0) & (i % step == 0) & (i / step < rest), 1).otherwise(0)
-    clipped = F.transform(levels, lambda i: F.least(F.coalesce(F.try_element_at("h", i), F.lit(0)), F.lit(limit)) + share + bonus(i))
-    running = F.aggregate(clipped, F.array().cast("array<bigint>"), lambda acc, c: F.concat(acc, F.array((F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + c).cast("bigint"))))
-    lookup = tables.select("gx", "gy", running.alias("cdf")).select("gx", "gy", F.transform("cdf", lambda c: F.least(F.floor(c * 255 / area + 0.5), F.lit(255))).alias("lut"))
-
-    fx, fy = F.col("x") / tw - 0.5, F.col("y") / th - 0.5
-    clamp = lambda c: F.greatest(F.least(c, F.lit(grid - 1)), F.lit(0)).cast("int")
-    placed = pixels.withColumns({"x0": clamp(F.floor(fx)), "x1": clamp(F.floor(fx) + 1), "y0": clamp(F.floor(fy)), "y1": clamp(F.floor(fy) + 1), "ax": fx - F.floor(fx), "ay": fy - F.floor(fy)})
+    tw, th = max(1, width // grid), max(1, height // grid)
+    across, down = -(-width // tw), -(-height // th)
+    tile = lambda c, size: F.floor(F.col(c) / size).cast("int")
+    counts = pixels.filter("level IS NOT NULL").groupBy(tile("x", tw).alias("gx"), tile("y", th).alias("gy"), "level").agg(F.count(F.lit(1)).alias("c"))
+    side = lambda g, size, whole: F.least(F.lit(whole), (F.col(g) + 1) * size) - F.col(g) * size
+    counts = counts.withColumn("area", side("gx", tw, width) * side("gy", th, height)).withColumn("limit", F.greatest(F.lit(1), F.floor(F.lit(float(clip)) * F.col("area") / 256)))
+    tables = counts.groupBy("gx", "gy", "area", "limit").agg(F.map_from_entries(F.collect_list(F.struct("level", "c"))).alias("h"), F.sum(F.greatest(F.col("c") - F.col("limit"), F.lit(0))).alias("over"))
+    held = lambda i: F.least(F.coalesce(F.try_element_at("h", i), F.lit(0)), F.col("limit")) + F.floor(F.col("over") / 256) + F.when(i < F.col("over") % 256, 1).otherwise(0)
+    sums = F.aggregate(F.sequence(F.lit(0), F.lit(255)), F.array().cast("array<bigint>"), lambda acc, i: F.concat(acc, F.array((F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + held(i)).cast("bigint"))))
+    lookup = tables.select("gx", "gy", "area", sums.alias("sums")).select("gx", "gy", F.transform("sums", lambda c: F.floor(c.cast("double") / F.col("area") * 255 + 0.5).cast("float")).alias("lut"))
+
+    def around(c: str, size: int, most: int) -> list[Column]:
+        """The two tiles and the weight of the second."""
+        at = (F.col(c) + 0.5) / size - 0.5
+        low = F.least(F.greatest(at.cast("int"), F.lit(0)), F.lit(most - 1))
+        weight = (at.cast("float") - low.cast("float")).cast("float")
+        one = F.lit(1.0).cast("float")
+        return [low.alias(f"_{c}0"), F.least(low + 1, F.lit(most - 1)).alias(f"_{c}1"), F.greatest(F.least(weight, one), F.lit(0.0).cast("float")).alias(f"_a{c}")]
+
+    placed = pixels.select("*", *around("x", tw, across), *around("y", th, down))
+    few = across * down <= 4096
     for a in "01":
         for b in "01":
-            side = F.broadcast(lookup.select(F.col("gx").alias(f"x{a}"), F.col("gy").alias(f"y{b}"), F.col("lut").alias(f"t{a}{b}")))  # grid * grid rows
-            placed = placed.join(side, [f"x{a}", f"y{b}"], "left")
-    value = lambda t: F.coalesce(F.element_at(t, F.col("level") + 1), F.lit(0))
-    mixed = (value("t00") * (1 - F.col("ax")) + value("t10") * F.col("ax")) * (1 - F.col("ay")) + (value("t01") * (1 - F.col("ax")) + value("t11") * F.col("ax")) * F.col("ay")
-    return placed.select("x", "y", "level", F.floor(mixed + 0.5).cast("int").alias("equalised"))
+            near = lookup.select(F.col("gx").alias(f"_x{a}"), F.col("gy").alias(f"_y{b}"), F.col("lut").alias(f"_t{a}{b}"))
+            placed = placed.join(F.broadcast(near) if few else near, [f"_x{a}", f"_y{b}"], "left")
+    value = lambda t: F.coalesce(F.element_at(f"_t{t}", F.col("level").cast("int") + 1), F.lit(0.0).cast("float"))
+    mix = lambda low, high, weight: low * (F.lit(1.0).cast("float") - F.col(weight)) + high * F.col(weight)
+    mixed = mix(mix(value("00"), value("10"), "_ax"), mix(value("01"), value("11"), "_ax"), "_ay")
+    return placed.select(*pixels.columns, F.when(F.col("level").isNotNull(), F.floor(mixed + F.lit(0.5).cast("float"))).cast("int").alias("equalised"))
+
+
+# sRGB (D65) to XYZ and back, the white point, and the constants of the CIE Lab curve.
+TO_XYZ = ((0.4124564, 0.3575761, 0.1804375), (0.2126729, 0.7151522, 0.0721750), (0.0193339, 0.1191920, 0.9503041))
+FROM_XYZ = ((3.2404542, -1.5371385, -0.4985314), (-0.9692660, 1.8760108, 0.0415560), (0.0556434, -0.2040259, 1.0572252))
+WHITE = (0.950456, 1.0, 1.088754)
+
+
+def _weighted(row: tuple, columns: list[Column]) -> Column:
+    return F.lit(row[0]) * columns[0] + F.lit(row[1]) * columns[1] + F.lit(row[2]) * columns[2]
+
+
+def clahe_rgb(pixels: DataFrame, width: int, height: int, clip: float = 3.0, grid: int = 8) -> DataFrame:
+    """``pixels`` with r, g and b (0 to 1) equalised in the lightness of CIE Lab; hue and chroma stay.
+
+    Lightness is cut to 256 levels. Results are 32-bit and lie in [0, 1]; a pixel with a null channel becomes null.
+    """
+    linear = lambda c: F.when(c <= 0.04045, c / 12.92).otherwise(F.pow((c + 0.055) / 1.055, F.lit(2.4)))
+    curve = lambda t: F.when(t > 0.008856, F.cbrt(t)).otherwise(7.787 * t + F.lit(16 / 116))
+    back = lambda t: F.when(t > 0.206893, t * t * t).otherwise((t - F.lit(16 / 116)) / 7.787)
+    shown = lambda v: F.when(v <= 0.0031308, v * 12.92).otherwise(1.055 * F.pow(v, F.lit(1 / 2.4)) - 0.055)
+    keep = [F.col(f"`{c}`") for c in pixels.columns if c not in "rgb"]
+    rows = pixels.select(*keep, *[linear(F.col(c).cast("double")).alias(f"_{c}") for c in "rgb"])
+    light = [F.col(f"_{c}") for c in "rgb"]
+    rows = rows.select(*keep, *[curve(_weighted(row, light) / F.lit(w)).alias(f"_f{k}") for k, (row, w) in enumerate(zip(TO_XYZ, WHITE))])
+    level = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), (116 * F.col("_f1") - 16) * 255 / 100)) + 0.5).cast("int")
+    rows = clahe(rows.select(*keep, "_f0", "_f1", "_f2", level.alias("level")), width, height, clip, grid)
+    fy = (F.col("equalised") * 100.0 / 255 + 16) / 116
+    rows = rows.select(*keep, (F.lit(WHITE[0]) * back(F.col("_f0") - F.col("_f1") + fy)).alias("_x"), (F.lit(WHITE[1]) * back(fy)).alias("_y"), (F.lit(WHITE[2]) * back(fy - (F.col("_f1") - F.col("_f2")))).alias("_z"))
+    xyz = [F.col(c) for c in ("_x", "_y", "_z")]
+    inside = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
+    out = {c: F.when(F.col("_y").isNotNull(), shown(inside(_weighted(row, xyz)))).cast("float").alias(c) for c, row in zip("rgb", FROM_XYZ)}
+    return rows.select(*[out[c] if c in out else F.col(f"`{c}`") for c in pixels.columns])

@@ -129,7 +129,36 @@ def _rgb_long(spark, sf_dir):
     return channel("r", F.col("p_retailprice") / 2500).union(channel("g", F.col("p_size") / 51)).union(channel("b", (F.col("p_partkey") % 256) / 255))
 
 
-@query("stretch_autostretch")
+RGB_SQL = """SELECT p_partkey AS id, 'r' AS channel, CAST(p_retailprice / 2500 AS FLOAT) AS value FROM part UNION ALL SELECT p_partkey, 'g', CAST(p_size / 51 AS FLOAT) FROM part
+UNION ALL SELECT p_partkey, 'b', CAST((p_partkey % 256) / 255 AS FLOAT) FROM part"""
+
+
+def _median32(source: str, value: str, name: str) -> str:
+    """The histogram median by channel; bins of 32-bit values are found in 32-bit arithmetic."""
+    scale = "CAST(bins - 1 AS DOUBLE) / CAST(hi - lo AS DOUBLE)"
+    return f"""
+    (WITH x AS (SELECT channel AS k, {value} AS v FROM {source}),
+    s AS (SELECT k, count(*) AS n, min(v) AS lo, max(v) AS hi, least(count(*), 65536) AS bins FROM x GROUP BY k),
+    b AS (SELECT s.*, CASE WHEN typeof(v) = 'FLOAT' THEN CAST(CAST({scale} AS FLOAT) AS DOUBLE) ELSE {scale} END AS scale, v FROM x JOIN s USING (k)),
+    c AS (SELECT k, n, lo, hi, scale, least(CAST(floor(CASE WHEN typeof(v) = 'FLOAT' THEN CAST(CAST(scale AS FLOAT) * (v - lo) AS DOUBLE) ELSE scale * (v - lo) END) AS BIGINT), bins - 1) AS bin, count(*) AS c FROM b GROUP BY ALL),
+    r AS (SELECT *, sum(c) OVER (PARTITION BY k ORDER BY bin) AS cum FROM c),
+    f AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY bin) AS rn FROM r WHERE cum >= 0.5 * n)
+    SELECT k AS channel, least(greatest((bin + (0.5 * n - (cum - c)) / c) / scale + lo, lo), hi) AS {name} FROM f WHERE rn = 1)"""
+
+
+#: Clip points and midtones from the medians and the scaled MADs of the non-zero values, in 32 bits.
+_LIT = {k: f"CAST({v} AS FLOAT)" for k, v in {"norm": 1.4826, "clip": -2.8, "target": 0.25, "one": 1, "two": 2, "zero": 0}.items()}
+_SPREADS = f"""
+px AS ({RGB_SQL}), nz AS (SELECT * FROM px WHERE value <> 0), m AS {_median32("nz", "value", "median")},
+aw AS (SELECT channel, abs(CAST(value AS DOUBLE) - median) AS away FROM nz JOIN m USING (channel)), d AS {_median32("aw", "away", "mad")},
+mm AS (SELECT channel, CAST(median AS FLOAT) AS med, CAST(CAST(mad AS FLOAT) * {_LIT["norm"]} AS FLOAT) AS spread FROM m JOIN d USING (channel))"""
+_MIDTONES = f"""sh AS (SELECT *, greatest({_LIT["zero"]}, med + {_LIT["clip"]} * spread) AS shadows FROM mm2),
+par AS (SELECT *, CAST(CAST(({_LIT["target"]} - {_LIT["one"]}) * (med - shadows) AS DOUBLE) / CAST(({_LIT["two"]} * {_LIT["target"]} - {_LIT["one"]}) * (med - shadows) - {_LIT["target"]} AS DOUBLE) AS FLOAT) AS midtones, {_LIT["one"]} AS highlights FROM sh)"""
+AUTO_SQL = f"WITH {_SPREADS}, mm2 AS (SELECT * FROM mm), {_MIDTONES} SELECT id, channel, round(CAST({st.mtf('value', 'shadows', 'midtones', 'highlights')} AS DOUBLE), 5) AS value FROM px JOIN par USING (channel)"
+LINKED_SQL = f"WITH {_SPREADS}, mm2 AS (SELECT CAST(avg(CAST(med AS DOUBLE)) AS FLOAT) AS med, CAST(avg(CAST(spread AS DOUBLE)) AS FLOAT) AS spread FROM mm), {_MIDTONES} SELECT id, channel, round(CAST({st.mtf('value', 'shadows', 'midtones', 'highlights')} AS DOUBLE), 5) AS value FROM px, par"
+
+
+@query("stretch_autostretch", AUTO_SQL)
 def autostretch(spark, sf_dir):
     """Unlinked: parameters of each channel."""
     rows = _rgb_long(spark, sf_dir)
@@ -137,7 +166,7 @@ def autostretch(spark, sf_dir):
     return joined.select("id", "channel", F.round(F.expr(st.mtf("value", "shadows", "midtones", "highlights")).cast("double"), 5).alias("value"))
 
 
-@query("stretch_autostretch_linked")
+@query("stretch_autostretch_linked", LINKED_SQL)
 def autostretch_linked(spark, sf_dir):
     rows = _rgb_long(spark, sf_dir)
     joined = rows.crossJoin(F.broadcast(stats.autostretch_linked_params(rows, "channel", "value")))  # one row
@@ -150,15 +179,55 @@ def normalize(spark, sf_dir):
     return image.normalize_channels(rows, ["r", "g"]).select("id", F.round("r", 6).alias("r"), F.round("g", 6).alias("g"))
 
 
-@query("stretch_clahe")
-def clahe(spark, sf_dir):
-    """Local equalisation of an image made of line items: 64 rows, one column for each line number and block."""
+CLAHE_SQL = """
+t AS (SELECT x // 8 AS gx, y // 8 AS gy, level, count(*) AS c FROM px GROUP BY ALL),
+o AS (SELECT gx, gy, greatest(1, CAST(floor(3.0 * 64 / 256) AS BIGINT)) AS most, sum(greatest(c - greatest(1, CAST(floor(3.0 * 64 / 256) AS BIGINT)), 0)) AS over FROM t GROUP BY gx, gy),
+f AS (SELECT o.gx, o.gy, i, least(coalesce(c, 0), most) + over // 256 + CASE WHEN i < over % 256 THEN 1 ELSE 0 END AS n FROM o CROSS JOIN range(256) AS r(i) LEFT JOIN t ON t.gx = o.gx AND t.gy = o.gy AND t.level = i),
+lut AS (SELECT gx, gy, i, CAST(floor(CAST(sum(n) OVER (PARTITION BY gx, gy ORDER BY i) AS DOUBLE) / 64 * 255 + 0.5e0) AS FLOAT) AS v FROM f),
+w AS (SELECT *, (x + 0.5e0) / 8 - 0.5e0 AS tx, (y + 0.5e0) / 8 - 0.5e0 AS ty FROM px),
+p AS (SELECT *, least(greatest(CAST(trunc(tx) AS BIGINT), 0), 7) AS x0, least(greatest(CAST(trunc(ty) AS BIGINT), 0), 7) AS y0 FROM w),
+q AS (SELECT p.*, least(greatest(CAST(tx AS FLOAT) - CAST(x0 AS FLOAT), CAST(0 AS FLOAT)), CAST(1 AS FLOAT)) AS ax, least(greatest(CAST(ty AS FLOAT) - CAST(y0 AS FLOAT), CAST(0 AS FLOAT)), CAST(1 AS FLOAT)) AS ay,
+      coalesce(a.v, 0::FLOAT) AS v00, coalesce(b.v, 0::FLOAT) AS v10, coalesce(c.v, 0::FLOAT) AS v01, coalesce(d.v, 0::FLOAT) AS v11 FROM p
+      LEFT JOIN lut a ON a.gx = x0 AND a.gy = y0 AND a.i = level LEFT JOIN lut b ON b.gx = least(x0 + 1, 7) AND b.gy = y0 AND b.i = level
+      LEFT JOIN lut c ON c.gx = x0 AND c.gy = least(y0 + 1, 7) AND c.i = level LEFT JOIN lut d ON d.gx = least(x0 + 1, 7) AND d.gy = least(y0 + 1, 7) AND d.i = level),
+eq AS (SELECT *, CAST(floor((v00 * (1::FLOAT - ax) + v10 * ax) * (1::FLOAT - ay) + (v01 * (1::FLOAT - ax) + v11 * ax) * ay + 0.5::FLOAT) AS INT) AS equalised FROM q)"""
+_IMAGE_SQL = "SELECT CAST(l_linenumber - 1 + 8 * ((l_orderkey // 64) % 8) AS BIGINT) AS x, CAST(l_orderkey % 64 AS BIGINT) AS y, max(l_extendedprice) AS v, max(l_discount) AS w FROM lineitem GROUP BY 1, 2"
+
+
+def _lines_image(spark, sf_dir):
+    """An image made of line items: 64 rows, one column for each line number and block."""
     lines = table(spark, sf_dir, "lineitem")
-    pixels = lines.select((F.col("l_orderkey") % 64).cast("int").alias("y"), (F.col("l_linenumber") - 1 + 8 * (F.floor(F.col("l_orderkey") / 64) % 8)).cast("int").alias("x"), F.col("l_extendedprice").alias("v"))
-    flat = pixels.groupBy("x", "y").agg(F.max("v").alias("v")).select("x", "y", F.least(F.lit(255), F.floor(F.col("v") / 420)).cast("int").alias("level"))
+    place = [(F.col("l_linenumber") - 1 + 8 * (F.floor(F.col("l_orderkey") / 64) % 8)).cast("long").alias("x"), (F.col("l_orderkey") % 64).alias("y")]
+    return lines.groupBy(*place).agg(F.max("l_extendedprice").alias("v"), F.max("l_discount").alias("w"))
+
+
+@query("stretch_clahe", f"WITH px AS (SELECT x, y, CAST(least(255, floor(v / 420)) AS INT) AS level FROM ({_IMAGE_SQL})), {CLAHE_SQL} SELECT x, y, level, equalised FROM eq")
+def clahe(spark, sf_dir):
+    """Local equalisation of grey levels."""
+    flat = _lines_image(spark, sf_dir).select("x", "y", F.least(F.lit(255), F.floor(F.col("v") / 420)).cast("int").alias("level"))
     return image.clahe(flat, 64, 64, 3.0, 8)
 
 
+_LAB_SQL = f"""
+WITH rgb AS (SELECT x, y, least(v / 1.1e5, 1) AS r, w * 10 AS g, x / 64e0 AS b FROM ({_IMAGE_SQL})),
+li AS (SELECT x, y, {', '.join(f'CASE WHEN {c} <= 0.04045e0 THEN {c} / 12.92e0 ELSE pow(({c} + 0.055e0) / 1.055e0, 2.4e0) END AS {c}' for c in 'rgb')} FROM rgb),
+xyz AS (SELECT x, y, (0.4124564e0*r + 0.3575761e0*g + 0.1804375e0*b) / 0.950456e0 AS cx, 0.2126729e0*r + 0.7151522e0*g + 0.0721750e0*b AS cy, (0.0193339e0*r + 0.1191920e0*g + 0.9503041e0*b) / 1.088754e0 AS cz FROM li),
+lab AS (SELECT x, y, {', '.join(f'CASE WHEN c{c} > 0.008856e0 THEN cbrt(c{c}) ELSE 7.787e0*c{c} + 16/116e0 END AS f{c}' for c in 'xyz')} FROM xyz),
+px AS (SELECT *, CAST(floor(least(255, greatest(0, (116*fy - 16) * 255 / 100)) + 0.5e0) AS INT) AS level FROM lab), {CLAHE_SQL},
+ly AS (SELECT x, y, fx, fy, fz, (equalised * 100e0 / 255 + 16) / 116 AS n FROM eq),
+bk AS (SELECT x, y, fx - fy + n AS a, n, n - (fy - fz) AS c FROM ly),
+cu AS (SELECT x, y, {', '.join(f'{w}e0 * CASE WHEN {c} > 0.206893e0 THEN {c}*{c}*{c} ELSE ({c} - 16/116e0) / 7.787e0 END AS {o}' for c, o, w in (('a', 'cx', 0.950456), ('n', 'cy', 1.0), ('c', 'cz', 1.088754)))} FROM bk),
+ln AS (SELECT x, y, least(1, greatest(0, 3.2404542e0*cx - 1.5371385e0*cy - 0.4985314e0*cz)) AS r, least(1, greatest(0, -0.9692660e0*cx + 1.8760108e0*cy + 0.0415560e0*cz)) AS g, least(1, greatest(0, 0.0556434e0*cx - 0.2040259e0*cy + 1.0572252e0*cz)) AS b FROM cu)
+SELECT x, y, {', '.join(f'round(CAST(CAST(CASE WHEN {c} <= 0.0031308e0 THEN {c} * 12.92e0 ELSE 1.055e0 * pow({c}, 1/2.4e0) - 0.055e0 END AS FLOAT) AS DOUBLE), 5) AS {c}' for c in 'rgb')} FROM ln"""
+
+
+@query("stretch_clahe_rgb", _LAB_SQL)
+def clahe_rgb(spark, sf_dir):
+    """Local equalisation of colours, in the lightness of CIE Lab."""
+    flat = _lines_image(spark, sf_dir).select("x", "y", F.least(F.col("v") / 1.1e5, F.lit(1.0)).alias("r"), (F.col("w") * 10).alias("g"), (F.col("x") / 64).alias("b"))
+    return image.clahe_rgb(flat, 64, 64, 3.0, 8).select("x", "y", *[F.round(F.col(c).cast("double"), 5).alias(c) for c in "rgb"])
+
+
 NOISE_SQL = """
 WITH o AS (SELECT user_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
 d AS (SELECT user_id, abs(2 * CAST(lead(v, 2) OVER w AS FLOAT) - CAST(v AS FLOAT) - CAST(lead(v, 4) OVER w AS FLOAT)) AS d FROM o WINDOW w AS (PARTITION BY user_id ORDER BY i)),
@@ -188,7 +257,10 @@ def _preset(name):
 
 
 _WIDE_SQL = "(SELECT p_partkey AS id, CAST(p_retailprice / 25e2 AS FLOAT) AS r, CAST(p_size / 51e0 AS FLOAT) AS g, CAST(CAST(p_partkey % 256 AS DOUBLE) / 255e0 AS FLOAT) AS b FROM part)"
-for _name in ("kstars1", "auto_linked", "asinh_medium"):
-    query(f"stretch_preset_{_name}")(_preset(_name))
+_ASINH = st.asinh_rgb("r", "g", "b", 50.0)
+_ASINH_SQL = f"SELECT id, {', '.join(f'round(CAST({_ASINH[c]} AS DOUBLE), 5) AS {c}' for c in 'rgb')} FROM (SELECT *, {_ASINH['lum']} AS lum FROM {_WIDE_SQL} AS w) AS l"
+_PIVOT = "SELECT id, max(value) FILTER (channel = 'r') AS r, max(value) FILTER (channel = 'g') AS g, max(value) FILTER (channel = 'b') AS b FROM ({}) GROUP BY id"
+for _name, _sql in (("kstars1", _PIVOT.format(AUTO_SQL)), ("auto_linked", _PIVOT.format(LINKED_SQL)), ("asinh_medium", _ASINH_SQL)):
+    query(f"stretch_preset_{_name}", _sql)(_preset(_name))
 for _name, _form in (("linear", lambda c: st.linear(c, 0.05)), ("ght_strong", lambda c: st.Ght(5.0, 2.0, 0.0, 0.3, 1.0).expression(c))):
     query(f"stretch_preset_{_name}", f"SELECT id, {', '.join(f'round(CAST({_form(c)} AS DOUBLE), 5) AS {c}' for c in 'rgb')} FROM {_WIDE_SQL} AS w")(_preset(_name))

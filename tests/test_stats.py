@@ -98,6 +98,11 @@ def test_image(spark):
     rows = spark.createDataFrame([(0, -1.0, float("nan")), (1, 3.0, 1.0)], "id int, r double, g double")
     got = image.normalize_channels(rows, ["r", "g"]).orderBy("id").collect()
     assert [(r.r, r.g) for r in got] == [(0.0, 0.0), (1.0, 0.5)]
-    flat = spark.createDataFrame([(x, y, (x * 7 + y * 3) % 40) for x in range(32) for y in range(32)], "x int, y int, level int")
-    out = image.clahe(flat, 32, 32, 3.0, 4)
-    assert out.count() == 1024 and out.selectExpr("max(equalised) - min(equalised) AS d").first().d > 60
+    flat = spark.createDataFrame([(x, y, (x * 7 + y * 3) % 40) for x in range(37) for y in range(30)], "x int, y int, level int")
+    out = image.clahe(flat, 37, 30, 3.0, 4)
+    assert out.count() == 37 * 30 and out.selectExpr("max(equalised) - min(equalised) AS d").first().d > 60
+    one = image.clahe(spark.createDataFrame([(x, 0, x // 2) for x in range(8)], "x int, y int, level int"), 8, 1, 64.0, 1).orderBy("x").collect()
+    assert [r.equalised for r in one] == [64, 64, 128, 128, 191, 191, 255, 255]  # one tile, nothing clipped: 255 times the share of pixels up to the level
+    grey = spark.createDataFrame([(x, y, *[(x + y) / 60.0] * 3) for x in range(32) for y in range(28)], "x int, y int, r double, g double, b double")
+    got = image.clahe_rgb(grey, 32, 28, 3.0, 4).collect()
+    assert len(got) == 32 * 28 and all(abs(r.r - r.g) < 2e-3 and abs(r.g - r.b) < 2e-3 and 0 <= r.r <= 1 for r in got)  # grey stays grey
