@@ -85,11 +85,28 @@ def _both(code: str, transform: Transform) -> None:
 
 for _code in PROJECTIONS:
     _both(_code.lower(), Transform(parse(description(_code))))
+
+
+def _there_and_back(name: str, transform: Transform) -> None:
+    """Pixels to sky and back by iteration: the pixels again."""
+
+    def run(spark, sf_dir):
+        df = table(spark, sf_dir, "part").selectExpr(*[f"{e} AS {n}" for n, e in GRID.items()])
+        sky_ = transform.apply(df, "pixel_to_sky", "p1", "p2", "ra", "dec").select("id", "ra", "dec")
+        return transform.apply(sky_, "sky_to_pixel", "ra", "dec", "q1", "q2").selectExpr("id", "round(q1, 5) + 0 AS q1", "round(q2, 5) + 0 AS q2")
+
+    register(name, run, "SELECT p_partkey AS id, round((p_partkey % 61) * 2.5e0 + 125, 5) AS q1, round((p_partkey % 53) * 2.5e0 + 135, 5) AS q2 FROM part")
+
+
 _both("tan_sip", Transform(parse(description("TAN", CTYPE1="RA---TAN-SIP", CTYPE2="DEC--TAN-SIP", A_2_0=1e-4, A_1_1=2e-5, B_0_2=-5e-5, B_2_1=1e-7))))
 _both("tpv", Transform(parse(description("TPV", PV1_1=1.0, PV1_3=1e-3, PV1_4=2e-3, PV2_1=1.0, PV2_5=1e-3, PV2_11=5e-4))))
 _WAT = 'wtype=tnx lngcor = "1. 3. 3. 2. -5. 5. -5. 5. 1e-3 2e-3 1e-3 5e-4 1e-3 2e-4 " '
 _both("tnx", Transform(parse(description("TNX", WAT1_001=_WAT, WAT2_001=_WAT.replace("lngcor", "latcor")))))
 
+_there_and_back("wcs_roundtrip_tan_sip", Transform(parse(description("TAN", CTYPE1="RA---TAN-SIP", CTYPE2="DEC--TAN-SIP", A_2_0=1e-4, A_1_1=2e-5, B_0_2=-5e-5, B_2_1=1e-7))))
+_there_and_back("wcs_roundtrip_tpv", Transform(parse(description("TPV", PV1_1=1.0, PV1_3=1e-3, PV1_4=2e-3, PV2_1=1.0, PV2_5=1e-3, PV2_11=5e-4))))
+_there_and_back("wcs_roundtrip_tnx", Transform(parse(description("TNX", WAT1_001=_WAT, WAT2_001=_WAT.replace("lngcor", "latcor")))))
+
 _uv = {"id": "CAST(p_partkey AS BIGINT)", "u": "CAST(p_partkey % 61 AS DOUBLE) / 1e2 - 3e-1", "v": "CAST(p_partkey % 53 AS DOUBLE) / 1e2 - 25e-2"}
 _bends = {
     "sip_forward": Sip({(2, 0): 1e-2, (1, 1): 2e-2}, {(0, 2): -1e-2, (3, 0): 5e-3}), "tpv_forward": Tpv({1: 1.0, 3: 0.01, 4: 0.02, 39: 0.1}, {1: 1.0, 5: 0.01, 11: 0.03}),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..durable import posix_folder
 from ..functions.cards import join_continued, parse_cards, pivot_keys
 from ..sources import checksum, codecs, quantize, reader, writer
+from ..sources.cards import Header, encode_header, make_card
 from .tables import query, table
 
 # -- cards: what each line says is known from its row ----------------------------------------------------------------
@@ -186,27 +187,56 @@ def checksum_verify(spark, sf_dir):
     return checksum.verify(spark.read.format("binaryFile").load(path)).select("hdu_index", "datasum_ok", "checksum_ok")
 
 
+ROUNDTRIP_SQL = """
+SELECT tile_id, count(*) AS n, CAST(sum(q) AS BIGINT) AS total, CAST(sum(q * i) AS BIGINT) AS placed, true AS same
+FROM (SELECT l_orderkey % 97 AS tile_id, CAST(l_quantity AS BIGINT) AS q, row_number() OVER (PARTITION BY l_orderkey % 97 ORDER BY l_orderkey, l_linenumber, l_quantity) AS i FROM lineitem) GROUP BY tile_id"""
+
+
 def _roundtrip(name: str):
     def run(spark, sf_dir):
-        """Each order's quantities as a tile, encoded and decoded."""
+        """Each group's quantities as a tile, encoded and decoded: their sum, and their sum by place."""
         tiles = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 97).alias("tile_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_quantity"))), lambda x: x["l_quantity"].cast("long")).alias("v"))
 
         def code(batches):
             for batch in batches:
-                sizes, same = [], []
-                for v in batch["v"]:
-                    data = codecs.encode(np.asarray(v), name, 2)
-                    sizes.append(len(data))
-                    same.append(bool((codecs.decode(data, name, len(v), 2) == np.asarray(v)).all()))
-                yield pd.DataFrame({"tile_id": batch["tile_id"], "n": [len(v) for v in batch["v"]], "bytes": sizes, "same": same})
+                out = []
+                for tile, v in zip(batch["tile_id"], batch["v"]):
+                    back = codecs.decode(codecs.encode(np.asarray(v), name, 2), name, len(v), 2)
+                    out.append((tile, len(v), int(back.sum()), int((back * np.arange(1, len(v) + 1)).sum()), bool((back == np.asarray(v)).all())))
+                yield pd.DataFrame(out, columns=["tile_id", "n", "total", "placed", "same"])
 
-        return tiles.mapInPandas(code, "tile_id long, n long, bytes long, same boolean")
+        return tiles.mapInPandas(code, "tile_id long, n long, total long, placed long, same boolean")
 
     return run
 
 
 for _name in ("RICE_1", "GZIP_1", "GZIP_2", "PLIO_1", "HCOMPRESS_1", "NOCOMPRESS"):
-    query(f"codec_roundtrip_{_name.lower()}")(_roundtrip(_name))
+    query(f"codec_roundtrip_{_name.lower()}", ROUNDTRIP_SQL)(_roundtrip(_name))
+
+
+QUANTIZED_SQL = "SELECT m AS method, count(*) AS n, count(*) FILTER (p_size % 9 = 0) AS missing, count(*) AS near FROM part, (VALUES ('DITHER_1'), ('DITHER_2'), ('NONE')) AS v(m) GROUP BY m"
+
+
+@query("quantize_roundtrip", QUANTIZED_SQL)
+def quantize_roundtrip(spark, sf_dir):
+    """Prices as one row of floats, quantised by each method and back: missing stay missing, others move half a step at most."""
+    rows = table(spark, sf_dir, "part").select(F.lit(1).alias("tile"), "p_partkey", F.when(F.col("p_size") % 9 != 0, F.col("p_retailprice")).alias("v"))
+    tiles = rows.groupBy("tile").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "v"))), lambda x: x["v"].cast("float")).alias("v"))  # one demonstration tile
+
+    def code(batches):
+        for batch in batches:
+            out = []
+            for v in batch["v"]:
+                values = np.array([np.nan if x is None else x for x in v], np.float32)
+                for name in ("NONE", "DITHER_1", "DITHER_2"):
+                    q, scale, zero = quantize.quantize(values, 4.0, getattr(quantize, name), 3)
+                    back = quantize.dequantize(q, scale, zero, getattr(quantize, name), 3)
+                    gone = np.isnan(values)
+                    near = np.where(gone, np.isnan(back), np.abs(back - values) <= scale * 0.5001)
+                    out.append((name, len(values), int(np.isnan(back).sum()), int(near.sum())))
+            yield pd.DataFrame(out, columns=["method", "n", "missing", "near"])
+
+    return tiles.mapInPandas(code, "method string, n long, missing long, near long")
 
 
 @query("fits_roundtrip_table", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
@@ -218,7 +248,7 @@ def fits_table(spark, sf_dir):
     return spark.read.format("starfits").option("mode", "table").option("extname", "SUPPLIER").load(f"{home}/*.fits")
 
 
-@query("fits_roundtrip_image")
+@query("fits_roundtrip_image", "SELECT x.range AS x, y.range AS y, CAST((y.range * 3 + x.range) % 500 AS DOUBLE) AS value, CAST((y.range * 3 + x.range) % 500 AS DOUBLE) AS tile_value FROM range(64) AS x, range(48) AS y")
 def fits_image(spark, sf_dir):
     """An image and its compressed twin, read as pixels and as tiles."""
     reader.register(spark)
@@ -231,9 +261,74 @@ def fits_image(spark, sf_dir):
     return pixels.join(flat, ["x", "y"]).select("x", "y", "value", "tile_value")
 
 
-@query("fits_hdu_catalogue")
+for _codec in ("RICE_1", "GZIP_2", "HCOMPRESS_1", "PLIO_1"):
+
+    def _tiled(spark, sf_dir, codec=_codec):
+        """A compressed image in tiles of 10 by 8, pixels by their place."""
+        reader.register(spark)
+        path = os.path.join(posix_folder(spark, "files"), "tiled.fits")
+        values = (np.add.outer(np.arange(37), np.arange(29)) * 7 % 300).astype(np.int64)
+        writer.write_file(path, [writer.empty_primary(), writer.compressed_unit(values, 16, codec, [10, 8])])
+        tiles = spark.read.format("starfits").option("mode", "tiles").load(path)
+        pixels = tiles.select("origin", "size", F.posexplode("values").alias("i", "value"))
+        return pixels.select((F.col("origin")[0] + F.col("i") % F.col("size")[0]).alias("x"), (F.col("origin")[1] + F.floor(F.col("i") / F.col("size")[0])).alias("y"), "value")
+
+    query(f"fits_tiles_{_codec.lower()}", "SELECT x.range AS x, y.range AS y, CAST((x.range + y.range) * 7 % 300 AS DOUBLE) AS value FROM range(29) AS x, range(37) AS y")(_tiled)
+
+
+@query("fits_exact_int64", "SELECT range AS pix, 9007199254740993 + range * 1000000007 AS value FROM range(600)")
+def fits_exact(spark, sf_dir):
+    """64-bit pixels beyond what a double holds."""
+    reader.register(spark)
+    path = os.path.join(posix_folder(spark, "files"), "exact.fits")
+    writer.write_file(path, [writer.image_unit((9007199254740993 + np.arange(600, dtype=np.int64) * 1000000007).reshape(20, 30), 64, True)])
+    return spark.read.format("starfits").option("mode", "image").load(path).select("pix", F.col("value").cast("long").alias("value"))
+
+
+@query("fits_frame_rgb", "SELECT x.range AS x, y.range AS y, CAST(x.range AS DOUBLE) AS r, CAST(100 + y.range AS DOUBLE) AS g, CAST(x.range * y.range AS DOUBLE) AS b FROM range(7) AS x, range(5) AS y")
+def fits_rgb(spark, sf_dir):
+    """A cube of three planes as columns."""
+    reader.register(spark)
+    path = os.path.join(posix_folder(spark, "files"), "rgb.fits")
+    y, x = np.mgrid[0:5, 0:7]
+    writer.write_file(path, [writer.image_unit(np.stack([x, 100 + y, x * y]).astype(float), -32, True)])
+    return reader.frame_rgb(spark.read.format("starfits").option("mode", "image").load(path))
+
+
+EDIT_SQL = "SELECT * FROM (VALUES (0, 'EXTEND', NULL, NULL, true), (1, 'BITPIX', NULL, 16, NULL), (1, 'EXTNAME', 'SECOND', NULL, NULL), (1, 'NAXIS1', NULL, 5, NULL), (1, 'OBJECT', 'M51', NULL, NULL)) AS v(hdu_index, key, v_string, v_int, v_bool)"
+
+
+@query("fits_edits", EDIT_SQL)
+def fits_edits(spark, sf_dir):
+    """A unit dropped, a header changed, pixels replaced; the cards that are left."""
+    reader.register(spark)
+    path = os.path.join(posix_folder(spark, "files"), "edits.fits")
+    writer.write_file(path, [writer.empty_primary(), writer.image_unit(np.arange(4), 32, False), writer.image_unit(np.arange(5), 16, False, extra=[make_card("EXTNAME", "SECOND")])])
+    writer.edit_file(path, lambda u, h: None if u.index == 1 else h.set("OBJECT", "M51") if u.index == 2 else h)
+    writer.overwrite_pixels(path, 1, np.arange(5) * 2)
+    cards = spark.read.format("starfits").option("mode", "cards").load(path)
+    return cards.filter("key IN ('OBJECT', 'EXTNAME', 'NAXIS1') OR key = 'BITPIX' AND hdu_index = 1 OR key = 'EXTEND'").select("hdu_index", "key", "v_string", "v_int", "v_bool")
+
+
+@query("fits_ascii_table", "SELECT n_nationkey AS id, n_name AS name, CAST(n_regionkey AS DOUBLE) * 0.5 AS half FROM nation")
+def fits_ascii(spark, sf_dir):
+    """A text table: numbers, a real with a D exponent, and strings, in fixed columns."""
+    reader.register(spark)
+    path = os.path.join(posix_folder(spark, "files"), "ascii.fits")
+    rows = [(r["n_nationkey"], r["n_name"], r["n_regionkey"] * 0.5) for r in table(spark, sf_dir, "nation").collect()]  # the 25 nations
+    lines = "".join(f"{k:>6} {name:<25} {half:>8.3f}D0" for k, name, half in rows).encode()
+    cards = [("XTENSION", "TABLE"), ("BITPIX", 8), ("NAXIS", 2), ("NAXIS1", 43), ("NAXIS2", len(rows)), ("PCOUNT", 0), ("GCOUNT", 1), ("TFIELDS", 3)]
+    cards += [("TTYPE1", "id"), ("TFORM1", "I6"), ("TBCOL1", 1), ("TTYPE2", "name"), ("TFORM2", "A25"), ("TBCOL2", 8), ("TTYPE3", "half"), ("TFORM3", "D10.3"), ("TBCOL3", 34)]
+    writer.write_file(path, [writer.empty_primary(), encode_header(Header([make_card(*c) for c in cards])) + lines.ljust(-(-len(lines) // 2880) * 2880)])
+    return spark.read.format("starfits").option("mode", "table").load(path)
+
+
+CATALOGUE_SQL = "SELECT * FROM (VALUES (0, 'primary', 8, '', 2880, 2880), (1, 'image', -32, '4x3', 5760, 5808), (2, 'image', 16, '8', 11520, 11536)) AS v(hdu_index, kind, bitpix, shape, data_start, data_end)"
+
+
+@query("fits_hdu_catalogue", CATALOGUE_SQL)
 def fits_hdus(spark, sf_dir):
     reader.register(spark)
     path = os.path.join(posix_folder(spark, "files"), "units.fits")
     writer.write_file(path, [writer.empty_primary(), writer.image_unit(np.arange(12.0).reshape(3, 4), -32, False), writer.image_unit(np.arange(8), 16, False)])
-    return spark.read.format("starfits").option("mode", "hdu").load(path).select("hdu_index", "kind", "bitpix", "shape", "data_start", "data_end")
+    return spark.read.format("starfits").option("mode", "hdu").load(path).select("hdu_index", "kind", "bitpix", F.array_join("shape", "x").alias("shape"), "data_start", "data_end")
