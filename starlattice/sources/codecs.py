@@ -96,36 +96,69 @@ def rice_encode(values: np.ndarray, size: int, block: int = 32) -> bytes:
     return out.bytes()
 
 
+def _fields(raw: np.ndarray, at: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The numbers of ``width`` bits (0 to 64 each) that begin at the bits ``at``; raw is padded by 16 bytes."""
+    words = np.lib.stride_tricks.sliding_window_view(raw, 8)
+
+    def short(start: np.ndarray, bits: np.ndarray) -> np.ndarray:  # up to 32 bits lie in the 8 bytes from the first one's
+        window = np.ascontiguousarray(words[start >> 3]).view(">u8").ravel().astype(np.uint64)
+        out = (window << (start & 7).astype(np.uint64)) >> (np.uint64(64) - np.maximum(bits, 1).astype(np.uint64))
+        return np.where(bits > 0, out, np.uint64(0))
+
+    upper = np.maximum(width - 32, 0)
+    return short(at, upper) << np.uint64(32) | short(at + upper, width - upper)
+
+
 def rice_decode(data: bytes, count: int, size: int, block: int = 32) -> np.ndarray:
+    """One step a pixel finds where its code ends; everything else is done for all pixels at once."""
     pbits, most = RICE[size]
     bits = 8 * size
-    r = _BitReader(data)
-    last = _wrap([r.take(bits)], size)[0]
-    out: list[int] = []
-    while len(out) < count:
-        n = min(block, count - len(out))
-        k = r.take(pbits) - 1
-        if k < 0:
-            out += [last] * n
-            continue
-        if k == most:
-            folded = [int(f) for f in r.rows(n, bits)]
-        else:
-            folded = []
-            seen = int(np.searchsorted(r.ones, r.at))
-            for _ in range(n):
-                seen = seen if seen < len(r.ones) and r.ones[seen] >= r.at else int(np.searchsorted(r.ones, r.at))
-                if seen >= len(r.ones):
-                    raise ValueError("the tile ends early")
-                high = int(r.ones[seen]) - r.at
-                r.at += high + 1
-                folded.append(high << k | (r.take(k) if k else 0))
-                seen += 1
-        for f in folded:
-            last += (f >> 1) if not f & 1 else -((f + 1) >> 1)
-            last = _wrap([last], size)[0]
-            out.append(last)
-    return np.array(out, np.int64)
+    raw = np.frombuffer(data + b"\0" * 16, np.uint8)
+    end = 8 * len(data)
+    ones = np.append(np.flatnonzero(np.unpackbits(raw[: len(data)])), end + 8 * 15)
+    following = ones[np.searchsorted(ones, np.arange(end + 1))].tolist()  # the next one bit at or after each place
+    first, at, have = int.from_bytes(data[:size].ljust(size, b"\0"), "big"), bits, 0
+    coded, stops = [], []  # of each block: pixels, split (-1: all differences are zero), where its codes begin
+    padded, mask = data + b"\0\0", (1 << pbits) - 1
+    try:
+        while have < count:
+            n = min(block, count - have)
+            have += n
+            if at + pbits > end:
+                raise ValueError("the tile ends early")
+            byte = at >> 3
+            k = ((padded[byte] << 8 | padded[byte + 1]) >> (16 - (at & 7) - pbits) & mask) - 1
+            at += pbits
+            coded.append((n, k, at))
+            if k == most:
+                at += bits * n
+            elif k >= 0:
+                step = k + 1
+                for _ in range(n):
+                    one = following[at]
+                    stops.append(one)
+                    at = one + step
+    except IndexError:
+        at = end + 1
+    if at > end:
+        raise ValueError("the tile ends early")
+    if not coded:
+        return np.zeros(0, np.int64)
+    sizes, splits, starts = (np.array(c) for c in zip(*coded))
+    split, begin = np.repeat(splits, sizes), np.repeat(starts, sizes)
+    nth = np.arange(len(split)) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # place in the block
+    plain, zero = split == most, split < 0
+    place, high = np.where(plain, begin + bits * nth, 0), np.zeros(len(split), np.int64)
+    own, found = np.flatnonzero(~plain & ~zero), np.array(stops, np.int64)
+    place[own] = found + 1
+    before = np.concatenate([[0], found[:-1]]) + 1 + split[own]
+    high[own] = found - np.where(nth[own] == 0, begin[own], before)
+    width = np.where(plain, bits, np.where(zero, 0, split))
+    folded = high.astype(np.uint64) << (width % 64).astype(np.uint64) | _fields(raw, place, width)
+    steps = (folded >> np.uint64(1)) ^ (np.uint64(0) - (folded & np.uint64(1)))
+    total = np.cumsum(steps) + np.uint64(first)  # all sums wrap
+    left = np.uint64(64 - bits)
+    return (total << left).view(np.int64) >> left.astype(np.int64)
 
 
 # -- gzip ------------------------------------------------------------------------------------------------------------
@@ -295,7 +328,8 @@ def h_inverse(a: np.ndarray) -> np.ndarray:
 
 # The prefix code of the sixteen nibbles.
 HUFFMAN = {0: "111110", 1: "000", 2: "001", 3: "1000", 4: "010", 5: "1001", 6: "11010", 7: "11011", 8: "011", 9: "11100", 10: "1010", 11: "11101", 12: "1011", 13: "11110", 14: "111111", 15: "1100"}
-_NIBBLE = {v: k for k, v in HUFFMAN.items()}
+#: Six bits -> the nibble whose code they begin with, and the code's length.
+_PREFIX = [next((v, len(c)) for v, c in HUFFMAN.items() if format(i, "06b").startswith(c)) for i in range(64)]
 
 
 def _nibbles(plane: np.ndarray) -> np.ndarray:
@@ -374,13 +408,15 @@ def hcompress_decode(data: bytes) -> np.ndarray:
     a = np.zeros((nx, ny), np.int64)
     r = _BitReader(data[25:])
 
+    padded = np.append(r.bits, np.zeros(6, np.uint8)).astype(np.int64)
+    ahead = sum(padded[i : len(r.bits) + i] << (5 - i) for i in range(6)).tolist()  # the six bits from each place on
+
     def nibble() -> int:
-        code = ""
-        while code not in _NIBBLE:
-            code += str(r.take(1))
-            if len(code) > 6:
-                raise ValueError("bad prefix code")
-        return _NIBBLE[code]
+        if r.at >= len(ahead):
+            raise ValueError("the tile ends early")
+        value, length = _PREFIX[ahead[r.at]]
+        r.at += length
+        return value
 
     for xs, ys, which in _quadrants(a.shape):
         part = a[xs, ys]
