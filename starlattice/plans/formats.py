@@ -110,14 +110,11 @@ def nulls(spark, sf_dir):
 
 
 def _order_image(spark, sf_dir, bitpix, bscale=1.0, bzero=0.0, scale=1.0):
-    """64 rows of 64 pixels: the largest price of the orders of a key, NaN where there is none."""
-    rows = table(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % 4096).alias("k")).agg(F.max("o_totalprice").alias("v")).collect()  # 4096 rows at most
-    image = np.full(4096, np.nan)
-    for r in rows:
-        image[r["k"]] = np.floor(r["v"] * scale)
+    """64 rows of 64 pixels, written by the executors: the largest price of the orders of a key, missing where there is none."""
+    rows = table(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % 4096).alias("pix")).agg(F.floor(F.max("o_totalprice") * scale).alias("value"))
     reader.register(spark)
     path = os.path.join(posix_folder(spark, "files"), "orders.fits")
-    writer.write_file(path, [writer.image_unit(image.reshape(64, 64), bitpix, True, bscale, bzero)])
+    writer.write_image(rows, path, [64, 64], bitpix, bscale, bzero, -(2 ** (bitpix - 1)) if bitpix > 8 else None)
     return spark.read.format("starfits").option("mode", "image"), path
 
 
@@ -287,11 +284,11 @@ def fits_exact(spark, sf_dir):
 
 @query("fits_frame_rgb", "SELECT x.range AS x, y.range AS y, CAST(x.range AS DOUBLE) AS r, CAST(100 + y.range AS DOUBLE) AS g, CAST(x.range * y.range AS DOUBLE) AS b FROM range(7) AS x, range(5) AS y")
 def fits_rgb(spark, sf_dir):
-    """A cube of three planes as columns."""
+    """Colour pixels written as a cube of three planes, and read back as columns."""
     reader.register(spark)
     path = os.path.join(posix_folder(spark, "files"), "rgb.fits")
-    y, x = np.mgrid[0:5, 0:7]
-    writer.write_file(path, [writer.image_unit(np.stack([x, 100 + y, x * y]).astype(float), -32, True)])
+    frame = spark.range(35).selectExpr("id % 7 AS x", "id DIV 7 AS y").selectExpr("x", "y", "x AS r", "100 + y AS g", "x * y AS b")
+    writer.write_image(writer.rgb_pixels(frame, 7, 5), path, [7, 5, 3], -32)
     return reader.frame_rgb(spark.read.format("starfits").option("mode", "image").load(path))
 
 

@@ -18,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSourceArrowWriter, WriterCommitMessage
 
@@ -341,3 +342,88 @@ def write_table(df: DataFrame, folder: str, extname: str = "") -> None:
 
     register(df.sparkSession)
     df.write.format("starfits").option("extname", extname).mode("append").save(folder)
+
+
+#: Bytes of an image that one task holds at a time.
+STRIP_BYTES = 16 << 20
+
+
+def image_cards(shape: list[int], bitpix: int, primary: bool = True, bscale: float = 1.0, bzero: float = 0.0, blank: int | None = None) -> list[tuple]:
+    """Cards of an image with these axes, the fastest first."""
+    cards = [("SIMPLE", True) if primary else ("XTENSION", "IMAGE"), ("BITPIX", bitpix), ("NAXIS", len(shape)), *[(f"NAXIS{i + 1}", n) for i, n in enumerate(shape)]]
+    cards += [("EXTEND", True)] if primary else [("PCOUNT", 0), ("GCOUNT", 1)]
+    cards += [("BSCALE", bscale), ("BZERO", bzero)] if (bscale, bzero) != (1, 0) else []
+    return cards + ([("BLANK", blank)] if blank is not None else [])
+
+
+def write_image(pixels: DataFrame, path: str, shape: list[int], bitpix: int, bscale: float = 1.0, bzero: float = 0.0, blank: int | None = None, extra: Iterable[Card] = ()) -> None:
+    """A file with one image from rows (pix, value): pix counts along the first axis first.
+
+    The executors write strips of STRIP_BYTES beside the file, each from the pixels that fall into it; the driver puts
+    them one after the other. Pixels that are null or have no row are missing: NaN, or BLANK, which integer images then
+    need (ValueError without it). Of several rows of a pixel the largest value stays.
+    """
+    kind, total = np.dtype(BITPIX[bitpix]), math.prod(shape)
+    strip = max(1, STRIP_BYTES // kind.itemsize)
+    strips = -(-total // strip) if total else 0
+    path = path.removeprefix("file://")
+    stem = f"{path}.{uuid.uuid4().hex}"
+    every = pixels.sparkSession.range(strips).select(F.col("id").alias("strip"), F.lit(None).cast("long").alias("pix"), F.lit(None).cast("double").alias("value"))
+    rows = pixels.select(F.floor(F.col("pix") / strip).alias("strip"), F.col("pix").cast("long").alias("pix"), F.col("value").cast("double").alias("value")).filter(F.col("pix").between(0, total - 1))
+    tasks = max(1, min(strips, 4 * int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = rows.unionByName(every).repartition(tasks, "strip").sortWithinPartitions("strip", F.col("value").asc_nulls_first())
+
+    def run(batches):
+        import pyarrow as pa
+
+        now, data = None, np.zeros(0)
+
+        def done() -> list[tuple]:
+            if now is None:
+                return []
+            if bitpix > 0:
+                gone = np.isnan(data)
+                if gone.any() and blank is None:
+                    raise ValueError("pixels are missing and there is no BLANK")
+                limits = np.iinfo(kind)
+                raw = np.where(gone, 0 if blank is None else blank, np.clip(np.rint((np.where(gone, bzero, data) - bzero) / bscale), limits.min, limits.max)).astype(kind)
+            else:
+                raw = data.astype(kind)
+            with open(f"{stem}.{now}.{TaskContext.get().taskAttemptId()}", "wb") as out:
+                out.write(raw.tobytes())
+            return [(now, out.name)]
+
+        made = []
+        for batch in batches:
+            number, pix, value = batch.column("strip").to_numpy(), batch.column("pix").fill_null(-1).to_numpy(), batch.column("value").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), len(number)] if len(number) else []
+            for a, b in zip(cuts, cuts[1:]):
+                if number[a] != now:
+                    made += done()
+                    now = int(number[a])
+                    data = np.full(min(strip, total - now * strip), np.nan)
+                real = pix[a:b] >= 0
+                data[pix[a:b][real] - now * strip] = value[a:b][real]
+        made += done()
+        yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.string())], ["strip", "part"])
+
+    parts = dict(tuple(r) for r in dealt.mapInArrow(run, "strip long, part string").collect())  # a row for each strip
+
+    def pieces():
+        yield encode_header(_header(image_cards(shape, bitpix, True, bscale, bzero, blank), extra))
+        for k in range(strips):
+            with open(parts[k], "rb") as part:
+                yield part.read()
+        yield b"\0" * (-total * kind.itemsize % BLOCK)
+
+    try:
+        write_file(path, pieces())
+    finally:
+        for part in parts.values():
+            os.unlink(part)
+
+
+def rgb_pixels(frame: DataFrame, width: int, height: int) -> DataFrame:
+    """Rows (x, y, r, g, b) as the pixels of a cube of three planes, for :func:`write_image` with shape [width, height, 3]."""
+    planes = F.array(*[F.struct(F.lit(z).alias("z"), F.col(c).cast("double").alias("value")) for z, c in enumerate("rgb")])
+    return frame.select("x", "y", F.inline(planes)).select(((F.col("z") * height + F.col("y")) * width + F.col("x")).cast("long").alias("pix"), "value")

@@ -89,6 +89,20 @@ def test_exact_and_missing(spark, read, tmp_path):
     assert back == sorted(((i, s, l, t, b or b"", a) for i, s, l, t, b, a in rows), key=str)
 
 
+def test_image_from_rows(spark, read, tmp_path, monkeypatch):
+    """Pixels from rows, in several strips; missing ones, repeated ones and integers without BLANK."""
+    monkeypatch.setattr(writer, "STRIP_BYTES", 64)
+    df = spark.range(100).filter("id % 7 != 3").selectExpr("id AS pix", "CAST(id * 2 AS DOUBLE) AS value").repartition(3)
+    df = df.union(spark.createDataFrame([(5, 1.0), (8, None)], "pix long, value double"))
+    path = tmp_path / "rows.fits"
+    for bitpix, blank in ((-64, None), (32, -1)):
+        writer.write_image(df, str(path), [10, 10], bitpix, 1.0, 0.0, blank)
+        assert [r.value for r in read(path, "image").orderBy("pix").collect()] == [None if i % 7 == 3 else i * 2 for i in range(100)]
+    assert [f.name for f in tmp_path.iterdir()] == ["rows.fits"]
+    with pytest.raises(Exception, match="BLANK"):
+        writer.write_image(df, str(path), [10, 10], 32)
+
+
 def test_writer_and_stores(spark, read, tmp_path):
     """Several files a task, overwriting, empty tables; every mode over contents from any store; filters pushed down."""
     df = spark.range(1000).selectExpr("id", "id * 0.5D AS v").repartition(3)
