@@ -243,6 +243,52 @@ def pix2ang(n: int, nested: bool) -> str:
 _BENT = "SELECT p_partkey AS id, (p_partkey % 61) / 1e2 - 0.3e0 AS u, (p_partkey % 53) / 1e2 - 0.25e0 AS v FROM part"
 
 
+# -- stretches: the published curves, in 32 bits where the results are ------------------------------------------------
+_RGB = "SELECT p_partkey AS id, CAST(p_retailprice / 25e2 AS FLOAT) AS r, CAST(p_size / 51e0 AS FLOAT) AS g, CAST((p_partkey % 256) / 255e0 AS FLOAT) AS b FROM part"
+
+
+def _shown(value: str, name: str = "value") -> str:
+    return f"round(CAST(CAST({value} AS FLOAT) AS DOUBLE), 5) AS {name}"
+
+
+def hyperbolic(q: str, slope: str, x: str = "r", d: float = 2.0, lp: float = 0.1, sp: float = 0.3, hp: float = 0.9) -> str:
+    """An odd curve about sp, S(x) = sign(x - sp) q(|x - sp|), straight beyond lp and hp, scaled to go from 0 to 1."""
+    rate = f"(exp({d}e0) - 1)"
+    at = lambda form, u: "(" + form.replace("D", rate).replace("U", f"({u})") + ")"
+    low, high = f"(-{at(q, f'{sp}e0 - {lp}e0')})", at(q, f"{hp}e0 - {sp}e0")
+    below, above = at(slope, f"{sp}e0 - {lp}e0"), at(slope, f"{hp}e0 - {sp}e0")
+
+    def curve(v: str) -> str:
+        return f"(CASE WHEN {v} < {lp}e0 THEN {low} + {below}*({v} - {lp}e0) WHEN {v} < {sp}e0 THEN -{at(q, f'{sp}e0 - {v}')} WHEN {v} < {hp}e0 THEN {at(q, f'{v} - {sp}e0')} ELSE {high} + {above}*({v} - {hp}e0) END)"
+
+    v = f"CAST({x} AS DOUBLE)"
+    return f"least(1, greatest(0, ({curve(v)} - {curve('0e0')}) / ({curve('1e0')} - {curve('0e0')})))"
+
+
+#: Shape b -> q(u) and its slope, with D the rate.
+SHAPES = {
+    "log": ("ln(1 + D*U)", "D / (1 + D*U)"),
+    "exp": ("1 - exp(-D*U)", "D * exp(-D*U)"),
+    "neg": ("2 * (1 - 1 / (1 + 0.5e0*D*U))", "D * pow(1 + 0.5e0*D*U, -2)"),
+    "pow": ("1 - pow(1 + 1.5e0*D*U, -1/1.5e0)", "D * pow(1 + 1.5e0*D*U, -1/1.5e0 - 1)"),
+}
+
+
+def stretches() -> dict[str, str]:
+    raised = lambda c, low: f"(({c} - {low}::FLOAT) * (1 / (1 - {low}))::FLOAT)"
+    sinh = lambda x: f"CAST(ln(CAST({x} AS DOUBLE) + sqrt(pow(CAST({x} AS DOUBLE), 2) + 1)) AS FLOAT)"
+    mtf_x = "((r - 0.1::FLOAT) * CAST(1::FLOAT / (0.9::FLOAT - 0.1::FLOAT) AS FLOAT))"
+    out = {
+        "stretch_linear": f"SELECT id, {_shown('greatest(0::FLOAT, (r - 0.2::FLOAT) * 1.25::FLOAT)')} FROM ({_RGB})",
+        "stretch_asinh": f"SELECT id, {_shown(f'CASE WHEN x <= 0 THEN 0::FLOAT ELSE least(1::FLOAT, CAST({sinh("10::FLOAT * x")} / CAST(asinh(10) AS FLOAT) AS FLOAT)) END')} FROM (SELECT id, {raised('r', 0.05)} AS x FROM ({_RGB}))",
+        "stretch_mtf": f"SELECT id, {_shown('CASE WHEN r <= 0.1::FLOAT THEN 0::FLOAT WHEN r >= 0.9::FLOAT THEN 1::FLOAT ELSE CAST((0.25::FLOAT - 1::FLOAT) * x / ((2::FLOAT * 0.25::FLOAT - 1::FLOAT) * x - 0.25::FLOAT) AS FLOAT) END')} FROM (SELECT *, {mtf_x} AS x FROM ({_RGB}))",
+        "stretch_quantize8": f"SELECT id, CAST(floor(least(greatest(CAST(r AS DOUBLE), 0), 1) * 255 + 0.5e0) AS INT) AS level FROM ({_RGB})",
+    }
+    for name, (q, slope) in SHAPES.items():
+        out[f"stretch_ght_{name}"] = f"SELECT id, {_shown(hyperbolic(q, slope))} FROM ({_RGB})"
+    return out
+
+
 def oracles() -> dict[str, str]:
     """Query name -> oracle."""
     from ..functions.frames import GALACTIC, SUPERGALACTIC
@@ -264,6 +310,7 @@ def oracles() -> dict[str, str]:
     }
     for n in (16, 64):
         out |= {f"hpx_ang2pix_ring_{n}": ang2pix_ring(n), f"hpx_ang2pix_nest_{n}": ang2pix_nest(n)}
+    out |= stretches()
     for code in [*ZENITHAL, *CONIC, *OTHER]:
         out |= {f"wcs_pix2sky_{code}": pixel_to_sky(code), f"wcs_sky2pix_{code}": sky_to_pixel(code)}
     return out
