@@ -261,11 +261,11 @@ def fits_image(spark, sf_dir):
 for _codec in ("RICE_1", "GZIP_2", "HCOMPRESS_1", "PLIO_1"):
 
     def _tiled(spark, sf_dir, codec=_codec):
-        """A compressed image in tiles of 10 by 8, pixels by their place."""
+        """A compressed image in tiles of 10 by 8, put together by the executors; pixels by their place."""
         reader.register(spark)
         path = os.path.join(posix_folder(spark, "files"), "tiled.fits")
-        values = (np.add.outer(np.arange(37), np.arange(29)) * 7 % 300).astype(np.int64)
-        writer.write_file(path, [writer.empty_primary(), writer.compressed_unit(values, 16, codec, [10, 8])])
+        rows = spark.range(37 * 29).selectExpr("id AS pix", "CAST((id % 29 + id DIV 29) * 7 % 300 AS DOUBLE) AS value")
+        writer.write_compressed(rows, path, [29, 37], 16, codec, [10, 8])
         tiles = spark.read.format("starfits").option("mode", "tiles").load(path)
         pixels = tiles.select("origin", "size", F.posexplode("values").alias("i", "value"))
         return pixels.select((F.col("origin")[0] + F.col("i") % F.col("size")[0]).alias("x"), (F.col("origin")[1] + F.floor(F.col("i") / F.col("size")[0])).alias("y"), "value")

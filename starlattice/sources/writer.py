@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSourceArrowWriter, WriterCommitMessage
 
+from ..durable import durable
 from . import codecs, quantize
 from .cards import BLOCK, Card, Header, encode_header, make_card
 from .checksum import checksum, encode
@@ -157,6 +158,50 @@ def _empty_width(form: str) -> int:
     return repeat * ELEMENTS[code][0]
 
 
+def compress_tile(part: np.ndarray, number: int, bitpix: int, codec: str, qlevel: float, method: int, seed: int) -> tuple[int, bytes, bytes, float, float]:
+    """Elements and bytes of a tile's data, the bytes of its lossless form if it cannot be quantised, scale and zero."""
+    plain, scale, zero, fallback = part, 1.0, 0.0, b""
+    if bitpix < 0:
+        found = quantize.quantize(part.reshape(part.shape[-2] if part.ndim > 1 else 1, -1), qlevel, method, number + seed)
+        if found is None:
+            fallback = codecs.encode_raw(part, BITPIX[bitpix])
+        else:
+            plain, scale, zero = found
+    size = 4 if bitpix < 0 else bitpix // 8
+    data = b"" if fallback else codecs.encode(plain, codec, size, (math.prod(part.shape[:-1]), part.shape[-1]))
+    return len(data) // 2 if codec == "PLIO_1" else len(data), data, fallback, scale, zero
+
+
+def _tile_table(places: list, heap_size: int, shape: list[int], tile: list[int], bitpix: int, codec: str, method: int, seed: int, blank: int | None, extra: Iterable[Card]) -> tuple[bytes, bytes]:
+    """Header and rows of a compressed image, from each tile's (count, offset, fallback's count, offset, scale, zero)."""
+    pointer, letter = (">i8", "Q") if heap_size >= 1 << 31 else (">i4", "P")
+    forms = [("COMPRESSED_DATA", f"1{letter}{'I' if codec == 'PLIO_1' else 'B'}")]
+    fields = [("data", pointer, 2)]
+    if bitpix < 0:
+        forms += [("GZIP_COMPRESSED_DATA", f"1{letter}B"), ("ZSCALE", "1D"), ("ZZERO", "1D")]
+        fields += [("fallback", pointer, 2), ("scale", ">f8"), ("zero", ">f8")]
+    rows = np.zeros(len(places), np.dtype(fields))
+    if places:
+        own = np.array(places, np.float64) if bitpix < 0 else None
+        whole = np.array([p[:4] for p in places], np.int64)
+        rows["data"] = whole[:, :2]
+        if bitpix < 0:
+            rows["fallback"], rows["scale"], rows["zero"] = whole[:, 2:], own[:, 4], own[:, 5]
+    cards = [("XTENSION", "BINTABLE"), ("BITPIX", 8), ("NAXIS", 2), ("NAXIS1", rows.dtype.itemsize), ("NAXIS2", len(rows)), ("PCOUNT", heap_size), ("GCOUNT", 1), ("TFIELDS", len(forms))]
+    for i, (name, form) in enumerate(forms, 1):
+        cards += [(f"TTYPE{i}", name), (f"TFORM{i}", form)]
+    cards += [("ZIMAGE", True), ("ZCMPTYPE", codec), ("ZBITPIX", bitpix), ("ZNAXIS", len(shape))]
+    cards += [(f"ZNAXIS{i + 1}", n) for i, n in enumerate(shape)] + [(f"ZTILE{i + 1}", n) for i, n in enumerate(tile)]
+    if codec == "RICE_1":
+        cards += [("ZNAME1", "BLOCKSIZE"), ("ZVAL1", 32), ("ZNAME2", "BYTEPIX"), ("ZVAL2", 4 if bitpix < 0 else bitpix // 8)]
+    if bitpix < 0:
+        names = {quantize.NONE: "NO_DITHER", quantize.DITHER_1: "SUBTRACTIVE_DITHER_1", quantize.DITHER_2: "SUBTRACTIVE_DITHER_2"}
+        cards += [("ZQUANTIZ", names[method]), ("ZDITHER0", seed)]
+    elif blank is not None:
+        cards.append(("ZBLANK", blank))
+    return encode_header(_header(cards, extra)), rows.tobytes()
+
+
 def compressed_unit(image: np.ndarray, bitpix: int, codec: str = "RICE_1", tile: list[int] | None = None, qlevel: float = 4.0, method: int = quantize.DITHER_1, seed: int = 1, extra: Iterable[Card] = ()) -> bytes:
     """A tile-compressed image of integers, or of floats that are quantised tile by tile.
 
@@ -166,46 +211,17 @@ def compressed_unit(image: np.ndarray, bitpix: int, codec: str = "RICE_1", tile:
     shape = list(image.shape[::-1])
     tile = list(tile or [shape[0], *[1] * (len(shape) - 1)])
     counts = [-(-m // t) for m, t in zip(shape, tile)]
-    size = 4 if bitpix < 0 else bitpix // 8
-    heap, rows = bytearray(), []
+    heap, places = bytearray(), []
     for n in range(math.prod(counts)):
-        number, where, extent = n, [], []
+        number, where = n, []
         for m, t, c in zip(shape, tile, counts):
             number, i = divmod(number, c)
             where.append(slice(i * t, min((i + 1) * t, m)))
-            extent.append(where[-1].stop - where[-1].start)
-        part = image[tuple(reversed(where))]
-        plain, scale, zero, fallback = part, 1.0, 0.0, b""
-        if bitpix < 0:
-            found = quantize.quantize(part.reshape(part.shape[-2] if part.ndim > 1 else 1, -1), qlevel, method, n + seed)
-            if found is None:
-                fallback = codecs.encode_raw(part, BITPIX[bitpix])
-            else:
-                plain, scale, zero = found
-        data = b"" if fallback else codecs.encode(plain, codec, size, (math.prod(extent[1:]), extent[0]))
-        places = [(len(data) // 2 if codec == "PLIO_1" else len(data), len(heap))]
-        heap += data
-        if bitpix < 0:
-            places.append((len(fallback), len(heap)))
-            heap += fallback
-        rows.append((places, scale, zero))
-    pointer, letter = (">i8", "Q") if len(heap) >= 1 << 31 else (">i4", "P")
-    rows = [np.array(places, pointer).tobytes() + (np.array([scale, zero], ">f8").tobytes() if bitpix < 0 else b"") for places, scale, zero in rows]
-    forms = [("COMPRESSED_DATA", f"1{letter}{'I' if codec == 'PLIO_1' else 'B'}")]
-    if bitpix < 0:
-        forms += [("GZIP_COMPRESSED_DATA", f"1{letter}B"), ("ZSCALE", "1D"), ("ZZERO", "1D")]
-    width = len(rows[0]) if rows else 8
-    cards = [("XTENSION", "BINTABLE"), ("BITPIX", 8), ("NAXIS", 2), ("NAXIS1", width), ("NAXIS2", len(rows)), ("PCOUNT", len(heap)), ("GCOUNT", 1), ("TFIELDS", len(forms))]
-    for i, (name, form) in enumerate(forms, 1):
-        cards += [(f"TTYPE{i}", name), (f"TFORM{i}", form)]
-    cards += [("ZIMAGE", True), ("ZCMPTYPE", codec), ("ZBITPIX", bitpix), ("ZNAXIS", len(shape))]
-    cards += [(f"ZNAXIS{i + 1}", n) for i, n in enumerate(shape)] + [(f"ZTILE{i + 1}", n) for i, n in enumerate(tile)]
-    if codec == "RICE_1":
-        cards += [("ZNAME1", "BLOCKSIZE"), ("ZVAL1", 32), ("ZNAME2", "BYTEPIX"), ("ZVAL2", size)]
-    if bitpix < 0:
-        names = {quantize.NONE: "NO_DITHER", quantize.DITHER_1: "SUBTRACTIVE_DITHER_1", quantize.DITHER_2: "SUBTRACTIVE_DITHER_2"}
-        cards += [("ZQUANTIZ", names[method]), ("ZDITHER0", seed)]
-    return encode_header(_header(cards, extra)) + _padded(b"".join(rows) + bytes(heap))
+        count, data, fallback, scale, zero = compress_tile(image[tuple(reversed(where))], n, bitpix, codec, qlevel, method, seed)
+        places.append((count, len(heap), len(fallback), len(heap) + len(data), scale, zero))
+        heap += data + fallback
+    header, rows = _tile_table(places, len(heap), shape, tile, bitpix, codec, method, seed, None, extra)
+    return header + _padded(rows + bytes(heap))
 
 
 def with_checksum(unit: bytes) -> bytes:
@@ -427,3 +443,89 @@ def rgb_pixels(frame: DataFrame, width: int, height: int) -> DataFrame:
     """Rows (x, y, r, g, b) as the pixels of a cube of three planes, for :func:`write_image` with shape [width, height, 3]."""
     planes = F.array(*[F.struct(F.lit(z).alias("z"), F.col(c).cast("double").alias("value")) for z, c in enumerate("rgb")])
     return frame.select("x", "y", F.inline(planes)).select(((F.col("z") * height + F.col("y")) * width + F.col("x")).cast("long").alias("pix"), "value")
+
+
+def write_compressed(pixels: DataFrame, path: str, shape: list[int], bitpix: int, codec: str = "RICE_1", tile: list[int] | None = None, qlevel: float = 4.0, method: int = quantize.DITHER_1, seed: int = 1, blank: int | None = None, extra: Iterable[Card] = ()) -> None:
+    """A file with one tile-compressed image from rows (pix, value), as :func:`write_image` takes them.
+
+    The executors put each tile together and compress it; the tiles are a stored table, which the driver streams into
+    the file partition by partition, holding only their places. Missing pixels are NaN, or ``blank`` (ZBLANK), which
+    integer images then need.
+    """
+    tile = list(tile or [shape[0], *[1] * (len(shape) - 1)])
+    counts = [-(-m // t) for m, t in zip(shape, tile)]
+    total, tiles = math.prod(shape), math.prod(counts)
+    number, offset, step, inner, rest = F.lit(0), F.lit(0), 1, F.lit(1), F.col("pix")
+    for m, t, c in zip(shape, tile, counts):
+        at, rest = rest % m, F.floor(rest / m)
+        i = F.floor(at / t)
+        number, step = number + i * step, step * c
+        offset, inner = offset + (at - i * t) * inner, inner * F.least(F.lit(t), F.lit(m) - i * t)
+    rows = pixels.filter(F.col("pix").between(0, total - 1)).select(number.cast("long").alias("tile"), offset.cast("long").alias("offset"), F.col("value").cast("double").alias("value"))
+    every = pixels.sparkSession.range(tiles).select(F.col("id").alias("tile"), F.lit(None).cast("long").alias("offset"), F.lit(None).cast("double").alias("value"))
+    tasks = max(1, min(tiles, 4 * int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = rows.unionByName(every).repartition(tasks, "tile").sortWithinPartitions("tile", F.col("value").asc_nulls_first())
+
+    def extent(n: int) -> list[int]:
+        out = []
+        for m, t, c in zip(shape, tile, counts):
+            n, i = divmod(n, c)
+            out.append(min(t, m - i * t))
+        return out
+
+    def run(batches):
+        import pyarrow as pa
+
+        schema = pa.schema([("tile", pa.int64()), ("count", pa.int64()), ("data", pa.binary()), ("fallback", pa.binary()), ("scale", pa.float64()), ("zero", pa.float64())])
+
+        def done(n: int, data: np.ndarray) -> pa.RecordBatch:
+            part = data.reshape(extent(n)[::-1])
+            if bitpix > 0:
+                gone = np.isnan(part)
+                if gone.any() and blank is None:
+                    raise ValueError("pixels are missing and there is no blank")
+                part = np.where(gone, blank or 0, np.rint(part)).astype(np.int64)
+            own = (n, *compress_tile(part.astype(np.float32) if bitpix == -32 else part, n, bitpix, codec, qlevel, method, seed))
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(own, schema)], schema=schema)
+
+        now, data = None, np.zeros(0)
+        for batch in batches:
+            place, at, value = batch.column("tile").to_numpy(), batch.column("offset").fill_null(-1).to_numpy(), batch.column("value").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(place[1:] != place[:-1]) + 1).tolist(), len(place)] if len(place) else []
+            for a, b in zip(cuts, cuts[1:]):
+                if place[a] != now:
+                    if now is not None:
+                        yield done(now, data)
+                    now = int(place[a])
+                    data = np.full(math.prod(extent(now)), np.nan)
+                real = at[a:b] >= 0
+                data[at[a:b][real]] = value[a:b][real]
+        if now is not None:
+            yield done(now, data)
+
+    made = durable(dealt.mapInArrow(run, "tile long, count long, data binary, fallback binary, scale double, zero double"), "tiles")
+    path = path.removeprefix("file://")
+    spool = f"{path}.{uuid.uuid4().hex}.heap"
+    places: list = [None] * tiles
+    try:
+        with open(spool, "wb") as heap:
+            for r in made.toLocalIterator():
+                at = heap.tell()
+                places[r["tile"]] = (r["count"], at, len(r["fallback"]), at + len(r["data"]), r["scale"], r["zero"])
+                heap.write(r["data"])
+                heap.write(r["fallback"])
+        size = os.path.getsize(spool)
+        header, table = _tile_table(places, size, shape, tile, bitpix, codec, method, seed, blank, extra)
+
+        def pieces():
+            yield empty_primary()
+            yield header
+            yield table
+            with open(spool, "rb") as heap:
+                while part := heap.read(1 << 24):
+                    yield part
+            yield b"\0" * (-(len(table) + size) % BLOCK)
+
+        write_file(path, pieces())
+    finally:
+        os.unlink(spool)

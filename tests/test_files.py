@@ -103,6 +103,19 @@ def test_image_from_rows(spark, read, tmp_path, monkeypatch):
         writer.write_image(df, str(path), [10, 10], 32)
 
 
+def test_compressed_from_rows(spark, read, tmp_path):
+    """Tiles put together by the executors are those of the array on one machine, byte by byte."""
+    v = (np.add.outer(np.arange(23), np.arange(17)) * 13 % 700).astype(float)
+    df = spark.createDataFrame([(int(i), float(x)) for i, x in enumerate(v.ravel())], "pix long, value double").repartition(3)
+    for bitpix, codec in ((16, "RICE_1"), (32, "GZIP_2"), (-32, "RICE_1"), (16, "PLIO_1"), (16, "HCOMPRESS_1")):
+        writer.write_compressed(df, str(tmp_path / "rows.fits"), [17, 23], bitpix, codec, [5, 4])
+        writer.write_file(str(tmp_path / "array.fits"), [writer.empty_primary(), writer.compressed_unit(v.astype(np.float32) if bitpix < 0 else v.astype(int), bitpix, codec, [5, 4])])
+        back = [[r["values"] for r in read(tmp_path / name, "tiles").orderBy("tile_id").collect()] for name in ("rows.fits", "array.fits")]
+        assert back[0] == back[1] and len(back[0]) == 24
+    writer.write_compressed(df.filter("pix % 11 <> 2"), str(tmp_path / "rows.fits"), [17, 23], 16, "RICE_1", [5, 4], blank=-1)
+    assert sum(x is None for r in read(tmp_path / "rows.fits", "tiles").collect() for x in r["values"]) == sum(i % 11 == 2 for i in range(391))
+
+
 def test_writer_and_stores(spark, read, tmp_path):
     """Several files a task, overwriting, empty tables; every mode over contents from any store; filters pushed down."""
     df = spark.range(1000).selectExpr("id", "id * 0.5D AS v").repartition(3)
