@@ -240,6 +240,29 @@ def pix2ang(n: int, nested: bool) -> str:
     return f"SELECT c.id, round(theta, 9) AS theta, round(phi, 9) AS phi FROM ({_cells(n)}) c JOIN ({_chain(_all_places(n), steps)}) a ON a.{'nest' if nested else 'ring'} = c.pix"
 
 
+def neighbours(n: int) -> str:
+    """By the pixels' corners on the sphere: an edge's neighbour shares two of them, a corner's neighbour that one alone.
+
+    Steps are numbered as the operator does: +x, -x, +y, -y, then the corners (+, +), (-, -), (+, -), (-, +).
+    """
+    corner = [
+        ("jc", f"(face // 4 + 2)*{n} - u - v"), ("nc", f"CASE WHEN jc < {n} THEN jc WHEN jc > {3 * n} THEN {4 * n} - jc ELSE {n} END"),
+        ("zc", f"CASE WHEN jc < {n} THEN 1 - nc*nc / {3 * n * n}e0 WHEN jc > {3 * n} THEN nc*nc / {3 * n * n}e0 - 1 ELSE ({2 * n} - jc) * 2 / {3 * n}e0 END"),
+        ("pc", "CASE WHEN nc = 0 THEN 0 ELSE pi()/4 * (jpl*nc + u - v) / nc END"),
+        ("key", "format('{:.7f} {:.7f} {:.7f}', sqrt(1 - zc*zc)*cos(pc) + 2, sqrt(1 - zc*zc)*sin(pc) + 2, zc + 2)"),
+    ]
+    four = f"SELECT CAST(ring AS BIGINT) AS ring, face, jpl, a, b, x + a AS u, y + b AS v FROM ({_all_places(n)}), (VALUES (0), (1)) AS s(a), (VALUES (0), (1)) AS t(b)"
+    return f"""
+    WITH g AS MATERIALIZED ({_chain(four, corner)}),
+    pair AS (SELECT p.ring AS p, q.ring AS q, count(*) AS n FROM g p JOIN g q ON p.key = q.key AND p.ring <> q.ring GROUP BY ALL),
+    found AS (SELECT k, g1.ring AS p, h1.ring AS q FROM (VALUES (0, 1, 0, 1, 1), (1, 0, 0, 0, 1), (2, 0, 1, 1, 1), (3, 0, 0, 1, 0)) AS e(k, a1, b1, a2, b2)
+      JOIN g g1 ON g1.a = a1 AND g1.b = b1 JOIN g g2 ON g2.ring = g1.ring AND g2.a = a2 AND g2.b = b2
+      JOIN g h1 ON h1.key = g1.key AND h1.ring <> g1.ring JOIN g h2 ON h2.ring = h1.ring AND h2.key = g2.key
+      UNION ALL SELECT k, g1.ring, h1.ring FROM (VALUES (4, 1, 1), (5, 0, 0), (6, 1, 0), (7, 0, 1)) AS d(k, a1, b1)
+      JOIN g g1 ON g1.a = a1 AND g1.b = b1 JOIN g h1 ON h1.key = g1.key JOIN pair ON pair.p = g1.ring AND pair.q = h1.ring AND pair.n = 1)
+    SELECT c_custkey AS id, CAST(r.k AS INT) AS k, coalesce(q, -1) AS n FROM customer CROSS JOIN range(8) AS r(k) LEFT JOIN found ON found.p = (c_custkey * 7919) % {12 * n * n} AND found.k = r.k"""
+
+
 _BENT = "SELECT p_partkey AS id, (p_partkey % 61) / 1e2 - 0.3e0 AS u, (p_partkey % 53) / 1e2 - 0.25e0 AS v FROM part"
 
 
@@ -302,10 +325,11 @@ def oracles() -> dict[str, str]:
         "frame_eq_ecl": ecliptic(False), "frame_ecl_eq": ecliptic(True), "frame_precess": precession(False), "frame_precess_back": precession(True),
         "hpx_ring2nest": ring2nest(64), "hpx_nest2ring": nest2ring(64), "hpx_pix2ang_ring": pix2ang(16, False), "hpx_pix2ang_nest": pix2ang(16, True),
         "hpx_utils": "SELECT n AS nside, CAST(12*n*n AS BIGINT) AS npix, (n & (n - 1)) = 0 AS pow2, round(4*pi() / (12*n*n), 12) AS pixel_area, round(sqrt(4*pi() / (12*n*n)), 12) AS pixel_resolution FROM (SELECT n_nationkey + 1 AS n FROM nation)",
-        "sky_degrade": "SELECT o_orderkey AS id, (o_orderkey * 7919 % 49152) >> 4 AS parent FROM orders",
+        "hpx_neighbors": neighbours(16), "sky_degrade": "SELECT o_orderkey AS id, (o_orderkey * 7919 % 49152) >> 4 AS parent FROM orders",
     }
     out |= {
         "sip_forward": f"SELECT id, round(u + 0.01e0*u*u + 0.02e0*u*v, 10) AS x, round(v - 0.01e0*v*v + 0.005e0*u*u*u, 10) AS y FROM ({_BENT})",
+        "tnx_forward": f"SELECT id, round(u + 0.001e0 + 0.002e0*u + 0.003e0*(3*u*u - 1)/2 + 0.004e0*v + 0.005e0*u*v + 0.006e0*(3*v*v - 1)/2, 10) AS x, round(v + 0.001e0 + 0.002e0*u + 0.003e0*v + 0.004e0*u*v, 10) AS y FROM ({_BENT})",
         "tpv_forward": f"SELECT id, round(u + 0.01e0*r + 0.02e0*u*u + 0.1e0*pow(r, 7), 10) AS x, round(v + 0.01e0*v*u + 0.03e0*pow(r, 3), 10) AS y FROM (SELECT *, sqrt(u*u + v*v) AS r FROM ({_BENT}))",
     }
     for n in (16, 64):
