@@ -33,6 +33,38 @@ def third_difference_median(df: DataFrame, row: str, order: list[str], value: st
     return rank.filter(F.col("k") == F.floor((F.col("n") + 1) / 2)).select(row, F.col("d").alias("third"))
 
 
+#: Scale from a median absolute difference to a deviation, for differences of 2nd, 3rd and 5th order.
+NOISE_FACTORS = {2: 1.0483579, 3: 0.6052697, 5: 0.1772048}
+
+
+def noise(df: DataFrame, row: str, order: list[str], value: str) -> DataFrame:
+    """One row: ngood, min, max, and noise2, noise3 and noise5 of an image given by rows, in 32 bits.
+
+    Nulls are left out and differences run over what is left; places inside flat runs do not count, nor do rows of fewer
+    than nine values. A row gives its lower median for each order, the rows together their median, scaled to a
+    deviation; 0 where no row gives one.
+    """
+    v = df.filter(F.col(value).isNotNull()).select(F.col(row).alias("r"), *order, F.col(value).cast("float").alias("v"))
+    w = Window.partitionBy("r").orderBy(*order)
+    lit = lambda x: F.lit(float(x)).cast("float")
+    at = {i: F.col(f"v{i}") for i in (1, 3, 4, 5, 6, 7, 9)}
+    wide = v.select("r", *[(F.lead("v", i - 1).over(w) if i > 1 else F.col("v")).alias(f"v{i}") for i in at]).filter("v9 IS NOT NULL")
+    flat2 = (at[5] == at[6]) & (at[6] == at[7])
+    flat3 = flat2 & (at[3] == at[4]) & (at[4] == at[5])
+    orders = F.array(
+        F.struct(F.lit(2).alias("k"), F.when(~flat2, F.abs(at[5] - at[7])).alias("d")), F.struct(F.lit(3).alias("k"), F.when(~flat3, F.abs(lit(2) * at[5] - at[3] - at[7])).alias("d")),
+        F.struct(F.lit(5).alias("k"), F.when(~flat3, F.abs(lit(6) * at[5] - lit(4) * at[3] - lit(4) * at[7] + at[1] + at[9])).alias("d")),
+    )
+    long = wide.select("r", F.inline(orders)).filter("d IS NOT NULL")
+    ranked = long.withColumn("i", F.row_number().over(Window.partitionBy("r", "k").orderBy("d"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("r", "k")))
+    lower = ranked.filter(F.col("i") == F.floor((F.col("n") + 1) / 2)).groupBy("r").agg(*[F.max(F.when(F.col("k") == k, F.struct("d", "n"))).alias(f"m{k}") for k in (2, 3, 5)])
+    second = F.when((F.col("m2.n") > 1) | ((F.col("m2.n") == 1) & (F.col("m3.n") == 1)), F.col("m2.d"))
+    rows = lower.select(second.alias("d2"), F.col("m3.d").alias("d3"), F.col("m5.d").alias("d5"))
+    levels = rows.agg(*[(F.lit(f) * F.coalesce(F.median(f"d{k}"), F.lit(0.0))).alias(f"noise{k}") for k, f in NOISE_FACTORS.items()])
+    whole = v.agg(F.count(F.lit(1)).alias("ngood"), F.coalesce(F.min("v").cast("double"), F.lit(0.0)).alias("min"), F.coalesce(F.max("v").cast("double"), F.lit(0.0)).alias("max"))
+    return whole.crossJoin(F.broadcast(levels))  # one row by one row
+
+
 def clahe(pixels: DataFrame, width: int, height: int, clip: float = 3.0, grid: int = 8) -> DataFrame:
     """Contrast-limited equalisation of ``level`` (0 to 255): ``pixels`` with ``equalised``.
 

@@ -243,6 +243,22 @@ def noise_mad3(spark, sf_dir):
 
 
 
+LEVELS_SQL = """
+WITH v AS (SELECT user_id AS r, ts, event_id, CAST(value AS FLOAT) AS v FROM events WHERE value IS NOT NULL),
+w AS (SELECT r, v AS a, lead(v, 2) OVER o AS c, lead(v, 3) OVER o AS d, lead(v, 4) OVER o AS e, lead(v, 5) OVER o AS f, lead(v, 6) OVER o AS g, lead(v, 8) OVER o AS i FROM v WINDOW o AS (PARTITION BY r ORDER BY ts, event_id)),
+x AS (SELECT *, e = f AND f = g AS flat2, e = f AND f = g AND c = d AND d = e AS flat3 FROM w WHERE i IS NOT NULL),
+y AS (SELECT r, list_sort(list(abs(e - g)) FILTER (NOT flat2)) AS l2, list_sort(list(abs(2::FLOAT*e - c - g)) FILTER (NOT flat3)) AS l3, list_sort(list(abs(6::FLOAT*e - 4::FLOAT*c - 4::FLOAT*g + a + i)) FILTER (NOT flat3)) AS l5 FROM x GROUP BY r),
+m AS (SELECT CASE WHEN len(l2) > 1 OR len(l2) = 1 AND len(l3) = 1 THEN l2[(len(l2) + 1) // 2] END AS d2, l3[(len(l3) + 1) // 2] AS d3, l5[(len(l5) + 1) // 2] AS d5 FROM y)
+SELECT (SELECT count(*) FROM v) AS ngood, round(1.0483579e0 * median(CAST(d2 AS DOUBLE)), 5) AS noise2, round(0.6052697e0 * median(CAST(d3 AS DOUBLE)), 5) AS noise3, round(0.1772048e0 * median(CAST(d5 AS DOUBLE)), 5) AS noise5 FROM m"""
+
+
+@query("noise_levels", LEVELS_SQL)
+def noise_levels(spark, sf_dir):
+    """Noise of an image whose rows are the users' values in time."""
+    out = image.noise(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value")
+    return out.select("ngood", *[F.round(f"noise{k}", 5).alias(f"noise{k}") for k in (2, 3, 5)])
+
+
 # -- presets ---------------------------------------------------------------------------------------------------------
 def _rgb_wide(spark, sf_dir):
     return table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "CAST(p_retailprice / 25e2 AS FLOAT) AS r", "CAST(p_size / 51e0 AS FLOAT) AS g", "CAST(CAST(p_partkey % 256 AS DOUBLE) / 255e0 AS FLOAT) AS b")

@@ -94,6 +94,21 @@ def test_frames(spark):
     assert abs(g[0].l - 96.337) < 1e-2 and abs(g[0].b + 60.189) < 1e-2
 
 
+def test_noise(spark):
+    """The relational form equals the one on arrays, flat runs and missing values included."""
+    from starlattice.sources import quantize
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(50, 4, (7, 120)).astype(np.float32)
+    v[2, 30:60], v[4, 5], v[6, 8:] = 9.0, np.nan, np.nan
+    rows = [(y, x, None if np.isnan(v[y, x]) else float(v[y, x])) for y in range(7) for x in range(120)]
+    got = image.noise(spark.createDataFrame(rows, "y int, x int, v double"), "y", ["x"], "v").first()
+    want = quantize.noise(v, np.nan)
+    assert got.ngood == want["ngood"] and all(np.isclose(got[k], want[k], rtol=1e-6) for k in ("min", "max", "noise2", "noise3", "noise5"))
+    none = image.noise(spark.createDataFrame([], "y int, x int, v double"), "y", ["x"], "v").first()
+    assert (none.ngood, none.noise3) == (0, 0.0)
+
+
 def test_image(spark):
     rows = spark.createDataFrame([(0, -1.0, float("nan")), (1, 3.0, 1.0)], "id int, r double, g double")
     got = image.normalize_channels(rows, ["r", "g"]).orderBy("id").collect()
