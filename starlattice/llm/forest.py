@@ -8,8 +8,8 @@ becomes a candidate and is measured exactly. The ascent ends when a neighbour at
 far would have shared a prefix of the present length in some tree with probability ``RECALL``; so easy data stop early
 and hard data go on, and no count of candidates is capped.
 
-The centre is the mean of a bounded sample (``CENTRE_ROWS`` rows with the smallest hash); every row is indexed. Equal
-vectors fold into one entry that keeps its k + 1 smallest ids, which is all that a list of k can show.
+The half-spaces go through the mean of the block. Every row is indexed. Equal vectors fold into one entry that keeps its
+k + 1 smallest ids, which is all that a list of k can show.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import durable
 
-TREES, BITS, BLOCK, RECALL, CENTRE_ROWS = 96, 40, 16_384, 0.93, 4096
+TREES, BITS, BLOCK, RECALL = 96, 40, 16_384, 0.93
 #: Queries that ascend together.
 TOGETHER = 128
 
@@ -32,8 +32,11 @@ TOGETHER = 128
 class Forest:
     """Sorted arrays of hash strings over one block."""
 
-    def __init__(self, vectors: np.ndarray, centre: np.ndarray, trees: int = TREES, bits: int = BITS, seed: int = 23):
-        self.x, self.centre, self.trees, self.bits = vectors, centre, trees, bits
+    def __init__(self, vectors: np.ndarray, trees: int = TREES, bits: int = BITS, seed: int = 23):
+        with np.errstate(over="ignore", invalid="ignore"):  # huge numbers: any centre does
+            centre = vectors.mean(axis=0)
+        self.x, self.centre, self.trees, self.bits = vectors, np.where(np.isfinite(centre), centre, 0.0), trees, bits
+        centre = self.centre
         rng = np.random.default_rng(seed)
         self.planes = rng.standard_normal((trees, vectors.shape[1], bits), np.float32)
         self.codes, self.order = [], []
@@ -104,7 +107,7 @@ class Forest:
         return 1 - (1 - same**length) ** self.trees >= recall
 
 
-def _search(centre: np.ndarray, k: int, trees: int, recall: float):
+def _search(k: int, trees: int, recall: float):
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def answer(index: Forest, ids: list[list[int]], queries: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
@@ -123,18 +126,20 @@ def _search(centre: np.ndarray, k: int, trees: int, recall: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            data = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            for i, (own, block, is_query) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("ids", "block", "is_query")))):
-                if block != place:
+            data = batch.column("v").flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum([0, *batch.column("dim").to_pylist()])
+            for i, (own, dim, block, is_query) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("ids", "dim", "block", "is_query")))):
+                if (dim, block) != place:
                     if queries:
                         yield answer(index, ids, queries)
-                    place, index, ids, vectors, queries = block, None, [], [], []
+                    place, index, ids, vectors, queries = (dim, block), None, [], [], []
+                vector = data[ends[i] : ends[i + 1]].copy()
                 if not is_query:
-                    ids.append(own), vectors.append(data[i].copy())
+                    ids.append(own), vectors.append(vector)
                 elif ids:
                     if index is None:
-                        index, vectors = Forest(np.stack(vectors), centre, trees), []
-                    queries.append((own[0], data[i].copy()))
+                        index, vectors = Forest(np.stack(vectors), trees), []
+                    queries.append((own[0], vector))
                     if len(queries) == TOGETHER:
                         yield answer(index, ids, queries)
                         queries = []
@@ -166,28 +171,13 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
     first = Window.partitionBy("v").orderBy("id")
     kept = rows.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k + 1)  # cut before the shuffle as well
     entries = durable(kept.groupBy("dim", "v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("h", F.xxhash64("v")), "entries")
-    parts = []
-    queries_all = rows.filter(F.col("id") % every == 0)
-    for row in entries.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy("dim").collect():  # one index for each length of vector
-        dim, n = row["dim"], row["n"]
-        own = entries.filter(F.col("dim") == dim)
-        sample = own.orderBy("h", "ids").limit(CENTRE_ROWS).agg(*[F.avg(F.col("v")[i]).alias(f"c{i}") for i in range(dim)]).first()
-        centre = np.array([float(x) for x in sample])
-        queries = queries_all.filter(F.col("dim") == dim)
-        n_q = queries.count()
-        if not n_q:
-            continue
-        blocks = max(1, math.ceil(n / block))
-        stored = own.select("ids", "v", F.pmod("h", F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("is_query"))
-        # Each query meets every block: a stated query set against all rows.
-        asked = queries.select(F.array("id").alias("ids"), "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("is_query"))
-        cells = min(blocks, 100_000)  # a block a task, as far as tasks go
-        dealt = stored.unionByName(asked).withColumn("cell", F.col("block") % cells).repartitionById(cells, "cell").sortWithinPartitions("block", "is_query")
-        parts.append(dealt.select("ids", "v", "block", "is_query").mapInArrow(_search(centre, k, trees, recall), "query_id long, vec_id long, score double"))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    sizes = entries.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))  # each length of vector is an index of its own
+    queries = rows.filter(F.col("id") % every == 0)
+    stored = entries.join(sizes, "dim").select("ids", "v", "dim", F.pmod("h", "blocks").cast("int").alias("block"), F.lit(False).alias("is_query"))
+    # Each query meets every block of its length: a stated query set against all rows.
+    asked = queries.join(sizes, "dim").select(F.array("id").alias("ids"), "v", "dim", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("is_query"))
+    cells = min(max(1, sizes.agg(F.sum("blocks")).first()[0] or 1), 100_000)  # a block a task, as far as tasks go
+    dealt = stored.unionByName(asked).withColumn("cell", ((F.pmod(F.xxhash64("dim"), F.lit(cells)) + F.col("block")) % cells).cast("int")).repartitionById(cells, "cell").sortWithinPartitions("dim", "block", "is_query")
+    found = dealt.select("ids", "v", "dim", "block", "is_query").mapInArrow(_search(k, trees, recall), "query_id long, vec_id long, score double")
     rank = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -403,6 +403,7 @@ def test_forest(spark):
     x = rng.normal(size=(1500, 16)).astype(np.float32)
     data = [(i, v.tolist(), 1) for i, v in enumerate(x)]
     data += [(2000 + i, x[5].tolist(), 1) for i in range(40)] + [(3000, None, 1), (3100, [0.0] * 16, 1), (3200, [float("nan")] * 16, 1), (3300, [], 1), (None, x[0].tolist(), 1), (3400, [1.0, None] * 8, 1)]
+    data += [(4000 + i, [float(i), 1.0, 2.0], 1) for i in range(0, 300, 50)] + [(4000, [0.0, 1.0, 2.0], 1), (5000, [1e38] * 5, 1), (5001, [-1e38] * 5, 1)]  # other lengths, a repeated row, huge numbers
     got = forest.nearest(spark.createDataFrame(data, "vec_id long, embedding array<float>, score int"), block=600).collect()
     ok = [(i, np.array(v, float)) for i, v, _ in data if i is not None and i < 3000]
     ids, m = np.array([i for i, _ in ok]), np.stack([v for _, v in ok])
@@ -415,6 +416,8 @@ def test_forest(spark):
         hits += len({w[1] for w in want} & {o[2] for o in own})
         total += 10
     assert hits / total >= 0.9
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank) if r.query_id == 4100] == [(4050, 50.0), (4150, 50.0), (4000, 100.0), (4200, 100.0), (4250, 150.0)]
+    assert [r.vec_id for r in got if r.query_id == 5000] == [5001]
     assert forest.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
