@@ -67,7 +67,7 @@ class Forest:
         lo = np.stack([np.searchsorted(self.codes[t], codes[t]) for t in range(self.trees)])
         hi = lo.copy()
         active = np.arange(m)
-        for length in range(self.bits, -1, -1):  # the prefix length that all trees are at
+        for length in range(self._longest(codes, lo), -1, -1):  # the prefix length that all trees are at
             shift = self.bits - length
             low = (codes[:, active] >> shift) << shift
             new_lo = np.stack([np.searchsorted(self.codes[t], low[t]) for t in range(self.trees)])
@@ -90,6 +90,11 @@ class Forest:
                 break
         return best
 
+    def _longest(self, codes: np.ndarray, at: np.ndarray) -> int:
+        """The longest prefix that any query shares with an entry of any tree; the sorted neighbours have it."""
+        unlike = min(int(np.minimum(own[np.maximum(i - 1, 0)] ^ c, own[np.minimum(i, len(own) - 1)] ^ c).min()) for own, c, i in zip(self.codes, codes, at))
+        return self.bits - unlike.bit_length()
+
     def _nearest(self, query: np.ndarray, at: np.ndarray, old: tuple, known: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         away = np.concatenate([old[1], np.sqrt(((self.x[at[known:]] - query) ** 2).sum(axis=1))])
         if len(at) > k:
