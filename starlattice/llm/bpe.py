@@ -17,7 +17,7 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import owns_worker, small_batches, worker_memory
 
 #: Estimated bytes of words and strings that one Python worker keeps, in two generations each.
-MEMORY = 64 << 20
+MEMORY = 32 << 20
 #: Strings encoded together.
 GROUP = 120_000
 #: Words of more letters are merged with a heap.
@@ -284,22 +284,19 @@ def _codec(spec: str) -> Codec:
 
 
 def _mapper(spec, digests: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owns_worker("bpe")
         codec = _codec(spec.value)
         for batch in batches:
-            out = list(codec.encode_batch(batch["_text"].tolist()))
+            out = list(codec.encode_batch(batch.column("_text").to_pylist()))
+            found = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array([o[1] for o in out], pa.int64())}
             if digests:
-                yield pd.DataFrame({
-                    "doc_id": batch["doc_id"], "n_tokens": [o[1] for o in out],
-                    "ids_sha256": [hashlib.sha256(o[0]).hexdigest() for o in out],
-                    "decoded_sha256": [hashlib.sha256(o[2].encode("utf-8", "replace")).hexdigest() for o in out],
-                })
+                found["ids_sha256"] = pa.array([hashlib.sha256(o[0]).hexdigest() for o in out], pa.string())
+                found["decoded_sha256"] = pa.array([hashlib.sha256(o[2].encode("utf-8", "replace")).hexdigest() for o in out], pa.string())
             else:
-                yield pd.DataFrame({
-                    "doc_id": batch["doc_id"], "n_tokens": [o[1] for o in out],
-                    "ids": [np.frombuffer(o[0], "<u4").astype(np.int32) for o in out], "decoded": [o[2] for o in out],
-                })
+                found["ids"] = pa.array([np.frombuffer(o[0], "<u4").astype(np.int32) for o in out], pa.list_(pa.int32()))
+                found["decoded"] = pa.array([o[2] for o in out], pa.string())
+            yield pa.RecordBatch.from_pydict(found)
 
     return run
 
@@ -316,4 +313,4 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spec = spark.sparkContext.broadcast(_spec(vocabulary))
     schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    return rows.mapInPandas(_mapper(spec, digests), schema)
+    return rows.mapInArrow(_mapper(spec, digests), schema)

@@ -13,12 +13,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import owns_worker, small_batches
 
 BITS = 13
 # Families by ISO 639-1 codes; any other language is a family of its own.
@@ -138,12 +138,12 @@ def train(x: np.ndarray, langs: list[str]) -> Model:
     return out
 
 
-def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sparse features of sample texts, so that no text goes to the driver."""
     for batch in batches:
-        rows = [features(t) for t in batch["t"]]
+        rows = [features(t) for t in batch.column("t").to_pylist()]
         used = [np.flatnonzero(x) for x in rows]
-        yield pd.DataFrame({"g": batch["g"], "h": batch["h"], "at": [u.astype(np.int32) for u in used], "x": [x[u] for x, u in zip(rows, used)]})
+        yield pa.RecordBatch.from_pydict({"g": batch.column("g"), "h": batch.column("h"), "at": pa.array([u.astype(np.int32) for u in used], pa.list_(pa.int32())), "x": pa.array([x[u] for x, u in zip(rows, used)], pa.list_(pa.float32()))})
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 150, max_langs: int = 480, max_rows: int = 4800) -> Model:
@@ -164,7 +164,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if not marks:
         return train([], [])
     rows = labelled.withColumn("h", F.xxhash64("t")).filter(F.col("h").isin(sorted({h for _, h in marks}))).dropDuplicates(["g", "h"])
-    got = sorted(rows.mapInPandas(_sampled, "g string, h long, at array<int>, x array<float>").collect(), key=lambda r: (r["g"], r["h"]))
+    got = sorted(rows.mapInArrow(_sampled, "g string, h long, at array<int>, x array<float>").collect(), key=lambda r: (r["g"], r["h"]))
     x = np.zeros((len(got), 1 << BITS), np.float32)
     for i, r in enumerate(got):
         x[i, r["at"]] = r["x"]
@@ -172,11 +172,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def _mapper(model):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns_worker("language")
         m = model.value
         for batch in batches:
-            found = [m.predict(t if isinstance(t, str) else None) for t in batch.pop("_text")]
-            yield batch.assign(_lang=[f[0] for f in found], _score=[f[1] for f in found])
+            found = [m.predict(t) for t in batch.column(batch.num_columns - 1).to_pylist()]  # the text stands last
+            columns = [*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "_lang", "_score"])
 
     return run
 
@@ -184,12 +186,13 @@ def _mapper(model):
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """One row per row of ``docs``: the columns ``keep`` and _lang (``und`` if null or without a letter) and _score.
 
-    Repeated rows are predicted alike; an empty table gives an empty one.
+    Repeated rows are predicted alike; an empty table gives an empty one. Kept columns that are themselves named _lang or
+    _score give way to the results.
     """
     spark = docs.sparkSession
     small_batches(spark, 1000)
     shared = spark.sparkContext.broadcast(model)  # a matrix of fixed width for each pair of at most max_langs languages
-    keep = keep or []
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("_text"))
-    schema = rows.drop("_text").schema.add("_lang", "string").add("_score", "double")
-    return rows.mapInPandas(_mapper(shared), schema)
+    keep = [c for c in keep or [] if c not in ("_lang", "_score")]
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("\x00text"))
+    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add("_lang", "string").add("_score", "double")
+    return rows.mapInArrow(_mapper(shared), schema)
