@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import durable, fold, hand_back, owns_worker, small_batches
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES, LONGEST_HOT = 8 << 20, 1024
 #: Words that one step of the recursion takes together (in groups of one length).
 TOGETHER = 60_000
 _BASE, _SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
@@ -300,8 +300,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     end_lp = math.log10((ends + 0.5) / (total + 1))
     how = _word_scores(shared, discount, discount * kinds + 0.5, in_words + 0.5, (in_words + 0.5) / (total + 1))
     scored = durable(words.mapInArrow(how, "word binary, c long, blocks long, lp double"), "scored")
-    # A word that most blocks hold has many rows here: those words meet their scores by a bounded broadcast.
-    placed = hand_back(pairs.select("block", "idx", "word"), scored, ["word"], "blocks", places).select("block", "idx", "c", "lp")
+    # A word that most blocks hold has many rows here: those words (of up to LONGEST_HOT bytes) meet their scores by a bounded broadcast.
+    weighed = scored.withColumn("weight", F.when(F.octet_length("word") <= LONGEST_HOT, F.col("blocks")).otherwise(0)).drop("blocks")
+    placed = hand_back(pairs.select("block", "idx", "word"), weighed, ["word"], "weight", places).select("block", "idx", "c", "lp")
     found = placed.mapInArrow(_packed, "block long, found binary").groupBy("block").agg(F.collect_list("found").alias("found"))
     joined = blocks.select("block", "doc_id", "held", "ends", "index", "count").join(found, "block", "left").drop("block")
     return joined.mapInArrow(_documents(total, distinct, ends, end_lp), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
