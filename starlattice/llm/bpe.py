@@ -30,6 +30,8 @@ MEMORY = 32 << 20
 GROUP = 120_000
 #: Words of more letters are merged with a heap.
 LONG_WORD = 64
+#: Words of one length that are worth a step together.
+TOGETHER = 24
 NEVER, ID_BITS = 1 << 62, (1 << 24) - 1
 
 def byte_letters() -> dict[int, str]:
@@ -47,6 +49,37 @@ def packed(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+class PairTable:
+    """Merges by pair of ids, for arrays: an open hash table."""
+
+    BITS, SPREAD = 18, np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, ranked: dict[tuple[int, int], int]):
+        bits = max(self.BITS, (4 * len(ranked)).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NEVER, np.int64)
+        pairs = np.array([a << 32 | b for a, b in ranked], np.int64)
+        for at, key, value in zip(self._home(pairs).tolist(), pairs.tolist(), ranked.values()):
+            while self.keys[at] >= 0:
+                at = at + 1 & self.last
+            self.keys[at], self.values[at] = key, value
+
+    def _home(self, pairs: np.ndarray) -> np.ndarray:
+        return ((pairs.astype(np.uint64) * self.SPREAD) >> self.shift).astype(np.int64)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """rank << 24 | id of what each pair becomes, NEVER where it stays."""
+        pairs = (left << 32 | right).ravel()
+        at = self._home(pairs)
+        held = self.keys[at]
+        lost = np.flatnonzero((held != pairs) & (held >= 0))
+        while len(lost):
+            at[lost] = at[lost] + 1 & self.last
+            held = self.keys[at[lost]]
+            lost = lost[(held != pairs[lost]) & (held >= 0)]
+        return np.where(self.keys[at] == pairs, self.values[at], NEVER).reshape(left.shape)
+
+
 class Memory(dict):
     """What was found lately: half of the bytes are new, the older half goes when the newer is full; hot entries stay."""
 
@@ -68,7 +101,7 @@ class Memory(dict):
 
     def learn(self, found: dict) -> None:
         self.update(found)
-        self.held += sum(map(self.weight, found))
+        self.held += self.weight("") * len(found) + 8 * sum(map(len, found))
 
     def age(self) -> None:
         if self.held > self.most:
@@ -88,6 +121,7 @@ class Codec:
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         ids = self.vocab
         self.ranked = {(ids[a], ids[b]): rank << 24 | ids[a + b] for rank, (a, b) in enumerate(merges)}
+        self.table_of_pairs = PairTable(self.ranked)
         self.special = {t["content"]: t["id"] for t in data["added_tokens"] if t["special"]}
         self.names = {i: t for t, i in ids.items()} | {i: t for t, i in self.special.items()}
         split = next(p for p in data["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
@@ -95,11 +129,12 @@ class Codec:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.letters = {chr(b): c for b, c in byte_letters().items()}
         self.table = str.maketrans(self.letters)
-        self.reach: dict[str, int] = {}  # the longest entry that begins with three letters
+        self.reach: dict[str, int] = {}  # the longest entry that begins with four letters
         for t in ids:
             bare = t.removesuffix(self.end)
-            if len(bare) > 2:
-                self.reach[bare[:3]] = max(self.reach.get(bare[:3], 2), len(bare))
+            if len(bare) > 3:
+                self.reach[bare[:4]] = max(self.reach.get(bare[:4], 3), len(bare))
+        self.final = {t.removesuffix(self.end): i for t, i in ids.items() if self.end and t.endswith(self.end) and t != self.end} if self.end else ids
         self.whole: dict[int, bool] = {}  # does a token come out of its own merging whole?
         self.pairs = np.zeros(0, np.int64)  # judged pairs, sorted, and what was found
         self.fits = np.zeros(0, bool)
@@ -132,6 +167,42 @@ class Codec:
                 keys[i] = ranked((parts[i], parts[i + 1]), NEVER)
         return parts
 
+    def merge_all(self, words: list[list[int]]) -> list[list[int]]:
+        """:meth:`merged` for many words: those of one length make a step together, each losing one part by it."""
+        out: list[list[int]] = [[]] * len(words)
+        groups: dict[int, list[int]] = {}
+        for i, parts in enumerate(words):
+            groups.setdefault(len(parts), []).append(i)
+        find = self.table_of_pairs.find
+        for length, own in groups.items():
+            if length < 2 or length > LONG_WORD or len(own) < TOGETHER:
+                for i in own:
+                    out[i] = self.merged(words[i])
+                continue
+            at, parts = np.array(own), np.array([words[i] for i in own], np.int64)
+            keys = find(parts[:, :-1], parts[:, 1:])
+            while True:
+                first = keys.argmin(axis=1) if keys.shape[1] else np.zeros(len(at), np.int64)
+                best = keys[np.arange(len(at)), first] if keys.shape[1] else np.full(len(at), NEVER)
+                go = best != NEVER
+                for i, done in zip(at[~go].tolist(), parts[~go].tolist()):
+                    out[i] = done
+                if not go.any():
+                    break
+                at, parts, keys, first, best = at[go], parts[go], keys[go], first[go], best[go]
+                rows, n = np.arange(len(at)), parts.shape[1]
+                parts[rows, first] = best & ID_BITS
+                stay = np.ones(parts.shape, bool)
+                stay[rows, first + 1] = False
+                parts = parts[stay].reshape(len(at), n - 1)
+                stay = np.ones(keys.shape, bool)
+                stay[rows, first] = False
+                keys = keys[stay].reshape(len(at), n - 2)
+                for side in (first - 1, first):  # the pairs that the new part makes with its neighbours
+                    has = np.flatnonzero((side >= 0) & (side < n - 2))
+                    keys[has, side[has]] = find(parts[has, side[has]], parts[has, side[has] + 1])
+        return out
+
     def _merged_long(self, parts: list[int]) -> list[int]:
         """The same for long words: a heap of pairs over a linked list, in n log n steps."""
         ranked, token = self.ranked.get, list(parts)
@@ -161,11 +232,18 @@ class Codec:
 
     # -- speculation ---------------------------------------------------------------------------------------------
     def guess(self, word: str) -> list[int]:
-        out, i, n, vocab, reach = [], 0, len(word), self.vocab.get, self.reach.get
-        marked = word + self.end
+        out, i, n = [], 0, len(word)
+        vocab, final, reach = self.vocab.get, self.final.get, self.reach.get
         while i < n:
-            for j in range(min(n, i + reach(word[i : i + 3], 2)), i, -1):
-                token = vocab(marked[i:] if j == n else word[i:j])
+            far = i + reach(word[i : i + 4], 3)
+            if far >= n:
+                token = final(word[i:])
+                if token is not None:
+                    out.append(token)
+                    break
+                far = n - 1
+            for j in range(far, i, -1):
+                token = vocab(word[i:j])
                 if token is not None:
                     out.append(token)
                     i = j
@@ -211,8 +289,9 @@ class Codec:
             fails[owner[1:][inner][bad]] = True
         for i in np.flatnonzero(sizes == 1).tolist():
             fails[i] = not self._stands(guesses[i][0])
-        for i in np.flatnonzero(fails).tolist():
-            guesses[i] = self.merged(self._letters_of(lettered[i]))
+        failing = np.flatnonzero(fails).tolist()
+        for i, parts in zip(failing, self.merge_all([self._letters_of(lettered[i]) for i in failing])):
+            guesses[i] = parts
         self.known.learn(dict(zip(words, map(packed, guesses))))
 
     # -- texts ---------------------------------------------------------------------------------------------------

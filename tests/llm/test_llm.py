@@ -206,6 +206,15 @@ def test_bpe(spark, docs, empty):
     assert bpe.encode_documents(empty, digests=True).count() == 0
 
 
+def test_merge_all():
+    """Merging many words together gives what merging each alone gives."""
+    from starlattice.llm import bpe
+
+    codec, rng = bpe.Codec(bpe._spec(None)), random.Random(3)
+    words = [codec._letters_of("".join(rng.choices("etaoinshrdlu", k=rng.randint(1, 14)))) for _ in range(4000)] + [codec._letters_of("x" * n) for n in (1, 2, 70, 300)] + [[]]
+    assert codec.merge_all(words) == [codec.merged(w) for w in words]
+
+
 def test_language(spark, empty):
     from starlattice.llm import language
 
