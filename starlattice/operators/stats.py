@@ -49,11 +49,15 @@ def mean_stdev_f32(df: DataFrame, group: list[str], value: str) -> DataFrame:
     return joined.groupBy(*group, "mean", "n").agg(F.sum((d * d).cast("double")).alias("ss")).select(*group, "mean", F.when(F.col("n") > 1, F.sqrt(F.col("ss") / (F.col("n") - 1)).cast("float")).otherwise(F.lit(float("nan")).cast("float")).alias("stdev"))
 
 
-def _with(rows: DataFrame, small: DataFrame, group: list[str]) -> DataFrame:
-    """Rows with the figures of their group (null is a group as well); ``small`` is stored and has one row a group."""
+def _with(rows: DataFrame, small: DataFrame, group: list[str], few: bool | None = None) -> DataFrame:
+    """Rows with the figures of their group (null is a group as well); ``small`` is stored and has one row a group.
+
+    few: is it known that the groups are few enough for a broadcast?
+    """
     if not group:
         return rows.crossJoin(F.broadcast(small))  # one row
-    few = small.count() <= BROADCAST_GROUPS
+    if few is None:
+        few = small.count() <= BROADCAST_GROUPS
     keys = small.select(*[F.col(g).alias(f"_{g}") for g in group], *[c for c in small.columns if c not in group])
     same = reduce(lambda a, b: a & b, [rows[g].eqNullSafe(keys[f"_{g}"]) for g in group])
     return rows.join(F.broadcast(keys) if few else keys, same).drop(*[f"_{g}" for g in group])
@@ -134,28 +138,29 @@ def sigma_clip(df: DataFrame, group: list[str], value: str, low: float, high: fl
     A round looks at groups as wholes; bounds are inclusive and a group whose deviation is 0 keeps all. The rounds end
     when none rejects anything. Between rounds only each group's bounds are kept; the values are scanned again.
     """
-    rows, bounds, before = _clean(df, group, value), None, None
+    rows, bounds, before, few = _clean(df, group, value), None, None, None
     reach = lambda side: F.lit(float("inf") * side).alias("lo" if side < 0 else "hi")
 
     def work() -> DataFrame:
-        return rows if bounds is None else _with(rows, bounds, group).filter(F.col("v").between(F.col("lo"), F.col("hi"))).select(*group, "v")
+        return rows if bounds is None else _with(rows, bounds, group, few).filter(F.col("v").between(F.col("lo"), F.col("hi"))).select(*group, "v")
 
     for _ in range(max_iter or 100):
         mids = work().groupBy(*group).agg(F.count("v").alias("n"), F.avg("v").alias("c"))
         if center == "median":
             middle = durable(median(work(), group, "v").withColumnRenamed("median", "c"), "median")
-            mids = _with(mids.drop("c"), middle, group)
+            mids = _with(mids.drop("c"), middle, group, few)
         mids = durable(mids, "centre")
-        if before is not None and not mids.select(*group, "n").exceptAll(before).limit(1).count():
+        total = mids.agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n")).first()
+        if total["n"] == before:  # groups only lose values, so none has lost any
             break
-        before = mids.select(*group, "n")
-        spread = _with(work(), mids.select(*group, "c"), group).groupBy(*group, "c").agg(F.sqrt(F.avg((F.col("v") - F.col("c")) ** 2)).alias("s"))
+        few, before = total["groups"] <= BROADCAST_GROUPS, total["n"]
+        spread = _with(work(), mids.select(*group, "c"), group, few).groupBy(*group, "c").agg(F.sqrt(F.avg((F.col("v") - F.col("c")) ** 2)).alias("s"))
         edge = lambda side, k: F.when(F.col("s") == 0, F.lit(side * float("inf"))).otherwise(F.col("c") + F.lit(side * k) * F.col("s"))
         found = spread.select(*group, edge(-1, low).alias("new_lo"), edge(1, high).alias("new_hi"))
-        found = found.select("*", reach(-1), reach(1)) if bounds is None else _with(found, bounds, group)
+        found = found.select("*", reach(-1), reach(1)) if bounds is None else _with(found, bounds, group, few)
         bounds = durable(found.select(*group, F.greatest("lo", "new_lo").alias("lo"), F.least("hi", "new_hi").alias("hi")), "bounds")
     total = durable(work().groupBy(*group).agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("stdev"), F.count("v").alias("ngood")), "clipped")
-    return _with(median(work(), group, "v"), total, group).select(*group, "mean", "stdev", "ngood", "median")
+    return _with(median(work(), group, "v"), total, group, few).select(*group, "mean", "stdev", "ngood", "median")
 
 
 def histogram(df: DataFrame, group: list[str], value: str, nbins: int = 256) -> DataFrame:
